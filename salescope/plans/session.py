@@ -28,6 +28,7 @@ def build_session(
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", driver_memory)
     )
     for k, v in (extra_conf or {}).items():
@@ -70,3 +71,19 @@ def materialize(df: DataFrame) -> DataFrame:
     if checkpoint_dir(df.sparkSession):
         return df.checkpoint(eager=True)
     return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def spread_if_narrow(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition ``df`` on ``key`` over the cluster's cores when its scan
+    is narrower than that.
+
+    A small fact table stored as one Parquet row group is read by one task,
+    which then also runs every join and partial aggregate above it. On a
+    cluster reading thousands of files the scan is already wider than the
+    core count and this adds nothing to the plan. Hash (not round-robin)
+    partitioning needs no sort to be deterministic on retry.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores, key)
+    return df

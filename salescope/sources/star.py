@@ -15,6 +15,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from salescope.plans.session import spread_if_narrow
 from salescope.schema import MONEY, RATE
 
 # Order priority -> ship mode, and nation key // 5 -> region name.
@@ -28,8 +29,20 @@ REGION_BY_NATION_GROUP = {0: "North", 1: "South", 2: "Central", 3: "East"}
 OTHER_REGION = "West"
 
 
+# Declared read schemas (only the columns used): no footer inference per read.
+STAR_COLUMNS = {
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz, o_orderpriority string",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_mktsegment string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+    "part": "p_partkey bigint, p_type string, p_brand string",
+}
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spark.read.schema(STAR_COLUMNS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _ship_lag(priority, key):
@@ -44,18 +57,12 @@ def _ship_lag(priority, key):
 
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat order lines (schema :data:`salescope.schema.ORDER_LINE_SCHEMA`)."""
-    li = _table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount"
-    )
-    od = _table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority"
-    )
-    cu = _table(spark, sf_dir, "customer").select(
-        "c_custkey", "c_name", "c_nationkey", "c_mktsegment"
-    )
-    na = _table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
-    rg = _table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    pa = _table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand")
+    li = spread_if_narrow(_table(spark, sf_dir, "lineitem"), "l_orderkey")
+    od = _table(spark, sf_dir, "orders")
+    cu = _table(spark, sf_dir, "customer")
+    na = _table(spark, sf_dir, "nation")
+    rg = _table(spark, sf_dir, "region")
+    pa = _table(spark, sf_dir, "part")
 
     joined = (
         li.join(od, li.l_orderkey == od.o_orderkey)
