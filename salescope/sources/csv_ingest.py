@@ -133,6 +133,10 @@ def _issue(column: str | Column, value: Column, severity: str, reason: str) -> C
 def type_order_lines(raw: DataFrame) -> DataFrame:
     """IO-2 ... IO-7: sanitised names, typed values and an ``_issues`` array.
 
+    Field-count checks rely on the CSV reader flagging malformed rows, which
+    it does only when it parses every column; use :func:`ingest_order_csv`,
+    which persists this frame at full width, rather than projecting it.
+
     The result has the typed columns, ``_issues`` (array of structs: column,
     value, severity, reason), ``_drop`` (row rejected as a whole), the raw
     corrupt record and the source file.
@@ -234,21 +238,23 @@ def ingest_order_csv(
 ) -> IngestResult:
     """Read, check and type order lines; optionally write lines and rejects.
 
-    When writing both, the typed frame is persisted once so the CSV is parsed
-    a single time; the lines are written first, then the rejects.
+    The typed frame is persisted before anything is derived from it. That
+    parses every column of every row once, which the checks need: Spark's
+    CSV column pruning parses only the columns a query asks for, and then a
+    row with missing fields is not flagged as malformed. It also means the
+    CSV is parsed once for both outputs. Lost blocks are recomputed from the
+    same full-width plan.
     """
     typed = type_order_lines(read_order_csv(spark, csv_path, multi_line, encoding))
-    if out_path is None and reject_path is None:
-        return IngestResult(*split_good_and_rejects(typed))
     typed = typed.persist(StorageLevel.MEMORY_AND_DISK)
     lines, rejects = split_good_and_rejects(typed)
+    if out_path is None and reject_path is None:
+        return IngestResult(lines, rejects)
     if out_path is not None:
         write_order_lines(lines, out_path)
-    if reject_path is not None:
-        rejects.write.mode("overwrite").parquet(reject_path)
-    typed.unpersist()
-    if out_path is not None:
         lines = spark.read.parquet(out_path).drop("order_year")
     if reject_path is not None:
+        rejects.write.mode("overwrite").parquet(reject_path)
         rejects = spark.read.parquet(reject_path)
+    typed.unpersist()
     return IngestResult(lines, rejects)

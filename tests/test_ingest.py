@@ -38,8 +38,8 @@ ROWS = "\n".join(
 @pytest.fixture(scope="module")
 def ingested(spark):
     path = write_csv(ROWS)
-    typed = ci.type_order_lines(ci.read_order_csv(spark, path, multi_line=True))
-    lines, rejects = ci.split_good_and_rejects(typed)
+    res = ci.ingest_order_csv(spark, path, multi_line=True)
+    lines, rejects = res.lines, res.rejects
     return (
         {r["Row_ID"]: r for r in lines.collect()},
         [tuple(r) for r in rejects.select("row_key", "column", "value", "severity", "reason").collect()],
@@ -121,3 +121,10 @@ def test_write_report_and_sample(spark, scratch_dir):
     report = ci.load_report(res.lines).collect()
     assert report[0]["column"] == "Row_ID" and report[0]["table_rows"] == 5
     assert ci.sample_rows(res.lines, 3).count() == 3
+
+
+def test_short_rows_flagged_in_line_mode_whatever_is_selected(spark):
+    path = write_csv(HEADER + "\n1,A-1,1-1-2011,1-1-2011,Bo,Art,1,0,2,1,q\n5,A-5,1-1-2011\n")
+    res = ci.ingest_order_csv(spark, path, multi_line=False)
+    assert [r["Row_ID"] for r in res.lines.select("Row_ID").collect()] == [1]
+    assert [r["reason"] for r in res.rejects.select("reason").collect()] == ["too few fields"]
