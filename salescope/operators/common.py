@@ -22,24 +22,32 @@ def attach_total(df: DataFrame, col: str, alias: str) -> DataFrame:
 def monthly_base(lines: DataFrame) -> DataFrame:
     """One row per year-month: exact DECIMAL sums and distinct orders.
 
+    Lines are grouped on the first day of their month (a DATE, cheap to hash
+    and compare); the text keys are formatted once per month afterwards.
     Shared by the monthly trend, growth, rolling, running-total and
     same-month analyses; Catalyst prunes the aggregates a caller does not use.
     """
-    return lines.groupBy(
-        year_month_text("Order_Date").alias("yr_mo"),
-        year_text("Order_Date").alias("yr"),
-        month_text("Order_Date").alias("mo"),
-    ).agg(
+    months = lines.groupBy(F.trunc("Order_Date", "month").alias("_month")).agg(
         F.sum("Sales").alias("sales"),
         F.sum("Profit").alias("profit_sum"),
         F.countDistinct("Order_ID").alias("orders"),
         count_rows().alias("lines"),
     )
+    return months.select(
+        year_month_text("_month").alias("yr_mo"),
+        year_text("_month").alias("yr"),
+        month_text("_month").alias("mo"),
+        "sales",
+        "profit_sum",
+        "orders",
+        "lines",
+    )
 
 
 def customer_activity_years(lines: DataFrame) -> DataFrame:
     """Distinct (Customer_ID, active year) pairs with the customer's first year.
 
+    Years are keyed as DATEs (first of January) and formatted at the end.
     The pairs come from a hash aggregate (map-side combine), so a customer
     holding a third of all lines still sends at most one row per year per
     task. The first year is a window over the pairs of one customer, which
@@ -48,8 +56,12 @@ def customer_activity_years(lines: DataFrame) -> DataFrame:
     """
     pairs = (
         lines.where(F.col("Customer_ID").isNotNull())
-        .select("Customer_ID", year_text("Order_Date").alias("active_year"))
+        .select("Customer_ID", F.trunc("Order_Date", "year").alias("_year"))
         .distinct()
     )
     per_customer = Window.partitionBy("Customer_ID")
-    return pairs.withColumn("cohort_year", F.min("active_year").over(per_customer))
+    return pairs.select(
+        "Customer_ID",
+        year_text("_year").alias("active_year"),
+        year_text(F.min("_year").over(per_customer)).alias("cohort_year"),
+    )

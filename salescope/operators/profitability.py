@@ -31,10 +31,14 @@ def growth_pct(cur: str, prev) -> F.Column:
 
 def annual_summary(lines: DataFrame) -> DataFrame:
     """Revenue, profit, margin, orders per year and year-over-year growth."""
-    annual = lines.groupBy(year_text("Order_Date").alias("order_year")).agg(
-        F.sum("Sales").alias("_sales"),
-        F.sum("Profit").alias("_profit"),
-        F.countDistinct("Order_ID").alias("total_orders"),
+    annual = (
+        lines.groupBy(F.trunc("Order_Date", "year").alias("_year"))
+        .agg(
+            F.sum("Sales").alias("_sales"),
+            F.sum("Profit").alias("_profit"),
+            F.countDistinct("Order_ID").alias("total_orders"),
+        )
+        .withColumn("order_year", year_text("_year"))
     )
     prev = F.lag("_sales").over(Window.orderBy(F.col("order_year").asc()))
     return annual.select(

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from salescope.operators import cohorts, customers, exports, profile, profitability, shipping, trends
 from salescope.plans.oracle import ORACLE_SQL
-from salescope.sources.star import order_lines
+from salescope.sources.star import order_lines_plan
 
 Analysis = Callable[[DataFrame], DataFrame]
 
@@ -59,7 +59,7 @@ ANALYSES: dict[str, Analysis] = {
 
 def _bind(fn: Analysis) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(order_lines(spark, sf_dir))
+        return fn(order_lines_plan(spark, sf_dir))
 
     run.__name__ = fn.__name__
     run.__doc__ = fn.__doc__

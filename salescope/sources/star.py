@@ -10,6 +10,7 @@ Only the columns an analysis uses survive column pruning into the scans.
 
 from __future__ import annotations
 
+import os
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
@@ -106,3 +107,19 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         (price * (F.lit(1) - discount)).cast(MONEY).alias("Sales"),
         (price * (quarter - discount)).cast(MONEY).alias("Profit"),
     )
+
+
+_PLANS: dict[tuple, DataFrame] = {}
+
+
+def order_lines_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`order_lines` built once per session and folder.
+
+    Only the logical plan object is reused, which saves the driver the
+    six-way join analysis per analysis; no data is cached, so every action
+    still scans and joins the star tables.
+    """
+    key = (spark.sparkContext.applicationId, id(spark), os.path.abspath(sf_dir))
+    if key not in _PLANS:
+        _PLANS[key] = order_lines(spark, sf_dir)
+    return _PLANS[key]
