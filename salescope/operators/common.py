@@ -9,14 +9,15 @@ from salescope.functions import count_rows, month_text, year_month_text, year_te
 
 
 def attach_total(df: DataFrame, col: str, alias: str) -> DataFrame:
-    """Add the grand total of ``col`` to every row.
+    """Add the grand total of ``col`` over all rows of an aggregated ``df``.
 
-    The total is a one-row aggregate, so broadcasting it is bounded no matter
-    how many groups ``df`` has (unlike an unpartitioned window, which would
-    pull every group into one task).
+    A window over the whole (already aggregated) result, so the upstream
+    plan runs once: a second branch computing the total would be pruned
+    differently and Spark would scan and join the lines twice. Use it on
+    results whose row count is bounded by a dimension (categories, brackets,
+    modes, segments, tiles, months), never on lines.
     """
-    total = df.agg(F.sum(col).alias(alias))
-    return df.crossJoin(F.broadcast(total))
+    return df.withColumn(alias, F.sum(col).over(Window.partitionBy()))
 
 
 def monthly_base(lines: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from salescope.functions import count_if, count_rows, day_diff, mean, money, pct, round_half_up, safe_ratio
 from salescope.operators.common import attach_total, customer_activity_years
 from salescope.operators.tiles import TileSpec, with_ntiles
+from salescope.plans.session import materialize
 from salescope.schema import CUSTOMER_KEYS
 
 # RFM segment labels with the lowest score sum that earns them.
@@ -42,13 +43,18 @@ def customer_value_overview(lines: DataFrame) -> DataFrame:
 def rfm_base(lines: DataFrame, as_of: dt.date | str | None = None) -> DataFrame:
     """Per (Customer_ID, Customer_Name, Segment): recency, frequency, spend.
 
-    ``as_of=None`` measures recency from the latest order date in the data,
-    taken from the per-customer maxima (a one-row aggregate, broadcast).
+    The per-customer aggregate is materialised once (checkpoint in the
+    session's checkpoint folder). ``as_of=None`` measures recency from the
+    latest order date in the data, read from the materialised per-customer
+    maxima as a one-row aggregate (broadcast), so the lines are not scanned
+    a second time for it.
     """
-    base = lines.groupBy(*CUSTOMER_KEYS).agg(
-        F.max("Order_Date").alias("last_order_date"),
-        F.countDistinct("Order_ID").alias("order_count"),
-        F.round(F.sum("Sales"), 2).alias("total_spend"),
+    base = materialize(
+        lines.groupBy(*CUSTOMER_KEYS).agg(
+            F.max("Order_Date").alias("last_order_date"),
+            F.countDistinct("Order_ID").alias("order_count"),
+            F.round(F.sum("Sales"), 2).alias("total_spend"),
+        )
     )
     if as_of is None:
         anchor = base.agg(F.max("last_order_date").alias("_as_of"))
@@ -72,7 +78,7 @@ def _scored(lines: DataFrame, as_of, tiles: int, **tile_kw) -> DataFrame:
         TileSpec(tiles, (("order_count", True),) + keys, "f_score"),
         TileSpec(tiles, (("total_spend", True),) + keys, "m_score"),
     ]
-    scored = with_ntiles(rfm_base(lines, as_of), specs, **tile_kw)
+    scored = with_ntiles(rfm_base(lines, as_of), specs, materialized=True, **tile_kw)
     total = F.col("r_score") + F.col("f_score") + F.col("m_score")
     return scored.withColumn("rfm_total", total).withColumn("rfm_segment", rfm_label(total))
 

@@ -3,7 +3,7 @@
 Order-level steps group by (Order_ID, Ship_Mode[, Market, Region]) with
 map-side combine, so one huge order is pre-aggregated in every task before
 the shuffle. The dominant ship mode, a correlated scalar subquery in SQL,
-is decorrelated into a small aggregate + ``row_number`` + equi-join.
+is decorrelated into a GROUPING SETS aggregate and a per-Region window.
 """
 
 from __future__ import annotations
@@ -97,30 +97,21 @@ def speed_vs_margin(lines: DataFrame) -> DataFrame:
     )
 
 
-def dominant_mode(orders: DataFrame, key: str = "Region") -> DataFrame:
-    """Most frequent Ship_Mode per ``key`` (ties: alphabetically first mode).
-
-    Input rows are order-level; the counts are one row per (key, mode), so
-    the window runs over a handful of rows per key.
-    """
-    counts = orders.groupBy(key, "Ship_Mode").agg(count_rows().alias("_n"))
-    w = Window.partitionBy(key).orderBy(F.col("_n").desc(), F.col("Ship_Mode").asc())
-    return (
-        counts.where(F.col(key).isNotNull())
-        .withColumn("_rk", F.row_number().over(w))
-        .where(F.col("_rk") == 1)
-        .select(key, F.col("Ship_Mode").alias("dominant_ship_mode"))
-    )
-
-
 def regional_shipping(lines: DataFrame, slow_days: int = 7) -> DataFrame:
     """Order-level ship speed, slowness and margin per (Market, Region).
 
     The dominant mode is taken over all order rows of the same Region name,
-    whatever the market, as the correlated subquery of the statement does.
+    whatever the market, as the correlated subquery of the statement does
+    (ties: alphabetically first mode). Both granularities come from one
+    GROUPING SETS aggregation over the order-level rows, so the lines are
+    read once; the mode is then picked by a window partitioned by Region
+    over that small result, instead of a join back.
     """
     orders = order_level(lines, ("Market", "Region", "Order_ID", "Ship_Mode"))
-    summary = orders.groupBy("Market", "Region").agg(
+    sets = orders.groupingSets(
+        [["Market", "Region"], ["Region", "Ship_Mode"]], "Market", "Region", "Ship_Mode"
+    ).agg(
+        F.grouping_id().alias("_gid"),
         F.countDistinct("Order_ID").alias("total_orders"),
         round_half_up(mean("ship_days"), 2).alias("avg_ship_days"),
         F.max("ship_days").alias("max_ship_days"),
@@ -128,12 +119,18 @@ def regional_shipping(lines: DataFrame, slow_days: int = 7) -> DataFrame:
             "pct_slow_orders"
         ),
         margin_pct(F.sum("order_profit"), F.sum("order_sales")).alias("profit_margin_pct"),
+        count_rows().alias("_n"),
     )
-    # One row per Region name on the right; Spark broadcasts it only if its
-    # measured size is under the broadcast threshold.
-    modes = dominant_mode(orders, "Region")
+    # grouping_id bits follow (Market, Region, Ship_Mode): 1 = per region, 4 = per mode
+    per_mode = F.col("_gid") == 4
+    rank_key = F.struct((-F.col("_n")).alias("n"), F.col("Ship_Mode").alias("m"))
+    dominant = F.min_by(F.when(per_mode, F.col("Ship_Mode")), F.when(per_mode, rank_key))
     return (
-        summary.join(modes, "Region", "left")
+        sets.withColumn(
+            "dominant_ship_mode",
+            F.when(F.col("Region").isNotNull(), dominant.over(Window.partitionBy("Region"))),
+        )
+        .where(F.col("_gid") == 1)
         .select(
             "Market",
             "Region",

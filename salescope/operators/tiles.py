@@ -123,13 +123,16 @@ def with_ntiles(
     max_buckets: int = 512,
     sample_per_bucket: int = 64,
     seed: int = 7,
+    materialized: bool = False,
 ) -> DataFrame:
     """Add one BIGINT tile column per spec, equal to ``NTILE(n) OVER (ORDER BY ...)``.
 
     Callers pass a total order (the value columns followed by the row key);
-    rows equal on the whole order tie arbitrarily, as in SQL.
+    rows equal on the whole order tie arbitrarily, as in SQL. The input is
+    read several times (count, sample, sizes, rows), so it is materialised
+    first unless ``materialized`` says it is already cheap to re-read.
     """
-    src = materialize(df)
+    src = df if materialized else materialize(df)
     total = src.count()
     buckets = min(max_buckets, max(1, -(-total // rows_per_bucket)))
     out = src

@@ -93,12 +93,20 @@ def test_year_filter_prunes_partitions(spark, store):
     assert "PartitionFilters: [isnotnull(order_year" in plan
 
 
-def test_dominant_mode_is_a_join_not_a_subquery(spark, sf_dir):
+def test_dominant_mode_is_decorrelated(spark, sf_dir):
     from salescope.operators.shipping import regional_shipping
 
     plan = _formatted(regional_shipping(order_lines(spark, sf_dir)))
     assert "Subquery" not in plan
-    assert "Join" in plan
+    assert "Expand" in plan and "Window" in plan
+
+
+@pytest.mark.parametrize("name", sorted(ANALYSES))
+def test_lines_are_read_once(no_aqe, sf_dir, name):
+    """No analysis joins and scans the fact table twice (a differently pruned
+    second branch over the same aggregate would)."""
+    plan = ANALYSES[name](order_lines(no_aqe, sf_dir))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet [l_orderkey") <= 1, name
 
 
 def test_detector_flags_a_window_over_raw_lines(no_aqe, sf_dir):
