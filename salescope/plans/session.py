@@ -40,11 +40,14 @@ def build_session(
 
 
 def checkpoint_dir(spark: SparkSession) -> str | None:
-    sc = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: no SparkContext, the server owns the setting
+        return configured
     current = sc.getCheckpointDir()
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir()
@@ -83,7 +86,9 @@ def spread_if_narrow(df: DataFrame, key: str) -> DataFrame:
     core count and this adds nothing to the plan. Hash (not round-robin)
     partitioning needs no sort to be deterministic on retry.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, key)
-    return df
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        narrow = df.rdd.getNumPartitions() < cores
+    except Exception:  # Spark Connect: leave the plan to the server
+        return df
+    return df.repartition(cores, key) if narrow else df

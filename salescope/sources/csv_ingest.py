@@ -55,6 +55,11 @@ def sanitized_names(raw_names: list[str]) -> list[str]:
     return names
 
 
+def sanitize_columns(df: DataFrame) -> DataFrame:
+    """IO-2 on a DataFrame: rename every column to its sanitised name."""
+    return df.toDF(*sanitized_names(df.columns))
+
+
 def target_type(raw_name: str) -> T.DataType:
     key = raw_name.lower()
     if key in DATE_COLUMNS:

@@ -110,6 +110,11 @@ def test_header_collision():
     assert ci.sanitized_names([" Order ID ", "a/b"]) == ["Order_ID", "a_b"]
 
 
+def test_sanitize_columns(spark):
+    df = spark.createDataFrame([(1, 2)], "`Sub-Category` int, ` Order ID ` int")
+    assert ci.sanitize_columns(df).columns == ["Sub_Category", "Order_ID"]
+
+
 def test_write_report_and_sample(spark, scratch_dir):
     path = write_csv(ROWS)
     out = os.path.join(scratch_dir, "lines")
