@@ -61,34 +61,28 @@ def _components(df: DataFrame, order) -> list[Column]:
     return comps
 
 
-def _less_than(comps: list[Column], bound: list) -> Column:
-    """Lexicographic ``comps < bound`` (ascending, NULLs first) for literals."""
-    result = F.lit(False)
-    # Build from the last component backwards: lt_i OR (eq_i AND rest)
-    for c, v in reversed(list(zip(comps, bound))):
-        if v is None:
-            lt, eq = F.lit(False), c.isNull()
-        else:
-            lt = c.isNull() | (c < v)
-            eq = c.eqNullSafe(v)
-        result = lt | (eq & result)
-    return result
-
+def _bucket_of(comps: list[Column], bounds: list[Column]) -> Column:
+    """Balanced CASE tree over the sorted boundaries: depth log2(B).
 
-def _bucket_of(comps: list[Column], bounds: list[list]) -> Column:
-    """Balanced CASE tree over the sorted boundaries: depth log2(B)."""
+    The key is one struct column compared with struct literals; Spark orders
+    structs field by field with NULLs first, which is how the components are
+    built, and the generated code per tree node stays a single comparison.
+    """
+    key = F.struct(*[c.alias(f"_k{i}") for i, c in enumerate(comps)])
 
     def tree(lo: int, hi: int) -> Column:
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
-        return F.when(_less_than(comps, bounds[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
+        return F.when(key < bounds[mid], tree(lo, mid)).otherwise(tree(mid + 1, hi))
 
     return tree(0, len(bounds))
 
 
-def _typed_literals(row, types) -> list:
-    return [None if v is None else F.lit(v).cast(t) for v, t in zip(row, types)]
+def _struct_literal(row, types) -> Column:
+    return F.struct(
+        *[(F.lit(None) if v is None else F.lit(v)).cast(t).alias(f"_k{i}") for i, (v, t) in enumerate(zip(row, types))]
+    )
 
 
 def _boundaries(src: DataFrame, comps, total: int, buckets: int, per_bucket: int, seed: int):
@@ -104,7 +98,7 @@ def _boundaries(src: DataFrame, comps, total: int, buckets: int, per_bucket: int
         row = tuple(sample[min(len(sample) - 1, (i * len(sample)) // buckets)])
         if not picks or picks[-1] != row:
             picks.append(row)
-    return [_typed_literals(r, types) for r in picks]
+    return [_struct_literal(r, types) for r in picks]
 
 
 def _tile_from_position(rn: Column, total: Column, n: int) -> Column:

@@ -7,6 +7,8 @@ The library never invents a checkpoint folder on a cluster: it reads
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,13 +68,18 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None) -> str | No
 def materialize(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and cut its lineage.
 
-    With a checkpoint folder (shared storage on a cluster) this is a reliable
-    ``checkpoint()``: a lost executor costs a re-read, not a recompute of the
-    whole upstream plan. Without one, fall back to a disk-backed persist,
-    which Spark recomputes from lineage if blocks are lost.
+    With a checkpoint folder (shared storage on a cluster) the result is
+    written there as a Parquet table and read back: a lost executor costs a
+    re-read, not a recompute of the upstream plan, and later passes read
+    only the columns they need (a row count comes from file metadata).
+    Without a folder, fall back to a disk-backed persist, which Spark
+    recomputes from lineage if blocks are lost.
     """
-    if checkpoint_dir(df.sparkSession):
-        return df.checkpoint(eager=True)
+    folder = checkpoint_dir(df.sparkSession)
+    if folder:
+        path = f"{folder.rstrip('/')}/salescope-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
