@@ -36,13 +36,15 @@ def cohort_retention(lines: DataFrame, horizon: int = 3) -> DataFrame:
     return per.select(*cols).orderBy("cohort_year")
 
 
-def same_month_yoy(lines: DataFrame, lag: int = 12, trailing: int = 12) -> DataFrame:
+def same_month_yoy(lines: DataFrame, lag: int = 12, trailing: int = 12, calendar: bool = False) -> DataFrame:
     """Revenue against the row ``lag`` months back and ahead.
 
     Offsets count rows of the monthly series, not calendar months, as the
     statement does; monthly figures are rounded to cents first.
+    ``calendar=True`` first adds the months without orders, so the offsets
+    are calendar months.
     """
-    m = monthly_base(lines).select(
+    m = monthly_base(lines, calendar).select(
         "yr_mo",
         "yr",
         "mo",

@@ -20,13 +20,18 @@ def attach_total(df: DataFrame, col: str, alias: str) -> DataFrame:
     return df.withColumn(alias, F.sum(col).over(Window.partitionBy()))
 
 
-def monthly_base(lines: DataFrame) -> DataFrame:
+def monthly_base(lines: DataFrame, calendar: bool = False) -> DataFrame:
     """One row per year-month: exact DECIMAL sums and distinct orders.
 
     Lines are grouped on the first day of their month (a DATE, cheap to hash
     and compare); the text keys are formatted once per month afterwards.
     Shared by the monthly trend, growth, rolling, running-total and
     same-month analyses; Catalyst prunes the aggregates a caller does not use.
+
+    ``calendar=True`` adds the months without any order between the first and
+    the last one (sums 0, counts 0), so that row offsets are calendar offsets.
+    Each present month emits itself and the empty months up to the next
+    present one, so no second pass or join over the months is needed.
     """
     months = lines.groupBy(F.trunc("Order_Date", "month").alias("_month")).agg(
         F.sum("Sales").alias("sales"),
@@ -34,6 +39,25 @@ def monthly_base(lines: DataFrame) -> DataFrame:
         F.countDistinct("Order_ID").alias("orders"),
         count_rows().alias("lines"),
     )
+    if calendar:
+        months = months.withColumn("_next", F.lead("_month").over(Window.orderBy(F.col("_month").asc())))
+        nxt = F.col("_next")
+        gap_end = F.when(
+            F.col("_month").isNotNull() & nxt.isNotNull(), F.add_months(nxt, -1)
+        ).otherwise(F.col("_month"))
+        span = F.when(
+            F.col("_month").isNotNull(),
+            F.sequence(F.col("_month"), gap_end, F.expr("INTERVAL 1 MONTH")),
+        ).otherwise(F.array(F.col("_month")))
+        filled = months.select("*", F.posexplode(span).alias("_pos", "_m")).drop("_next")
+        present = F.col("_pos") == 0
+        months = filled.select(
+            F.col("_m").alias("_month"),
+            *[
+                F.when(present, F.col(c)).otherwise(F.lit(0).cast(months.schema[c].dataType)).alias(c)
+                for c in ("sales", "profit_sum", "orders", "lines")
+            ],
+        )
     return months.select(
         year_month_text("_month").alias("yr_mo"),
         year_text("_month").alias("yr"),

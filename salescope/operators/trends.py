@@ -17,9 +17,13 @@ from salescope.operators.common import attach_total, monthly_base
 from salescope.operators.profitability import growth_pct, trailing_mean
 
 
-def mom_growth(lines: DataFrame) -> DataFrame:
-    """Monthly revenue with previous month and growth %."""
-    m = monthly_base(lines)
+def mom_growth(lines: DataFrame, calendar: bool = False) -> DataFrame:
+    """Monthly revenue with previous month and growth %.
+
+    ``calendar=True`` compares with the previous calendar month (a month
+    without orders counts as revenue 0) instead of the previous row.
+    """
+    m = monthly_base(lines, calendar)
     prev = F.lag("sales").over(Window.orderBy(F.col("yr_mo").asc()))
     return m.select(
         "yr_mo",

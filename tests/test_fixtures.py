@@ -80,6 +80,24 @@ def test_lag_counts_rows_not_months(spark):
     assert out[12]["yr_mo"] == "2012-02" and out[12]["same_month_last_year"] == out[0]["revenue"]
 
 
+def test_calendar_mode_fills_missing_months(spark):
+    from salescope.operators.cohorts import same_month_yoy
+    from salescope.operators.trends import mom_growth
+
+    out = same_month_yoy(frame(spark, "missing_month"), calendar=True).orderBy("yr_mo").collect()
+    assert len(out) == 14
+    gap = next(r for r in out if r["yr_mo"] == "2011-06")
+    assert gap["revenue"] == 0.0 and gap["orders"] == 0
+    feb = next(r for r in out if r["yr_mo"] == "2012-02")
+    assert feb["same_month_last_year"] == out[1]["revenue"]  # 2011-02
+    g = {r["yr_mo"]: r for r in mom_growth(frame(spark, "missing_month"), calendar=True).collect()}
+    assert g["2011-07"]["prev_month_revenue"] == 0.0 and g["2011-07"]["mom_growth_pct"] is None
+    # without gaps the calendar mode changes nothing
+    plain = sorted(tuple(r) for r in mom_growth(frame(spark, "split_order")).collect())
+    cal = sorted(tuple(r) for r in mom_growth(frame(spark, "split_order"), calendar=True).collect())
+    assert plain == cal
+
+
 def test_rounding_half_away_from_zero(spark):
     from salescope.operators.profile import category_mix
 
