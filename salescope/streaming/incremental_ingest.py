@@ -38,6 +38,30 @@ def _raw_stream(
     )
 
 
+def write_micro_batch(batch: DataFrame, batch_id: int, out_path: str, reject_path: str) -> None:
+    """Write one typed micro-batch: good lines and rejects, each into the
+    partitions of its batch id only (dynamic overwrite), so writing the same
+    batch again after a failure replaces it instead of adding duplicates."""
+    batch = batch.persist()
+    lines, rejects = ci.split_good_and_rejects(batch)
+    (
+        ci.with_order_year(lines)
+        .withColumn("ingest_batch", F.lit(batch_id).cast("bigint"))
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("ingest_batch", "order_year")
+        .parquet(out_path)
+    )
+    (
+        rejects.withColumn("ingest_batch", F.lit(batch_id).cast("bigint"))
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("ingest_batch")
+        .parquet(reject_path)
+    )
+    batch.unpersist()
+
+
 def start_order_csv_stream(
     spark: SparkSession,
     csv_dir: str,
@@ -57,24 +81,7 @@ def start_order_csv_stream(
     typed = ci.type_order_lines(raw)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        lines, rejects = ci.split_good_and_rejects(batch)
-        (
-            ci.with_order_year(lines)
-            .withColumn("ingest_batch", F.lit(batch_id).cast("bigint"))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("ingest_batch", "order_year")
-            .parquet(out_path)
-        )
-        (
-            rejects.withColumn("ingest_batch", F.lit(batch_id).cast("bigint"))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("ingest_batch")
-            .parquet(reject_path)
-        )
-        batch.unpersist()
+        write_micro_batch(batch, batch_id, out_path, reject_path)
 
     writer = typed.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_location)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")

@@ -5,7 +5,7 @@ import os
 import tempfile
 
 from salescope.sources import csv_ingest as ci
-from salescope.streaming.incremental_ingest import read_order_store, start_order_csv_stream
+from salescope.streaming.incremental_ingest import read_order_store, start_order_csv_stream, write_micro_batch
 
 HEADER = "Row ID,Order ID,Order Date,Customer ID,Quantity,Discount,Sales,Profit"
 
@@ -41,3 +41,18 @@ def test_stream_equals_batch(spark):
     got_rej = spark.read.parquet(rej).drop("ingest_batch")
     cols = ["row_key", "column", "value", "severity", "reason"]
     assert _sorted(got_rej.select(*cols)) == _sorted(rejects.select(*cols))
+
+
+def test_replayed_batch_replaces_its_output(spark):
+    src = tempfile.mkdtemp(prefix="salescope-replay-src-")
+    work = tempfile.mkdtemp(prefix="salescope-replay-")
+    out, rej = os.path.join(work, "lines"), os.path.join(work, "rejects")
+    _write(src, "a.csv", ["1,O-1,1-1-2011,C-1,2,0.1,10.5,1", "2,O-2,5-6-2012,C-2,x,0,3,-1"])
+    typed = ci.type_order_lines(ci.read_order_csv(spark, src, multi_line=False))
+    write_micro_batch(typed, 0, out, rej)
+    write_micro_batch(typed, 1, out, rej)
+    write_micro_batch(typed, 1, out, rej)  # replay of batch 1 after a failure
+    got = spark.read.parquet(out)
+    assert got.count() == 4
+    assert sorted(r["ingest_batch"] for r in got.select("ingest_batch").distinct().collect()) == [0, 1]
+    assert spark.read.parquet(rej).count() == 2
