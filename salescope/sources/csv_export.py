@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from salescope.operators import exports
+from salescope.plans.session import materialize
 
 # Exported file name and label per result set.
 EXPORTS = (
@@ -67,10 +68,21 @@ def export_csv(df: DataFrame, path: str, single_file: bool = True) -> None:
 
 
 def export_all(
-    spark: SparkSession, lines: DataFrame, out_dir: str, names: Sequence[str] | None = None
+    spark: SparkSession,
+    lines: DataFrame,
+    out_dir: str,
+    names: Sequence[str] | None = None,
+    materialize_lines: bool = True,
 ) -> DataFrame:
     """IO-13: run and write every export (or ``names``); return a manifest
-    (file, label, rows, path). Row counts are read back from what was written."""
+    (file, label, rows, path). Row counts are read back from what was written.
+
+    The exports all read the same lines; unless ``lines`` is already a cheap
+    scan (pass ``materialize_lines=False``), they are materialised once so the
+    upstream plan (e.g. the star joins) runs once instead of once per export.
+    """
+    if materialize_lines:
+        lines = materialize(lines)
     manifest = []
     for filename, label, fn in EXPORTS:
         if names is not None and filename not in names and fn.__name__ not in names:
