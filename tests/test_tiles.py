@@ -75,3 +75,14 @@ def test_property_matches_ntile(spark, values, n, asc):
     rows = [(f"r{i:03d}", v) for i, v in enumerate(values)]
     spec = TileSpec(n, (("v", asc), ("k", True)), "t")
     _same(spark, rows, "k string, v int", [spec], rows_per_bucket=7, sample_per_bucket=40)
+
+
+def test_rfm_and_concentration_same_on_bucketed_path(spark, sf_dir):
+    from salescope.operators.customers import revenue_concentration, rfm_scores
+    from salescope.sources.star import order_lines
+
+    lines = order_lines(spark, sf_dir)
+    for fn in (rfm_scores, revenue_concentration):
+        plain = sorted(tuple(r) for r in fn(lines).collect())
+        bucketed = sorted(tuple(r) for r in fn(lines, rows_per_bucket=50, sample_per_bucket=8).collect())
+        assert plain == bucketed, fn.__name__
