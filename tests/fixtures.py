@@ -121,7 +121,6 @@ def frame(spark, name):
 
 
 def to_duck(con, name):
-    import pandas as pd
     import pyarrow as pa
 
     cols = {f: [r[i] for r in FIXTURES[name]] for i, f in enumerate(FIELDS)}
@@ -135,5 +134,4 @@ def to_duck(con, name):
         "Profit": pa.decimal128(18, 4),
     }
     table = pa.table({f: pa.array(cols[f], type=arrow_types.get(f, pa.string())) for f in FIELDS})
-    del pd
     con.register("fixture_lines", table)

@@ -3,7 +3,6 @@ ties, NULL keys, descending keys and fewer rows than tiles."""
 
 import random
 
-import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import Window
