@@ -73,3 +73,26 @@ def test_replay_golden_growth_from_revenue_column(spark):
     for (m, _, g, r), row in zip(golden, out):
         assert row["g"] == g
         assert abs(row["r"] - r) <= 0.01
+
+
+def test_replay_golden_shares_and_order_values(spark):
+    """The share and per-order columns of the golden exports follow from their
+    count and revenue columns through our expressions."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from salescope.functions import pct, round_half_up, safe_ratio
+
+    # customer_count and pct_of_base of the golden RFM summary.
+    segments = [("Champion", 486, 30.6), ("Loyal", 416, 26.2), ("At Risk", 411, 25.8), ("Lost", 277, 17.4)]
+    # total_orders and pct_of_orders of the golden ship-mode breakdown.
+    modes = [("Same Day", 1347, 5.3), ("First Class", 3821, 15.0), ("Second Class", 5119, 20.1), ("Standard Class", 15154, 59.6)]
+    for rows in (segments, modes):
+        df = spark.createDataFrame(rows, "k string, n bigint, want double")
+        got = df.select("want", round_half_up(pct("n", F.sum("n").over(Window.partitionBy())), 1).alias("got"))
+        assert all(r["got"] == r["want"] for r in got.collect())
+    # Revenue, total_orders and avg_order_value of three golden regions.
+    regions = [(66928.17, 201, 332.98), (848309.78, 1150, 737.66), (752826.57, 1026, 733.75)]
+    df = spark.createDataFrame(regions, "rev double, orders bigint, want double")
+    got = df.select("want", round_half_up(safe_ratio("rev", "orders"), 2).alias("got")).collect()
+    assert all(r["got"] == r["want"] for r in got)
