@@ -157,3 +157,14 @@ def test_running_total_ends_at_100(spark, sf_dir):
 
     last = running_total(order_lines(spark, sf_dir)).orderBy("yr_mo").collect()[-1]
     assert last["cumulative_pct_of_total"] == 100.0
+
+
+def test_approximate_cardinality_is_close(spark, sf_dir):
+    from salescope.operators.profile import cardinality
+    from salescope.sources.star import order_lines
+
+    lines = order_lines(spark, sf_dir)
+    exact = cardinality(lines).collect()[0].asDict()
+    approx = cardinality(lines, approx=True).collect()[0].asDict()
+    for k, v in exact.items():
+        assert abs(approx[k] - v) <= max(1, 0.05 * v), k
