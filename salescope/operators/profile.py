@@ -38,15 +38,16 @@ def date_coverage(lines: DataFrame, date_col: str = "Order_Date") -> DataFrame:
 
 
 def cardinality(
-    lines: DataFrame, cols: dict[str, str] | None = None, approx: bool = False
+    lines: DataFrame, cols: dict[str, str] | None = None, approx: bool = False, rsd: float = 0.05
 ) -> DataFrame:
     """Exact distinct counts in one pass (Catalyst expands once per column).
 
     ``approx=True`` uses HyperLogLog++ sketches instead: no expand, one
-    partial-aggregate per task, about 5% relative error by default.
+    partial sketch per task; ``rsd`` is the relative standard deviation of
+    the estimate.
     """
     cols = cols or CARDINALITY_COLUMNS
-    fn = (lambda c: F.approx_count_distinct(c)) if approx else (lambda c: F.countDistinct(c))
+    fn = (lambda c: F.approx_count_distinct(c, rsd)) if approx else (lambda c: F.countDistinct(c))
     return lines.agg(*[fn(c).cast("bigint").alias(name) for c, name in cols.items()])
 
 
