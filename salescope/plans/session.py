@@ -81,21 +81,3 @@ def materialize(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
         return df.sparkSession.read.schema(df.schema).parquet(path)
     return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
-def spread_if_narrow(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition ``df`` on ``key`` over the cluster's cores when its scan
-    is narrower than that.
-
-    A small fact table stored as one Parquet row group is read by one task,
-    which then also runs every join and partial aggregate above it. On a
-    cluster reading thousands of files the scan is already wider than the
-    core count and this adds nothing to the plan. Hash (not round-robin)
-    partitioning needs no sort to be deterministic on retry.
-    """
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        narrow = df.rdd.getNumPartitions() < cores
-    except Exception:  # Spark Connect: leave the plan to the server
-        return df
-    return df.repartition(cores, key) if narrow else df

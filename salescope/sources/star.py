@@ -17,7 +17,6 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salescope.plans.session import spread_if_narrow
 from salescope.schema import MONEY, RATE
 
 # Order priority -> ship mode, and nation key // 5 -> region name.
@@ -59,7 +58,7 @@ def _ship_lag(priority, key):
 
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat order lines (schema :data:`salescope.schema.ORDER_LINE_SCHEMA`)."""
-    li = spread_if_narrow(_table(spark, sf_dir, "lineitem"), "l_orderkey")
+    li = _table(spark, sf_dir, "lineitem")
     od = _table(spark, sf_dir, "orders")
     cu = _table(spark, sf_dir, "customer")
     na = _table(spark, sf_dir, "nation")
@@ -67,7 +66,9 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     pa = _table(spark, sf_dir, "part")
 
     # orders grows with lineitem (a quarter of its rows): sort-merge join, never
-    # broadcast, whatever its size on a small test folder.
+    # broadcast, whatever its size on a small test folder. Its shuffle on the
+    # order key also spreads a fact table stored as one Parquet row group over
+    # all tasks right after the (single-task) scan.
     joined = (
         li.join(od.hint("merge"), li.l_orderkey == od.o_orderkey)
         .join(cu, F.col("o_custkey") == cu.c_custkey)
