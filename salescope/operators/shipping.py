@@ -97,7 +97,9 @@ def speed_vs_margin(lines: DataFrame) -> DataFrame:
     )
 
 
-def regional_shipping(lines: DataFrame, slow_days: int = 7) -> DataFrame:
+def regional_shipping(
+    lines: DataFrame, slow_days: int = 7, mode_by: Sequence[str] = ("Region",)
+) -> DataFrame:
     """Order-level ship speed, slowness and margin per (Market, Region).
 
     The dominant mode is taken over all order rows of the same Region name,
@@ -105,12 +107,18 @@ def regional_shipping(lines: DataFrame, slow_days: int = 7) -> DataFrame:
     (ties: alphabetically first mode). Both granularities come from one
     GROUPING SETS aggregation over the order-level rows, so the lines are
     read once; the mode is then picked by a window partitioned by Region
-    over that small result, instead of a join back.
+    over that small result, instead of a join back. ``mode_by=("Market",
+    "Region")`` takes the mode per market and region instead.
     """
+    mode_by = list(mode_by)
+    keys = ["Market", "Region", "Ship_Mode"]
+    summary_set, mode_set = ["Market", "Region"], mode_by + ["Ship_Mode"]
+
+    def gid(grouped):  # grouping_id bit i is set when keys[i] is aggregated away
+        return sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in grouped)
+
     orders = order_level(lines, ("Market", "Region", "Order_ID", "Ship_Mode"))
-    sets = orders.groupingSets(
-        [["Market", "Region"], ["Region", "Ship_Mode"]], "Market", "Region", "Ship_Mode"
-    ).agg(
+    sets = orders.groupingSets([summary_set, mode_set], *keys).agg(
         F.grouping_id().alias("_gid"),
         F.countDistinct("Order_ID").alias("total_orders"),
         round_half_up(mean("ship_days"), 2).alias("avg_ship_days"),
@@ -121,16 +129,18 @@ def regional_shipping(lines: DataFrame, slow_days: int = 7) -> DataFrame:
         margin_pct(F.sum("order_profit"), F.sum("order_sales")).alias("profit_margin_pct"),
         count_rows().alias("_n"),
     )
-    # grouping_id bits follow (Market, Region, Ship_Mode): 1 = per region, 4 = per mode
-    per_mode = F.col("_gid") == 4
+    per_mode = F.col("_gid") == gid(mode_set)
     rank_key = F.struct((-F.col("_n")).alias("n"), F.col("Ship_Mode").alias("m"))
     dominant = F.min_by(F.when(per_mode, F.col("Ship_Mode")), F.when(per_mode, rank_key))
+    known = F.lit(True)
+    for k in mode_by:
+        known = known & F.col(k).isNotNull()
     return (
         sets.withColumn(
             "dominant_ship_mode",
-            F.when(F.col("Region").isNotNull(), dominant.over(Window.partitionBy("Region"))),
+            F.when(known, dominant.over(Window.partitionBy(*mode_by))),
         )
-        .where(F.col("_gid") == 1)
+        .where(F.col("_gid") == gid(summary_set))
         .select(
             "Market",
             "Region",

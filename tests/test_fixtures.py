@@ -62,6 +62,11 @@ def test_dominant_mode_ignores_market_and_breaks_ties_alphabetically(spark):
     assert out[("EU", "North")] == "Same Day" == out[("LATAM", "North")]
     tie = regional_shipping(frame(spark, "mode_tie")).collect()
     assert tie[0]["dominant_ship_mode"] == "First Class"
+    per_market = {
+        (r["Market"], r["Region"]): r["dominant_ship_mode"]
+        for r in regional_shipping(frame(spark, "shared_region_name"), mode_by=("Market", "Region")).collect()
+    }
+    assert per_market[("EU", "North")] == "First Class" and per_market[("LATAM", "North")] == "Same Day"
 
 
 def test_shared_region_name_one_leaderboard(spark):
