@@ -54,14 +54,17 @@ def release_scratch(spark: SparkSession) -> int:
     Call it when no DataFrame that an operator returned is read any more.
     """
     paths = _SCRATCH.pop(spark.sparkContext.applicationId, [])
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(conf).delete(target, True)
+        remove(spark, path)
     return len(paths)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table that this library wrote."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def word_count(text):
     """Number of maximal runs of non-blank characters; 0 for null."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))
@@ -133,7 +136,3 @@ def by_key(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple[tupl
             start = i
     if held:
         yield held_key, pa.Table.from_batches(held)
-
-
-def table_rows(df: DataFrame) -> int:
-    return df.count()

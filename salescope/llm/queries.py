@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import graph, minhash, mixing, packing, secrets, topk, toxicity, urlfilter, warc
+from . import graph, minhash, mixing, packing, secrets, sitetree, topk, toxicity, urlfilter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +33,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(_table(spark, sf_dir, "pages"), urlfilter.rules_frame(spark))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sitetree.extract(_table(spark, sf_dir, "pages"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_takes(_table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken"
@@ -65,6 +69,7 @@ QUERIES: dict[str, Query] = {
         op1_secret_scan,
         op2_minhash_dedup,
         op3_url_filter,
+        op4_html_extraction,
         op5_mixing,
         op6_packing,
         op7_embedding_dedup,
@@ -74,4 +79,85 @@ QUERIES: dict[str, Query] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: DuckDB SQL where it can express a query.
+ORACLE_SQL: dict[str, str] = {
+    "op3_url_filter": """
+        WITH parts AS (
+            SELECT page_id,
+                   CASE WHEN contains(url, '://')
+                        THEN translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'),
+                                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+                        ELSE '' END AS host,
+                   CASE WHEN contains(url, '://')
+                        THEN regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's') ELSE '' END AS path
+            FROM pages
+        ), listed(verdict, h, p) AS (
+            VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
+                   ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+        ), best AS (
+            SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict
+            FROM parts JOIN listed ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+            GROUP BY page_id
+        )
+        SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
+        FROM parts LEFT JOIN best USING (page_id)""",
+    "op5_mixing": """
+        WITH sized AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size
+            FROM documents
+        ), sources AS (
+            SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
+        ), weighted AS (
+            SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3
+                      WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w,
+                   2.0::DOUBLE * source_size AS cap
+            FROM sources
+        ), filled AS (
+            -- the level at which the sources hold 1.5 times all words; a source is full at cap / w
+            SELECT *, ((SELECT sum(source_size) FROM sources)::DOUBLE * 1.5::DOUBLE
+                       - coalesce((SELECT sum(b.cap) FROM weighted b WHERE b.cap / b.w < a.cap / a.w), 0))
+                      / (SELECT sum(b.w) FROM weighted b WHERE b.cap / b.w >= a.cap / a.w) AS level
+            FROM weighted a
+        ), targets AS (
+            SELECT source, source_size,
+                   least(cap, w * coalesce((SELECT max(level) FROM filled WHERE level <= cap / w), 1e300)) AS target
+            FROM filled
+        ), placed AS (
+            SELECT doc_id, size, source_size, target,
+                   floor(target + 0.5)::BIGINT AS budget,
+                   coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY md5('17:' || coalesce(doc_id::VARCHAR, 'null')), doc_id, size
+                                            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS prefix
+            FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+        )
+        SELECT doc_id, size, source_size, target,
+               (CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END * size
+                + greatest(0, least(size, budget - CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END * source_size
+                                          - prefix)))::BIGINT AS taken
+        FROM placed""",
+    "op9_top_k": """
+        WITH ints AS (
+            SELECT vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, r.vec_id, list_inner_product(q.v, r.v)::BIGINT AS score
+            FROM ints q JOIN ints r ON q.vec_id <> r.vec_id AND q.vec_id % 100 = 0
+        ), ranked AS (
+            SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+            FROM scored
+        )
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10""",
+    "op10_warc": """
+        WITH hashed AS (
+            SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes,
+                   sha256(coalesce(html, '')) AS payload_digest
+            FROM pages
+        ), first AS (
+            SELECT payload_digest, min(page_id) AS page_id FROM hashed WHERE payload_bytes >= 100 GROUP BY payload_digest
+        )
+        SELECT h.page_id, payload_bytes, h.payload_digest,
+               CASE WHEN f.page_id IS NULL OR f.page_id = h.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN f.page_id <> h.page_id THEN f.page_id END AS refers_to
+        FROM hashed h LEFT JOIN first f USING (payload_digest)""",
+}

@@ -325,3 +325,18 @@ def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     return score(docs.select("doc_id", "text"), model).select(
         "doc_id", _held_out().alias("held_out"), "score", "predicted"
     )
+
+
+def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` with a score below 0.5, unchanged."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables, automaton = (_Fold(), _Fold(accents=False)), model.automaton()
+        for batch in batches:
+            stay = []
+            for text in batch.column("text").to_pylist():
+                a, b = measured(text, tables, automaton)
+                stay.append(model.bias + model.slopes[0] * a + model.slopes[1] * b < 0)
+            yield batch.filter(pa.array(stay, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
