@@ -73,20 +73,27 @@ def customer_activity_years(lines: DataFrame) -> DataFrame:
     """Distinct (Customer_ID, active year) pairs with the customer's first year.
 
     Years are keyed as DATEs (first of January) and formatted at the end.
-    The pairs come from a hash aggregate (map-side combine), so a customer
-    holding a third of all lines still sends at most one row per year per
-    task. The first year is a window over the pairs of one customer, which
-    has at most one row per calendar year: no join and no skew.
-    Customers with NULL id are dropped, as the inner joins of the SQL do.
+    One aggregate per customer collects the set of years, which the calendar
+    bounds, with map-side combine: a customer holding a third of all lines sends
+    one small set per task, and first year and active years come from the same
+    single exchange, without a sort. Lines without a date make one pair with a
+    NULL year. Customers with NULL id are dropped.
     """
-    pairs = (
+    per_customer = (
         lines.where(F.col("Customer_ID").isNotNull())
-        .select("Customer_ID", F.trunc("Order_Date", "year").alias("_year"))
-        .distinct()
+        .groupBy("Customer_ID")
+        .agg(
+            F.collect_set(F.trunc("Order_Date", "year")).alias("_years"),
+            F.bool_or(F.col("Order_Date").isNull()).alias("_undated"),
+        )
     )
-    per_customer = Window.partitionBy("Customer_ID")
-    return pairs.select(
+    undated = F.when(F.col("_undated"), F.array(F.lit(None).cast("date"))).otherwise(F.array().cast("array<date>"))
+    return per_customer.select(
+        "Customer_ID",
+        F.explode(F.concat("_years", undated)).alias("_year"),
+        F.array_min("_years").alias("_first"),
+    ).select(
         "Customer_ID",
         year_text("_year").alias("active_year"),
-        year_text(F.min("_year").over(per_customer)).alias("cohort_year"),
+        year_text("_first").alias("cohort_year"),
     )

@@ -3,12 +3,13 @@
 Per-customer aggregates come from a hash aggregate with map-side combine,
 so a customer holding a third of all lines costs one partial row per task.
 Whole-base NTILEs go through :func:`salescope.operators.tiles.with_ntiles`,
-which spreads the ordering over range buckets instead of one task.
+which finds the first row of each tile instead of sorting the base.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,7 @@ from salescope.schema import CUSTOMER_KEYS
 # RFM segment labels with the lowest score sum that earns them.
 RFM_SEGMENTS = (("Champion", 8), ("Loyal", 6), ("At Risk", 4))
 RFM_FALLBACK = "Lost"
+RFM_TILES = 3
 
 
 def customer_value_overview(lines: DataFrame) -> DataFrame:
@@ -34,7 +36,7 @@ def customer_value_overview(lines: DataFrame) -> DataFrame:
         count_rows().alias("total_customers"),
         round_half_up(mean("order_count"), 2).alias("avg_orders_per_customer"),
         round_half_up(mean("total_spend"), 2).alias("avg_lifetime_spend"),
-        round_half_up(F.avg(safe_ratio("total_spend", "order_count")), 2).alias("avg_order_value"),
+        round_half_up(mean((F.col("total_spend") / F.col("order_count")).cast("decimal(38,10)")), 2).alias("avg_order_value"),
         money(F.min("total_spend")).alias("min_customer_spend"),
         money(F.max("total_spend")).alias("max_customer_spend"),
     )
@@ -64,14 +66,19 @@ def rfm_base(lines: DataFrame, as_of: dt.date | str | None = None) -> DataFrame:
     return base.withColumn("days_since_last_order", day_diff("_as_of", "last_order_date")).drop("_as_of")
 
 
-def rfm_label(total: F.Column) -> F.Column:
+def rfm_label(total: F.Column, cuts: Sequence[tuple[str, int]] = RFM_SEGMENTS) -> F.Column:
+    """The first label of ``cuts`` whose lowest score sum is reached, else "Lost"."""
     label = F.lit(RFM_FALLBACK)
-    for name, floor in reversed(RFM_SEGMENTS):
+    for name, floor in sorted(cuts, key=lambda c: c[1]):
         label = F.when(total >= floor, F.lit(name)).otherwise(label)
     return label
 
 
-def _scored(lines: DataFrame, as_of, tiles: int, **tile_kw) -> DataFrame:
+def _scored(lines: DataFrame, as_of, tiles: int, cuts, **tile_kw) -> DataFrame:
+    if cuts is None:
+        if tiles != RFM_TILES:
+            raise ValueError(f"the default segment limits are made for {RFM_TILES} tiles; pass cuts for {tiles}")
+        cuts = RFM_SEGMENTS
     keys = tuple((k, True) for k in CUSTOMER_KEYS)
     specs = [
         TileSpec(tiles, (("days_since_last_order", False),) + keys, "r_score"),
@@ -80,12 +87,18 @@ def _scored(lines: DataFrame, as_of, tiles: int, **tile_kw) -> DataFrame:
     ]
     scored = with_ntiles(rfm_base(lines, as_of), specs, materialized=True, **tile_kw)
     total = F.col("r_score") + F.col("f_score") + F.col("m_score")
-    return scored.withColumn("rfm_total", total).withColumn("rfm_segment", rfm_label(total))
+    return scored.withColumn("rfm_total", total).withColumn("rfm_segment", rfm_label(total, cuts))
 
 
-def rfm_scores(lines: DataFrame, as_of=None, tiles: int = 3, **tile_kw) -> DataFrame:
-    """recency/frequency/monetary tiles and segment per customer."""
-    scored = _scored(lines, as_of, tiles, **tile_kw)
+def rfm_scores(
+    lines: DataFrame, as_of=None, tiles: int = RFM_TILES, cuts: Sequence[tuple[str, int]] | None = None, **tile_kw
+) -> DataFrame:
+    """recency/frequency/monetary tiles and segment per customer.
+
+    ``cuts``: (label, lowest score sum that earns it); needed with other ``tiles``
+    than 3, whose score sums go from 3 to 9.
+    """
+    scored = _scored(lines, as_of, tiles, cuts, **tile_kw)
     return scored.select(
         "Customer_ID",
         "Customer_Name",
@@ -103,10 +116,15 @@ def rfm_scores(lines: DataFrame, as_of=None, tiles: int = 3, **tile_kw) -> DataF
 
 
 def rfm_segment_summary(
-    lines: DataFrame, as_of=None, tiles: int = 3, share_name: str = "pct_of_customers", **tile_kw
+    lines: DataFrame,
+    as_of=None,
+    tiles: int = RFM_TILES,
+    share_name: str = "pct_of_customers",
+    cuts: Sequence[tuple[str, int]] | None = None,
+    **tile_kw,
 ) -> DataFrame:
     """A13 (and E2 with ``share_name='pct_of_base'``): one row per RFM segment."""
-    scored = _scored(lines, as_of, tiles, **tile_kw)
+    scored = _scored(lines, as_of, tiles, cuts, **tile_kw)
     seg = scored.groupBy("rfm_segment").agg(
         count_rows().alias("customer_count"),
         F.sum("total_spend").alias("_spend"),

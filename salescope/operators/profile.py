@@ -56,20 +56,22 @@ def null_audit(lines: DataFrame, cols: Sequence[str] = NULL_AUDIT_COLUMNS) -> Da
     return lines.agg(*[count_if(F.col(c).isNull()).alias(f"null_{c.lower()}") for c in cols])
 
 
-def category_mix(lines: DataFrame, by: str = "Category", k: int = 5) -> DataFrame:
-    """The k groups with most lines, their sales and share of all lines."""
-    grouped = lines.groupBy(by).agg(
+def category_mix(lines: DataFrame, by: str | Sequence[str] = "Category", k: int = 5) -> DataFrame:
+    """The k groups with most lines, their sales and share of all lines. ``by``
+    is a column or a list of them; the total is an aggregate of the groups."""
+    by = [by] if isinstance(by, str) else list(by)
+    grouped = lines.groupBy(*by).agg(
         count_rows().alias("order_lines"),
         F.sum("Sales").alias("_sales"),
     )
     with_total = attach_total(grouped, "order_lines", "_all_lines")
     return (
         with_total.select(
-            by,
+            *by,
             "order_lines",
             money("_sales").alias("total_sales"),
             round_half_up(pct("order_lines", "_all_lines"), 1).alias("pct_of_lines"),
         )
-        .orderBy(F.col("order_lines").desc(), F.col(by).asc())
+        .orderBy(F.col("order_lines").desc(), *[F.col(c).asc() for c in by])
         .limit(k)
     )

@@ -2,8 +2,7 @@
 
 Order-level steps group by (Order_ID, Ship_Mode[, Market, Region]) with
 map-side combine, so one huge order is pre-aggregated in every task before
-the shuffle. The dominant ship mode, a correlated scalar subquery in SQL,
-is decorrelated into a GROUPING SETS aggregate and a per-Region window.
+the shuffle. The dominant ship mode comes from windows over counted modes.
 """
 
 from __future__ import annotations
@@ -23,6 +22,7 @@ from salescope.functions import (
     money,
     pct,
     round_half_up,
+    safe_ratio,
     ship_days,
 )
 from salescope.operators.common import attach_total
@@ -71,16 +71,17 @@ def order_level(lines: DataFrame, keys: Sequence[str] = ("Order_ID", "Ship_Mode"
     )
 
 
-def speed_label(days: F.Column) -> F.Column:
-    label = F.lit(SPEED_OTHER)
-    for name, lo, hi in reversed(SPEED_BUCKETS):
+def speed_label(days: F.Column, cuts: Sequence[tuple] = SPEED_BUCKETS, other: str = SPEED_OTHER) -> F.Column:
+    label = F.lit(other)
+    for name, lo, hi in reversed(cuts):
         label = F.when(days.between(lo, hi), F.lit(name)).otherwise(label)
     return label
 
 
-def speed_vs_margin(lines: DataFrame) -> DataFrame:
-    """Order-level ship speed buckets against value and margin."""
-    orders = order_level(lines).withColumn("speed_bucket", speed_label(F.col("ship_days")))
+def speed_vs_margin(lines: DataFrame, cuts: Sequence[tuple] = SPEED_BUCKETS, other: str = SPEED_OTHER) -> DataFrame:
+    """Order-level ship speed buckets against value and margin. ``cuts``:
+    (label, first day, last day); ``other`` is the label of all further orders."""
+    orders = order_level(lines).withColumn("speed_bucket", speed_label(F.col("ship_days"), cuts, other))
     return (
         orders.groupBy("speed_bucket")
         .agg(
@@ -103,68 +104,78 @@ def regional_shipping(
     """Order-level ship speed, slowness and margin per (Market, Region).
 
     The dominant mode is taken over all order rows of the same Region name,
-    whatever the market, as the correlated subquery of the statement does
-    (ties: alphabetically first mode). Both granularities come from one
-    GROUPING SETS aggregation over the order-level rows, so the lines are
-    read once; the mode is then picked by a window partitioned by Region
-    over that small result, instead of a join back. ``mode_by=("Market",
-    "Region")`` takes the mode per market and region instead.
+    whatever the market (ties: alphabetically first mode); ``mode_by=("Market",
+    "Region")`` takes it per market and region instead.
+
+    Lines become one row per order and mode, then one per order that holds its
+    few modes, so an order counts once without a distinct count. Aggregates per
+    market, region and mode, a handful of rows, give the rest: the mode is picked
+    by windows over them. Nothing is expanded and the lines are read once.
     """
     mode_by = list(mode_by)
-    keys = ["Market", "Region", "Ship_Mode"]
-    summary_set, mode_set = ["Market", "Region"], mode_by + ["Ship_Mode"]
-
-    def gid(grouped):  # grouping_id bit i is set when keys[i] is aggregated away
-        return sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in grouped)
-
-    orders = order_level(lines, ("Market", "Region", "Order_ID", "Ship_Mode"))
-    sets = orders.groupingSets([summary_set, mode_set], *keys).agg(
-        F.grouping_id().alias("_gid"),
-        F.countDistinct("Order_ID").alias("total_orders"),
-        round_half_up(mean("ship_days"), 2).alias("avg_ship_days"),
-        F.max("ship_days").alias("max_ship_days"),
-        round_half_up(pct(count_if(F.col("ship_days") >= slow_days), count_rows()), 1).alias(
-            "pct_slow_orders"
-        ),
-        margin_pct(F.sum("order_profit"), F.sum("order_sales")).alias("profit_margin_pct"),
-        count_rows().alias("_n"),
+    place = ["Market", "Region"]
+    per_order = (
+        lines.groupBy(*place, "Order_ID", "Ship_Mode")
+        .agg(
+            day_diff(F.min("Ship_Date"), F.min("Order_Date")).alias("days"),
+            F.sum("Sales").alias("sold"),
+            F.sum("Profit").alias("gained"),
+        )
+        .groupBy(*place, "Order_ID")
+        .agg(F.collect_list(F.struct("Ship_Mode", "days", "sold", "gained")).alias("shipped"))
     )
-    per_mode = F.col("_gid") == gid(mode_set)
-    rank_key = F.struct((-F.col("_n")).alias("n"), F.col("Ship_Mode").alias("m"))
-    dominant = F.min_by(F.when(per_mode, F.col("Ship_Mode")), F.when(per_mode, rank_key))
+    shipped = per_order.select(*place, "Order_ID", F.posexplode("shipped").alias("nth", "shipped")).select(
+        *place, "Order_ID", "nth", "shipped.*"
+    )
+    by_mode = shipped.groupBy(*place, "Ship_Mode").agg(
+        count_if((F.col("nth") == 0) & F.col("Order_ID").isNotNull()).alias("orders"),
+        count_rows().alias("rows"),
+        F.count("days").alias("timed"),
+        F.sum("days").alias("days"),
+        F.max("days").alias("longest"),
+        count_if(F.col("days") >= slow_days).alias("slow"),
+        F.sum("sold").alias("sold"),
+        F.sum("gained").alias("gained"),
+    )
+    most = F.struct((-F.col("mode_rows")).alias("n"), F.col("Ship_Mode").alias("m"))
     known = F.lit(True)
     for k in mode_by:
         known = known & F.col(k).isNotNull()
+    ranked = by_mode.withColumn(
+        "mode_rows", F.sum("rows").over(Window.partitionBy(*mode_by, "Ship_Mode"))
+    ).withColumn(
+        "dominant", F.when(known, F.min_by("Ship_Mode", most).over(Window.partitionBy(*mode_by)))
+    )
     return (
-        sets.withColumn(
-            "dominant_ship_mode",
-            F.when(known, dominant.over(Window.partitionBy(*mode_by))),
-        )
-        .where(F.col("_gid") == gid(summary_set))
-        .select(
-            "Market",
-            "Region",
-            "total_orders",
-            "avg_ship_days",
-            "max_ship_days",
-            "pct_slow_orders",
-            "profit_margin_pct",
-            "dominant_ship_mode",
+        ranked.groupBy(*place)
+        .agg(
+            F.sum("orders").cast("bigint").alias("total_orders"),
+            round_half_up(safe_ratio(F.sum("days"), F.sum("timed")), 2).alias("avg_ship_days"),
+            F.max("longest").alias("max_ship_days"),
+            round_half_up(pct(F.sum("slow"), F.sum("rows")), 1).alias("pct_slow_orders"),
+            margin_pct(F.sum("gained"), F.sum("sold")).alias("profit_margin_pct"),
+            F.max("dominant").alias("dominant_ship_mode"),
         )
         .orderBy(F.col("avg_ship_days").desc(), "Market", "Region")
     )
 
 
-def discount_label(d: F.Column) -> F.Column:
-    label = F.lit(DISCOUNT_OTHER)
-    for name, lo, hi in reversed(DISCOUNT_BRACKETS):
-        label = F.when((d > F.lit(Decimal(lo))) & (d <= F.lit(Decimal(hi))), F.lit(name)).otherwise(label)
-    return F.when(d == F.lit(Decimal("0")), F.lit(NO_DISCOUNT)).otherwise(label)
+def discount_label(
+    d: F.Column, cuts: Sequence[tuple] = DISCOUNT_BRACKETS, none: str = NO_DISCOUNT, other: str = DISCOUNT_OTHER
+) -> F.Column:
+    label = F.lit(other)
+    for name, lo, hi in reversed(cuts):
+        label = F.when((d > F.lit(Decimal(str(lo)))) & (d <= F.lit(Decimal(str(hi)))), F.lit(name)).otherwise(label)
+    return F.when(d == F.lit(Decimal("0")), F.lit(none)).otherwise(label)
 
 
-def discount_vs_margin(lines: DataFrame) -> DataFrame:
-    """Line-level discount brackets against margin and loss rate."""
-    per = lines.groupBy(discount_label(F.col("Discount")).alias("discount_bracket")).agg(
+def discount_vs_margin(
+    lines: DataFrame, cuts: Sequence[tuple] = DISCOUNT_BRACKETS, none: str = NO_DISCOUNT, other: str = DISCOUNT_OTHER
+) -> DataFrame:
+    """Line-level discount brackets against margin and loss rate. ``cuts``:
+    (label, discount above, discount up to); ``none`` is the label of a discount of
+    zero, ``other`` of all further lines."""
+    per = lines.groupBy(discount_label(F.col("Discount"), cuts, none, other).alias("discount_bracket")).agg(
         count_rows().alias("order_lines"),
         round_half_up(mean("Discount") * 100, 1).alias("avg_discount_pct"),
         F.sum("Sales").alias("_sales"),

@@ -1,23 +1,19 @@
-"""NTILE over a whole relation without moving it into one task.
+"""NTILE over a whole relation without sorting or moving it.
 
 ``F.ntile(n).over(Window.orderBy(...))`` plans ``Exchange SinglePartition``:
-every row goes to one task. :func:`with_ntiles` computes the same tiles with
-the work spread by sort-key range:
-
-1. ``N`` = row count of the (materialised) input. If ``N`` fits one task
-   (``rows_per_bucket``), the plain window is used.
-2. Otherwise a bounded random sample of the full sort key (value columns
-   plus the tie-break columns, so heavy ties in the value are split too) is
-   sorted by Spark and cut into ``B`` ranges. The ``B - 1`` boundaries become
-   literals in the plan, so a row's bucket is a pure function of the row and
-   does not change when a task is retried.
-3. ``row_number`` inside each bucket (one hash exchange on the bucket id,
-   each bucket about ``N / B`` rows); bucket sizes (``B`` rows, aggregated
-   map-side) give cumulative offsets, broadcast (``B <= max_buckets``).
-4. Global position ``rn = offset + row_number``; with ``q = N div n`` and
-   ``r = N mod n`` the tile is ``(rn - 1) div (q + 1) + 1`` for
-   ``rn <= r (q + 1)`` and ``r + (rn - r (q + 1) - 1) div q + 1`` otherwise,
-   which is the SQL NTILE definition.
+every row goes to one task. NTILE needs only the first row of each tile, so
+:func:`with_ntiles` finds those rows exactly and compares every row with them:
+
+1. The row count ``N`` gives the position of each tile's first row.
+2. A range of keys holds each position, at first the whole relation. A small hash
+   sample of the rows in the ranges gives splitters; one aggregation without
+   shuffle keys counts the rows below every splitter, and each range narrows
+   to the two splitters around its position. Ranges shrink by the number of
+   splitters in each round, whatever the size and whatever the ties.
+3. Once a range holds at most ``range_rows`` rows, the row at the position is
+   read from it. All tile columns and tiles go through the same rounds.
+4. The tile of a row is one more than the number of first rows it reaches: a
+   projection with ``n - 1`` literals.
 
 Sort order follows Spark defaults: ascending puts NULLs first, descending
 puts them last.
@@ -25,6 +21,7 @@ puts them last.
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -43,10 +40,6 @@ class TileSpec:
     out: str
 
 
-def _sort_exprs(order) -> list[Column]:
-    return [F.col(c).asc() if asc else F.col(c).desc() for c, asc in order]
-
-
 def _components(df: DataFrame, order) -> list[Column]:
     """The sort key as columns that all sort ascending with NULLs first."""
     comps = []
@@ -61,100 +54,131 @@ def _components(df: DataFrame, order) -> list[Column]:
     return comps
 
 
-def _bucket_of(comps: list[Column], bounds: list[Column]) -> Column:
-    """Balanced CASE tree over the sorted boundaries: depth log2(B).
-
-    The key is one struct column compared with struct literals; Spark orders
-    structs field by field with NULLs first, which is how the components are
-    built, and the generated code per tree node stays a single comparison.
-    """
-    key = F.struct(*[c.alias(f"_k{i}") for i, c in enumerate(comps)])
-
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key < bounds[mid], tree(lo, mid)).otherwise(tree(mid + 1, hi))
-
-    return tree(0, len(bounds))
-
-
-def _struct_literal(row, types) -> Column:
-    return F.struct(
-        *[(F.lit(None) if v is None else F.lit(v)).cast(t).alias(f"_k{i}") for i, (v, t) in enumerate(zip(row, types))]
+def _literal(value, dtype: T.DataType) -> str:
+    kind = dtype.simpleString()
+    if value is None:
+        return f"CAST(NULL AS {kind})"
+    if isinstance(value, dt.datetime):
+        return f"CAST('{value.isoformat(sep=' ')}' AS {kind})"
+    if isinstance(value, dt.date):
+        return f"CAST('{value.isoformat()}' AS {kind})"
+    text = str(value).replace("\\", "\\\\").replace("'", "\\'")
+    return f"CAST('{text}' AS {kind})"
+
+
+def _reaches(key: str, row, schema: T.StructType) -> str:
+    """SQL for ``key >= row``. Structs compare field by field with NULLs first,
+    which is how the components are built."""
+    fields = ", ".join(f"'{f.name}', {_literal(v, f.dataType)}" for f, v in zip(schema.fields, row, strict=True))
+    return f"({key} >= named_struct({fields}))"
+
+
+@dataclass
+class _Cut:
+    """The first row of a tile: its position, and the range that holds it."""
+
+    key: str
+    schema: T.StructType
+    position: int  # rows before it
+    rows: int  # rows of the range
+    below: int = 0  # rows before the range
+    lo: tuple | None = None
+    hi: tuple | None = None
+
+    def inside(self) -> str:
+        parts = []
+        if self.lo is not None:
+            parts.append(_reaches(self.key, self.lo, self.schema))
+        if self.hi is not None:
+            parts.append(f"NOT {_reaches(self.key, self.hi, self.schema)}")
+        return "(" + (" AND ".join(parts) or "TRUE") + ")"
+
+
+def _starts(total: int, n: int) -> list[int]:
+    """Rows before the first row of tiles 2..n, where those tiles have rows."""
+    q, r = divmod(total, n)
+    starts = [t * q + min(t, r) for t in range(1, n)]
+    return [s for s in starts if s < total]
+
+
+def _narrow(keyed: DataFrame, cuts: list[_Cut], splitters: int, seed: int) -> None:
+    """One round for the cuts whose ranges are still too large."""
+    million = 1_000_000
+    chance = [
+        f"({c.inside()} AND pmod(xxhash64({c.key}, {seed}), {million}) < {max(1, -(-splitters * million // c.rows))})"
+        for c in cuts
+    ]
+    sample = keyed.where(F.expr(" OR ".join(chance))).select(
+        *[F.expr(x).alias(f"in{i}") for i, x in enumerate(chance)], *{c.key for c in cuts}
     )
-
-
-def _boundaries(src: DataFrame, comps, total: int, buckets: int, per_bucket: int, seed: int):
-    keyed = src.select(*[c.alias(f"_k{i}") for i, c in enumerate(comps)])
-    types = [f.dataType for f in keyed.schema.fields]
-    frac = min(1.0, buckets * per_bucket / max(total, 1))
-    names = [f"_k{i}" for i in range(len(comps))]
-    sample = keyed.sample(withReplacement=False, fraction=frac, seed=seed).orderBy(*names).collect()
-    if len(sample) < 2:
-        return []
-    picks = []
-    for i in range(1, buckets):
-        row = tuple(sample[min(len(sample) - 1, (i * len(sample)) // buckets)])
-        if not picks or picks[-1] != row:
-            picks.append(row)
-    return [_struct_literal(r, types) for r in picks]
-
-
-def _tile_from_position(rn: Column, total: Column, n: int) -> Column:
-    q = F.floor(total / n).cast("bigint")
-    r = (total % n).cast("bigint")
-    big = r * (q + 1)
-    first = F.floor((rn - 1) / (q + 1)).cast("bigint") + 1
-    rest = r + F.floor((rn - big - 1) / F.when(q > 0, q)).cast("bigint") + 1
-    return F.when(rn <= big, first).otherwise(rest)
+    tried: list[list[tuple]] = [[] for _ in cuts]
+    for row in sample.limit(64 * splitters * len(cuts)).collect():
+        for i, c in enumerate(cuts):
+            if row[f"in{i}"]:
+                tried[i].append(tuple(row[c.key]))
+    counts = keyed.agg(
+        F.lit(0).alias("none"),
+        *[
+            F.expr(f"count_if(NOT {_reaches(c.key, key, c.schema)})").alias(f"c{i}_{j}")
+            for i, c in enumerate(cuts)
+            for j, key in enumerate(tried[i])
+        ],
+    ).first()
+    for i, c in enumerate(cuts):
+        end = c.below + c.rows
+        for j, key in enumerate(tried[i]):
+            before = counts[f"c{i}_{j}"]
+            if c.below < before <= c.position:
+                c.below, c.lo = before, key
+            elif c.position < before < end:
+                end, c.hi = before, key
+        c.rows = end - c.below
+
+
+def _first_rows(keyed: DataFrame, cuts: list[_Cut]) -> list[tuple]:
+    """The row at the position of each cut; ranges are small by now."""
+    ids = ", ".join(f"CASE WHEN {c.inside()} THEN {i} END" for i, c in enumerate(cuts))
+    found = keyed.where(F.expr(" OR ".join(c.inside() for c in cuts))).select(
+        F.explode(F.expr(f"filter(array({ids}), x -> x IS NOT NULL)")).alias("cut"), F.col(cuts[0].key).alias("key")
+    )
+    at = F.row_number().over(Window.partitionBy("cut").orderBy("key")) - 1
+    wanted = " OR ".join(f"(cut = {i} AND at = {c.position - c.below})" for i, c in enumerate(cuts))
+    rows = found.withColumn("at", at).where(wanted).collect()
+    by_cut = {r["cut"]: tuple(r["key"]) for r in rows}
+    return [by_cut[i] for i in range(len(cuts))]
 
 
 def with_ntiles(
-    df: DataFrame,
-    specs: list[TileSpec],
-    rows_per_bucket: int = 2_000_000,
-    max_buckets: int = 512,
-    sample_per_bucket: int = 64,
-    seed: int = 7,
-    materialized: bool = False,
+    df: DataFrame, specs: list[TileSpec], range_rows: int = 4096, splitters: int = 24, materialized: bool = False
 ) -> DataFrame:
     """Add one BIGINT tile column per spec, equal to ``NTILE(n) OVER (ORDER BY ...)``.
 
-    Callers pass a total order (the value columns followed by the row key);
-    rows equal on the whole order tie arbitrarily, as in SQL. The input is
-    read several times (count, sample, sizes, rows), so it is materialised
-    first unless ``materialized`` says it is already cheap to re-read.
+    The order must be total: callers pass the value columns followed by a unique
+    row key. The input is read several times, so it is materialised first unless
+    ``materialized`` says it is already cheap to re-read. What comes to the driver
+    is bounded by the parameters and the number of tiles.
     """
     src = df if materialized else materialize(df)
+    keyed = src.select(
+        *[
+            F.struct(*[c.alias(f"k{i}") for i, c in enumerate(_components(src, s.order))]).alias(f"s{n}")
+            for n, s in enumerate(specs)
+        ]
+    )
     total = src.count()
-    buckets = min(max_buckets, max(1, -(-total // rows_per_bucket)))
+    cuts = [
+        [_Cut(f"s{n}", keyed.schema[f"s{n}"].dataType, start, total) for start in _starts(total, s.n)]
+        for n, s in enumerate(specs)
+    ]
+    seed = 0
+    while large := [c for own in cuts for c in own if c.rows > range_rows]:
+        seed += 1
+        for i in range(0, len(large), 12):  # so many cuts share a pass, to keep its plan small
+            _narrow(keyed, large[i : i + 12], splitters, seed)
     out = src
-    for spec in specs:
-        if buckets == 1:
-            w = Window.orderBy(*_sort_exprs(spec.order))
-            out = out.withColumn(spec.out, F.ntile(spec.n).over(w).cast("bigint"))
-            continue
-        comps = _components(src, spec.order)
-        bounds = _boundaries(src, comps, total, buckets, sample_per_bucket, seed)
-        bucket = _bucket_of(comps, bounds) if bounds else F.lit(0)
-        sizes = (
-            src.select(bucket.alias("_bkt"))
-            .groupBy("_bkt")
-            .agg(F.count(F.lit(1)).alias("_cnt"))
-        )
-        before = Window.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = sizes.select(
-            "_bkt",
-            F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"),
-            F.sum("_cnt").over(Window.partitionBy()).alias("_tot"),
-        )
-        inner = Window.partitionBy("_bkt").orderBy(*_sort_exprs(spec.order))
-        out = (
-            out.withColumn("_bkt", bucket)
-            .withColumn("_rn", F.row_number().over(inner))
-            .join(F.broadcast(offsets), "_bkt")
-            .withColumn(spec.out, _tile_from_position(F.col("_off") + F.col("_rn"), F.col("_tot"), spec.n))
-            .drop("_bkt", "_rn", "_off", "_tot")
-        )
+    for n, (spec, own) in enumerate(zip(specs, cuts, strict=True)):
+        firsts = _first_rows(keyed, own) if own else []
+        steps = [f"CAST({_reaches('_tile_key', row, own[0].schema)} AS BIGINT)" for row in firsts]
+        key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(_components(src, spec.order))])
+        out = out.withColumn("_tile_key", key).withColumn(spec.out, F.expr(" + ".join(["1L", *steps]))).drop("_tile_key")
     return out

@@ -36,16 +36,25 @@ def mom_growth(lines: DataFrame, calendar: bool = False) -> DataFrame:
     ).orderBy("yr_mo")
 
 
-def rolling_average(lines: DataFrame, months: int = 3) -> DataFrame:
-    """Monthly revenue and profit with trailing means over ``months`` rows."""
+MEASURES = {"revenue": "sales", "profit": "profit_sum", "orders": "orders", "lines": "lines"}
+
+
+def rolling_average(lines: DataFrame, months: int = 3, measures: Sequence[str] = ("revenue", "profit")) -> DataFrame:
+    """Monthly revenue and profit with trailing means over ``months`` rows of
+    each of ``measures`` (revenue, profit, orders, lines)."""
+    unknown = [x for x in measures if x not in MEASURES]
+    if unknown:
+        raise ValueError(f"unknown measures {unknown}; known are {list(MEASURES)}")
     m = monthly_base(lines)
     return m.select(
         "yr_mo",
         money("sales").alias("revenue"),
         money("profit_sum").alias("profit"),
         margin_pct("profit_sum", "sales").alias("margin_pct"),
-        round_half_up(trailing_mean("sales", "yr_mo", months), 2).alias(f"rolling_{months}mo_revenue"),
-        round_half_up(trailing_mean("profit_sum", "yr_mo", months), 2).alias(f"rolling_{months}mo_profit"),
+        *[
+            round_half_up(trailing_mean(MEASURES[x], "yr_mo", months), 2).alias(f"rolling_{months}mo_{x}")
+            for x in measures
+        ],
     ).orderBy("yr_mo")
 
 
@@ -59,9 +68,15 @@ def revenue_leaderboard(
     Revenue and profit are rounded before ranking, as in the statement. The
     in-region rank partitions by ``partition`` only (Region by default, so
     same-named regions of different markets share one leaderboard).
-    The global rank orders groups, whose number is bounded by the product
-    and geography dimensions, not by the line count.
+    The global rank orders the groups of ``by``, any columns that include those of
+    ``partition``: their number is bounded by those dimensions, not by the
+    line count, and they are ranked in one task.
     """
+    by, partition = list(by), list(partition)
+    if not set(partition) <= set(by):
+        raise ValueError(f"partition {partition} is not part of by {by}")
+    shown = [c for c in ("Market", "Region", "Category", "Sub_Category") if c in by]
+    shown += [c for c in by if c not in shown]
     groups = lines.groupBy(*by).agg(
         F.round(F.sum("Sales"), 2).alias("_rev"),
         F.round(F.sum("Profit"), 2).alias("_prof"),
@@ -70,17 +85,14 @@ def revenue_leaderboard(
     in_region = Window.partitionBy(*partition).orderBy(F.col("_rev").desc())
     overall = Window.orderBy(F.col("_rev").desc())
     return groups.select(
-        "Market",
-        "Region",
-        "Category",
-        "Sub_Category",
+        *shown,
         F.col("_rev").cast("double").alias("revenue"),
         F.col("_prof").cast("double").alias("profit"),
         margin_pct("_prof", "_rev").alias("margin_pct"),
         "order_lines",
         F.rank().over(in_region).cast("bigint").alias("revenue_rank_in_region"),
         F.rank().over(overall).cast("bigint").alias("global_revenue_rank"),
-    ).orderBy(*partition, "revenue_rank_in_region", "Market", "Category", "Sub_Category")
+    ).orderBy(*partition, "revenue_rank_in_region", *[c for c in shown if c not in partition])
 
 
 def running_total(lines: DataFrame) -> DataFrame:

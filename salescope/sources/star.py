@@ -1,7 +1,6 @@
 """Flat order lines derived from the star-schema test tables.
 
-lineitem -> orders -> customer -> nation -> region, lineitem -> part, all
-inner equi-joins on keys. No broadcast hint: Spark broadcasts a dimension
+orders -> customer -> nation -> region, lineitem -> orders and part, all inner equi-joins on keys. No broadcast hint: Spark broadcasts a dimension
 only when its measured size is under ``spark.sql.autoBroadcastJoinThreshold``
 (and AQE re-checks at run time), so a dimension that grows with the data
 falls back to a sort-merge join instead of exhausting executor memory. The
@@ -11,7 +10,6 @@ Only the columns an analysis uses survive column pruning into the scans.
 
 from __future__ import annotations
 
-import os
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
@@ -65,16 +63,19 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rg = _table(spark, sf_dir, "region")
     pa = _table(spark, sf_dir, "part")
 
-    # orders grows with lineitem (a quarter of its rows): sort-merge join, never
-    # broadcast, whatever its size on a small test folder. Its shuffle on the
-    # order key also spreads a fact table stored as one Parquet row group over
-    # all tasks right after the (single-task) scan.
-    joined = (
-        li.join(od.hint("merge"), li.l_orderkey == od.o_orderkey)
-        .join(cu, F.col("o_custkey") == cu.c_custkey)
+    # Orders meet their dimensions first, at a quarter of the fact rows; the wide
+    # orders then meet lineitem on the order key. With dimensions too large to
+    # broadcast only orders are shuffled by customer, and lineitem once by order
+    # and once by part. orders grows with lineitem: sort-merge join whatever its
+    # size on a small test folder; its shuffle also spreads a fact table stored as
+    # one Parquet row group over all tasks.
+    placed = (
+        od.join(cu, od.o_custkey == cu.c_custkey)
         .join(na, F.col("c_nationkey") == na.n_nationkey)
         .join(rg, F.col("n_regionkey") == rg.r_regionkey)
-        .join(pa, F.col("l_partkey") == pa.p_partkey)
+    )
+    joined = li.join(placed.hint("merge"), li.l_orderkey == F.col("o_orderkey")).join(
+        pa, F.col("l_partkey") == pa.p_partkey
     )
 
     order_date = F.col("o_orderdate").cast("date")
@@ -111,19 +112,3 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         (price * (F.lit(1) - discount)).cast(MONEY).alias("Sales"),
         (price * (quarter - discount)).cast(MONEY).alias("Profit"),
     )
-
-
-_PLANS: dict[tuple, DataFrame] = {}
-
-
-def order_lines_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """:func:`order_lines` built once per session and folder.
-
-    Only the logical plan object is reused, which saves the driver the
-    six-way join analysis per analysis; no data is cached, so every action
-    still scans and joins the star tables.
-    """
-    key = (spark.sparkContext.applicationId, id(spark), os.path.abspath(sf_dir))
-    if key not in _PLANS:
-        _PLANS[key] = order_lines(spark, sf_dir)
-    return _PLANS[key]

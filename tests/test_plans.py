@@ -98,7 +98,45 @@ def test_dominant_mode_is_decorrelated(spark, sf_dir):
 
     plan = _formatted(regional_shipping(order_lines(spark, sf_dir)))
     assert "Subquery" not in plan
-    assert "Expand" in plan and "Window" in plan
+    assert "Expand" not in plan and "Window" in plan
+
+
+def _order_years_exchanges(spark, sf_dir, name):
+    plan = ANALYSES[name](order_lines(spark, sf_dir))._jdf.queryExecution().executedPlan().toString()
+    return plan.count("hashpartitioning(Customer_ID#")
+
+
+@pytest.mark.parametrize("name", ["new_vs_returning", "cohort_retention"])
+def test_one_exchange_per_customer(no_aqe, sf_dir, name):
+    assert _order_years_exchanges(no_aqe, sf_dir, name) == 1
+
+
+def test_fact_is_shuffled_once_by_order_and_once_by_part(no_aqe, sf_dir):
+    no_aqe.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = order_lines(no_aqe, sf_dir)._jdf.queryExecution().executedPlan()
+    finally:
+        no_aqe.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+    def count(node):
+        own = node.nodeName() == "Exchange" and "lineitem" in node.toString()
+        return own + sum(count(c) for c in _children(node))
+
+    assert count(plan) == 2
+
+
+def test_new_files_are_seen(spark, sf_dir, tmp_path):
+    import shutil
+
+    from salescope.plans.registry import star_queries
+
+    for t in ("lineitem", "orders", "customer", "nation", "region", "part"):
+        os.makedirs(tmp_path / f"{t}.parquet")
+        shutil.copy(os.path.join(sf_dir, f"{t}.parquet"), tmp_path / f"{t}.parquet" / "a.parquet")
+    query = star_queries()["dataset_shape"]
+    once = query(spark, str(tmp_path)).first()["total_rows"]
+    shutil.copy(os.path.join(sf_dir, "lineitem.parquet"), tmp_path / "lineitem.parquet" / "b.parquet")
+    assert query(spark, str(tmp_path)).first()["total_rows"] == 2 * once
 
 
 @pytest.mark.parametrize("name", sorted(ANALYSES))

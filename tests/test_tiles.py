@@ -1,4 +1,4 @@
-"""The range-bucketed NTILE equals F.ntile over one window, also with heavy
+"""The NTILE by exact cut rows equals F.ntile over one window, also with heavy
 ties, NULL keys, descending keys and fewer rows than tiles."""
 
 import random
@@ -28,7 +28,7 @@ def _same(spark, rows, schema, specs, **kw):
     assert g == w
 
 
-def test_heavy_ties_split_across_buckets(spark):
+def test_heavy_ties(spark):
     # a third of the rows share one value; the id breaks the tie
     rng = random.Random(3)
     rows = [(f"C-{i:05d}", 1 if i % 3 == 0 else rng.randint(2, 40), rng.random()) for i in range(3000)]
@@ -37,7 +37,7 @@ def test_heavy_ties_split_across_buckets(spark):
         TileSpec(5, (("cnt", False), ("id", True)), "r"),
         TileSpec(7, (("val", True), ("id", True)), "m"),
     ]
-    _same(spark, rows, "id string, cnt int, val double", specs, rows_per_bucket=100, sample_per_bucket=20)
+    _same(spark, rows, "id string, cnt int, val double", specs, range_rows=100, splitters=20)
 
 
 def test_nulls_and_more_tiles_than_rows(spark):
@@ -47,21 +47,26 @@ def test_nulls_and_more_tiles_than_rows(spark):
         TileSpec(3, (("v", False), ("k", True)), "desc3"),
         TileSpec(9, (("v", True), ("k", True)), "many"),
     ]
-    _same(spark, rows, "k string, v int", specs, rows_per_bucket=2, sample_per_bucket=50)
+    _same(spark, rows, "k string, v int", specs, range_rows=2, splitters=8)
 
 
-def test_single_bucket_path_is_plain_ntile(spark):
+def test_small_relation_takes_the_same_path(spark):
     rows = [(f"k{i}", i % 4) for i in range(50)]
     _same(spark, rows, "k string, v int", [TileSpec(4, (("v", True), ("k", True)), "t")])
 
 
-def test_bucketed_plan_has_no_single_partition_exchange(spark):
+def test_plan_moves_no_rows(spark):
     rows = [(f"k{i:04d}", i % 17) for i in range(2000)]
     df = spark.createDataFrame(rows, "k string, v int")
-    out = with_ntiles(df, [TileSpec(3, (("v", True), ("k", True)), "t")], rows_per_bucket=200)
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    # the only single-partition exchange allowed is over the bucket sizes
-    assert "SinglePartition" not in plan.split("BroadcastExchange")[0]
+    specs = [TileSpec(3, (("v", True), ("k", True)), "t"), TileSpec(5, (("v", False), ("k", True)), "u")]
+    plan = with_ntiles(df, specs, range_rows=100)._jdf.queryExecution().executedPlan().toString()
+    for node in ("Exchange", "Sort", "Window", "Join"):
+        assert node not in plan
+
+
+def test_quotes_and_backslashes_in_keys(spark):
+    rows = [("it's", 1), ("back\\slash", 1), ('"x"', 1), ("", 1), ("é", 1), ("a\nb", 1)]
+    _same(spark, rows, "k string, v int", [TileSpec(3, (("v", True), ("k", True)), "t")], range_rows=2, splitters=6)
 
 
 @settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -73,7 +78,7 @@ def test_bucketed_plan_has_no_single_partition_exchange(spark):
 def test_property_matches_ntile(spark, values, n, asc):
     rows = [(f"r{i:03d}", v) for i, v in enumerate(values)]
     spec = TileSpec(n, (("v", asc), ("k", True)), "t")
-    _same(spark, rows, "k string, v int", [spec], rows_per_bucket=7, sample_per_bucket=40)
+    _same(spark, rows, "k string, v int", [spec], range_rows=7, splitters=6)
 
 
 def test_rfm_and_concentration_same_on_bucketed_path(spark, sf_dir):
@@ -83,5 +88,5 @@ def test_rfm_and_concentration_same_on_bucketed_path(spark, sf_dir):
     lines = order_lines(spark, sf_dir)
     for fn in (rfm_scores, revenue_concentration):
         plain = sorted(tuple(r) for r in fn(lines).collect())
-        bucketed = sorted(tuple(r) for r in fn(lines, rows_per_bucket=50, sample_per_bucket=8).collect())
+        bucketed = sorted(tuple(r) for r in fn(lines, range_rows=20, splitters=8).collect())
         assert plain == bucketed, fn.__name__
