@@ -4,8 +4,9 @@ import pytest
 
 import __spark_entry__ as entry_mod
 from oracle_compare import compare, duck
+from salescope.plans.registry import ANALYSES
 
-NAMES = sorted(entry_mod.queries())
+NAMES = sorted(ANALYSES)
 
 
 @pytest.fixture(scope="module")
@@ -14,7 +15,7 @@ def con(sf_dir):
 
 
 def test_every_query_has_oracle():
-    assert set(entry_mod.queries()) == set(entry_mod.oracle_sql())
+    assert set(NAMES) <= set(entry_mod.queries()) & set(entry_mod.oracle_sql())
     assert len(NAMES) == 31
 
 
