@@ -231,17 +231,20 @@ def near_duplicates(
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that stay: one for each component. Rows without a
-    doc_id or without words stay; rows that repeat a kept doc_id count as one."""
-    kept = near_duplicates(docs, **options).where("kept")
-    once = write_table(kept.groupBy("doc_id").agg(F.count("*").alias("times")), "kept")
-    stay = docs.alias("d").join(once.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")))
-    if once.where("times > 1 and doc_id is not null").isEmpty():
-        return stay.select("d.*")
-    # some ids repeat: the first row in text order stays
-    first = stay.where("k.times > 1 and d.doc_id is not null").groupBy("d.doc_id").agg(
-        F.min(F.struct(*(F.col(f"d.`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)))).alias("row")
-    )
-    return stay.where("k.times = 1 or d.doc_id is null").select("d.*").unionAll(
-        first.select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)))
+    """The rows of ``docs`` that stay: one for each component. Rows without words
+    stay; rows that repeat a kept doc_id count as one. Rows without a doc_id are
+    compared like others, but a row with one is preferred to them; those with the
+    same text count as one."""
+    stand_in = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("text"), 2)
+    keyed = docs.withColumn("_dedup_id", F.coalesce(F.col("doc_id").cast("long"), stand_in))
+    kept = near_duplicates(keyed.select(F.col("_dedup_id").alias("doc_id"), "text"), **options).where("kept")
+    once = write_table(kept.groupBy(F.col("doc_id").alias("_dedup_id")).agg(F.count("*").alias("_times")), "kept")
+    stay = keyed.join(once, "_dedup_id")
+    if once.where("_times > 1").isEmpty():
+        return stay.select(*docs.columns)
+    # some ids repeat: the first row in column order stays
+    row = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)))
+    first = stay.where("_times > 1").groupBy("_dedup_id").agg(F.min(row).alias("_row"))
+    return stay.where("_times = 1").select(*docs.columns).unionAll(
+        first.select(*(F.col(f"_row.c{i}").alias(c) for i, c in enumerate(docs.columns)))
     )

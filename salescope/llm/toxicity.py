@@ -182,7 +182,7 @@ def _candidates(training: DataFrame, n1: int, n0: int, max_lexicon: int) -> tupl
         (F.col("clean") + 0.5) / (n0 - F.col("clean") + 0.5)
     )
     rows = (
-        counts.where((share > base) & (surprise > math.log(100 * tried)) & (odds > LEAST_ODDS))
+        counts.where((share > base) & (surprise > math.log(10 * tried)) & (odds > LEAST_ODDS))
         .select("gram", odds.alias("odds"))
         .orderBy(F.desc(surprise), "gram")
         .limit(max_lexicon)
@@ -238,7 +238,7 @@ def learn_lexicon(training: DataFrame, max_lexicon: int = MAX_LEXICON) -> dict[s
                 toxic[k][at] = context
             else:
                 clean[k] += 1
-    base, bar = n1 / (n0 + n1), math.log(100 * tried)
+    base, bar = n1 / (n0 + n1), math.log(10 * tried)
     worth = lambda k, docs: _surprise(len({toxic[k][d] for d in docs}), clean[k], base) if docs else 0.0
     chosen: dict[str, float] = {}
     explained: dict[str, set[int]] = {}
