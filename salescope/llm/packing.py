@@ -7,11 +7,14 @@ greedily. Document frequencies and lengths are those of all documents.
 
 from __future__ import annotations
 
+import json
 import re
+import struct
+import sys
+import types
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +36,7 @@ COMMON_SHARE = 0.1
 #: BM25 constants.
 K1, B = 1.2, 0.75
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 
 _LETTERS = "".join(
     re.escape(chr(c)) for c in range(0x21, 0x250) if unicodedata.category(chr(c))[0] == "L"
@@ -46,36 +49,52 @@ _PLAIN_WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[
 _PLAIN_TEXT = re.compile("[\\t\\n\\r\\x20-\\x7e\\u00a1-\\u012f\\u0131-\\u024f]*\\Z")
 
 
+def _worker_store() -> dict:
+    """A dictionary that lives as long as the Python worker, so that what one task
+    has learnt of words serves the next."""
+    return vars(sys.modules.setdefault("_salescope_worker", types.ModuleType("_salescope_worker")))
+
+
 class WordTokenizer:
-    """Token ids of texts; ids of words are remembered between texts."""
+    """Token ids of texts; ids of words are remembered between texts and tasks."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, list[int]] = {}
+        store = _worker_store()
+        if path not in store:
+            from tokenizers import Tokenizer
+
+            whole = Tokenizer.from_file(path)
+            # words come cut and in lower case: only their bytes remain to be mapped
+            spec = json.loads(whole.to_str())
+            spec["normalizer"] = None
+            steps = spec["pre_tokenizer"]["pretokenizers"]
+            spec["pre_tokenizer"] = next(x for x in steps if x["type"] == "ByteLevel")
+            store[path] = (whole, Tokenizer.from_str(json.dumps(spec)), {})
+        self.tokenizer, self.of_words, self.known = store[path]
 
     def plain(self, text: str) -> bool:
-        return bool(_PLAIN_TEXT.match(text)) and "<|" not in text and unicodedata.is_normalized("NFC", text)
+        return bool(_PLAIN_TEXT.match(text)) and "<|" not in text and (text.isascii() or unicodedata.is_normalized("NFC", text))
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        plain = [self.plain(t) for t in texts]
-        words = [_PLAIN_WORD.findall(t.lower()) if p else None for t, p in zip(texts, plain, strict=True)]
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids as little-endian unsigned 32-bit, END_ID last."""
+        words = [_PLAIN_WORD.findall(t.lower()) if self.plain(t) else None for t in texts]
         known = self.known
-        new = list({w for ws in words if ws is not None for w in ws if w not in known})
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        new = list(set().union(*(ws for ws in words if ws)).difference(known))
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = e.ids
+            for w, e in zip(part, self.of_words.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                ids = e.ids
+                known[w] = struct.pack(f"<{len(ids)}I", *ids)
+        end = struct.pack("<I", END_ID)
         out = []
         for text, ws in zip(texts, words, strict=True):
             if ws is None:
                 ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-                out.append(np.array([*ids, END_ID], dtype=np.uint32))
+                out.append(struct.pack(f"<{len(ids)}I", *ids) + end)
             else:
-                out.append(np.fromiter(chain(chain.from_iterable(map(known.__getitem__, ws)), (END_ID,)), dtype=np.uint32))
+                out.append(b"".join(map(known.__getitem__, ws)) + end)
         return out
 
 
@@ -87,8 +106,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, batch_chars: int = 1 << 20) -
         tokenizer = WordTokenizer(tokenizer_path)
 
         def out(ids, texts):
-            found = [x.astype("<u4").tobytes() for x in tokenizer.encode(texts)]
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.binary())], names=["doc_id", "ids"])
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tokenizer.encode(texts), pa.binary())], names=["doc_id", "ids"])
 
         for batch in batches:
             ids, texts, size = [], [], 0
@@ -111,13 +129,18 @@ def document_frequencies(tokens: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(1 << 16, dtype=np.int64)
+        first = np.zeros(1 << 16, dtype=np.int64)
         docs = total = 0
         for batch in batches:
             for raw in batch.column("ids"):
                 ids = np.frombuffer(raw.as_buffer(), dtype="<u4")
-                if len(ids) and int(ids.max()) >= len(df):
-                    df = np.concatenate([df, np.zeros(int(ids.max()) + 1, dtype=np.int64)])
-                df[_distinct(ids, len(df))] += 1
+                top = int(ids.max(initial=0))
+                if top >= len(df):
+                    df = np.concatenate([df, np.zeros(top + 1, dtype=np.int64)])
+                    first = np.zeros(len(df), dtype=np.int64)
+                place = np.arange(len(ids))
+                first[ids[::-1]] = place[::-1]
+                df[ids[first[ids] == place]] += 1  # each distinct id once
                 docs, total = docs + 1, total + len(ids)
         used = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays(
@@ -134,12 +157,6 @@ def document_frequencies(tokens: DataFrame) -> DataFrame:
     )
 
 
-def _distinct(ids: np.ndarray, size: int) -> np.ndarray:
-    seen = np.zeros(size, dtype=bool)
-    seen[ids] = True
-    return np.flatnonzero(seen)
-
-
 class Shard:
     """A BM25 index over units, runs of ids, of which some get used up."""
 
