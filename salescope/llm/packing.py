@@ -8,6 +8,7 @@ greedily. Document frequencies and lengths are those of all documents.
 from __future__ import annotations
 
 import json
+import os
 import re
 import struct
 import sys
@@ -61,6 +62,8 @@ class WordTokenizer:
     def __init__(self, path: str):
         store = _worker_store()
         if path not in store:
+            # Spark runs one worker a core; threads of the library would only contend
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer
 
             whole = Tokenizer.from_file(path)
