@@ -149,7 +149,7 @@ def _first_rows(keyed: DataFrame, cuts: list[_Cut]) -> list[tuple]:
 
 
 def with_ntiles(
-    df: DataFrame, specs: list[TileSpec], range_rows: int = 4096, splitters: int = 24, materialized: bool = False
+    df: DataFrame, specs: list[TileSpec], range_rows: int = 100_000, splitters: int = 16, materialized: bool = False
 ) -> DataFrame:
     """Add one BIGINT tile column per spec, equal to ``NTILE(n) OVER (ORDER BY ...)``.
 
