@@ -72,6 +72,11 @@ _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 _TOKEN = re.compile(r"[a-z]+|[0-9]+")
 
 
+def _is_inline(tag: str) -> bool:
+    """Unknown elements are inline, as browsers show them."""
+    return tag in _INLINE or tag not in _KNOWN_BLOCKS
+
+
 def _attributes(raw: str) -> dict[str, str]:
     return {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(raw)} if raw and not raw.isspace() else {}
 
@@ -122,7 +127,7 @@ class Page:
                 if frame[0] in ends.split():
                     self._close(frame[0])
                     break
-        inline = tag in _INLINE or tag not in _KNOWN_BLOCKS
+        inline = _is_inline(tag)
         if not inline:
             self._flush()
         if tag in _VOID:
@@ -132,7 +137,7 @@ class Page:
         if not inline:
             here = f"{path}/{tag}"
             if attributes:
-                here += "".join(f".{x}" for x in sorted(re.sub("[0-9]+", "0", f"{attributes.get('class', '')} {attributes.get('id', '')}").split()))
+                here += "".join(f".{x}" for x in sorted(re.sub("[0-9]{2,}", "0", f"{attributes.get('class', '')} {attributes.get('id', '')}").split()))
             self.children.setdefault(path, []).append(here[len(path) + 1 :])
         else:
             here = path
@@ -143,11 +148,11 @@ class Page:
         self._stack.append((tag, dropped, in_main, here, judged))
 
     def _close(self, tag: str) -> None:
-        if tag not in _INLINE:
+        if not _is_inline(tag):
             self._flush()
         for i in range(len(self._stack) - 1, 0, -1):
             if self._stack[i][0] == tag:
-                self._flush() if any(f[0] not in _INLINE for f in self._stack[i:]) else None
+                self._flush() if any(not _is_inline(f[0]) for f in self._stack[i:]) else None
                 del self._stack[i:]
                 return
             if self._stack[i][0] in _ROOTS and tag in _INLINE:
