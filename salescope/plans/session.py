@@ -65,8 +65,30 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None) -> str | No
     return current
 
 
+#: What materialize wrote or persisted, by application.
+_MATERIALIZED: dict[str, list[str | DataFrame]] = {}
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a table that this library wrote."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release_materialized(spark: SparkSession) -> int:
+    """Remove what :func:`materialize` made in this application; returns how much
+    there was. Call it when no result of an analysis is read any more."""
+    held = _MATERIALIZED.pop(spark.sparkContext.applicationId, [])
+    for item in held:
+        if isinstance(item, str):
+            remove_path(spark, item)
+        else:
+            item.unpersist()
+    return len(held)
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and cut its lineage.
+    """Compute ``df`` once and cut its lineage; :func:`release_materialized` frees it.
 
     With a checkpoint folder (shared storage on a cluster) the result is
     written there as a Parquet table and read back: a lost executor costs a
@@ -76,8 +98,11 @@ def materialize(df: DataFrame) -> DataFrame:
     recomputes from lineage if blocks are lost.
     """
     folder = checkpoint_dir(df.sparkSession)
+    held = _MATERIALIZED.setdefault(df.sparkSession.sparkContext.applicationId, [])
     if folder:
         path = f"{folder.rstrip('/')}/salescope-{uuid.uuid4().hex}"
+        held.append(path)
         df.write.parquet(path)
         return df.sparkSession.read.schema(df.schema).parquet(path)
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    held.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+    return df

@@ -4,13 +4,13 @@ reported result sets with a manifest (IO-13).
 Doubles are written as plain decimals (``12642501.93``, ``5585.0``), not in
 Spark's scientific form; NULL is an empty field; quotes inside fields are
 doubled. The exported results are aggregates of at most a few hundred rows,
-so each is written as one file; per-customer outputs should use
-``single_file=False``.
+so the batch export asks for one file each.
 """
 
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from salescope.operators import exports
-from salescope.plans.session import materialize
+from salescope.plans.session import remove_path
 
 # Exported file name and label per result set.
 EXPORTS = (
@@ -46,11 +46,11 @@ def csv_ready(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def export_csv(df: DataFrame, path: str, single_file: bool = True) -> None:
+def export_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     """IO-12: header row, UTF-8, no index, NULL as an empty field.
 
-    ``single_file`` keeps the result order in one part file by sorting first
-    and coalescing the sorted result.
+    ``single_file`` coalesces the result into one part file, in its order: one
+    task writes it, so ask for it on small results only.
     """
     out = csv_ready(df)
     if single_file:
@@ -72,23 +72,28 @@ def export_all(
     lines: DataFrame,
     out_dir: str,
     names: Sequence[str] | None = None,
-    materialize_lines: bool = True,
+    lines_dir: str | None = None,
 ) -> DataFrame:
     """IO-13: run and write every export (or ``names``); return a manifest
     (file, label, rows, path). Row counts are read back from what was written.
 
-    The exports all read the same lines; unless ``lines`` is already a cheap
-    scan (pass ``materialize_lines=False``), they are materialised once so the
-    upstream plan (e.g. the star joins) runs once instead of once per export.
+    The exports all read the same lines. Where these are no cheap scan, name a
+    shared folder as ``lines_dir``: they are written there once, so that the
+    upstream plan (e.g. the star joins) runs once, and removed at the end.
     """
-    if materialize_lines:
-        lines = materialize(lines)
+    if lines_dir is not None:
+        copy = f"{lines_dir.rstrip('/')}/lines-{uuid.uuid4().hex}"
+        lines.write.parquet(copy)
+        try:
+            return export_all(spark, spark.read.schema(lines.schema).parquet(copy), out_dir, names)
+        finally:
+            remove_path(spark, copy)
     manifest = []
     for filename, label, fn in EXPORTS:
         if names is not None and filename not in names and fn.__name__ not in names:
             continue
         path = os.path.join(out_dir, filename)
-        export_csv(fn(lines), path)
+        export_csv(fn(lines), path, single_file=True)
         written = spark.read.option("header", True).csv(path).count()
         manifest.append((filename, label, written, path))
     return spark.createDataFrame(manifest, "file string, label string, rows bigint, path string")

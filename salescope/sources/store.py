@@ -1,24 +1,33 @@
 """The flat order-line store: Parquet partitioned by ``order_year`` (IO-11).
 
-Analyses read it with the declared schema (no footer inference), so
-filters on typed columns reach the scan as Parquet pushed filters and a
-filter on ``order_year`` prunes whole directories.
+The store is read with the columns it was written with, so filters on typed
+columns reach the scan as Parquet pushed filters and a filter on
+``order_year`` prunes whole directories.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from salescope.schema import ORDER_LINE_SCHEMA
+from salescope.schema import ORDER_LINE_SCHEMA, SHIPPING_COST
 from salescope.sources.csv_ingest import write_order_lines
 from salescope.sources.star import order_lines
 
-STORE_SCHEMA = T.StructType(ORDER_LINE_SCHEMA.fields + [T.StructField("order_year", T.IntegerType(), True)])
+STORE_TYPES = {f.name: f.dataType for f in [*ORDER_LINE_SCHEMA.fields, SHIPPING_COST]} | {"order_year": T.IntegerType()}
 
 
 def read_order_store(spark: SparkSession, path: str, keep_year: bool = False) -> DataFrame:
-    df = spark.read.schema(STORE_SCHEMA).parquet(path)
+    """Every stored column, pass-through ones included; known ones are cast where
+    they were stored with another type."""
+    df = spark.read.parquet(path)
+    casts = {
+        f.name: F.col(f.name).cast(STORE_TYPES[f.name])
+        for f in df.schema.fields
+        if f.dataType != STORE_TYPES.get(f.name, f.dataType)
+    }
+    df = df.withColumns(casts) if casts else df
     return df if keep_year else df.drop("order_year")
 
 

@@ -2,7 +2,7 @@
 
 The batch loader rebuilds the whole store (full refresh). When order CSV
 files keep arriving in a folder, the same checks and typing run as a file
-stream: each micro-batch is typed once, its good lines are appended to the
+stream: each micro-batch is typed, its good lines are appended to the
 Parquet store (partitioned by ingest batch and order year) and its problems
 to the reject store. Writes use dynamic partition overwrite keyed by the
 batch id, so a micro-batch replayed after a failure replaces its own output
@@ -13,7 +13,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from salescope.sources import csv_ingest as ci
@@ -22,17 +21,11 @@ from salescope.sources import csv_ingest as ci
 def _raw_stream(
     spark: SparkSession, csv_dir: str, header: list[str], multi_line: bool, encoding: str, max_files: int | None
 ) -> DataFrame:
-    schema = T.StructType(
-        [T.StructField(h, T.StringType(), True) for h in header]
-        + [T.StructField(ci.CORRUPT, T.StringType(), True)]
-    )
-    reader = spark.readStream.options(**ci._csv_options(encoding, multi_line))
+    reader = spark.readStream.options(**ci.csv_options(encoding, multi_line))
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return (
-        reader.option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", ci.CORRUPT)
-        .schema(schema)
+        reader.schema(ci.raw_schema(header))
         .csv(csv_dir)
         .select("*", F.col("_metadata.file_path").alias("_source_file"))
     )
@@ -42,7 +35,6 @@ def write_micro_batch(batch: DataFrame, batch_id: int, out_path: str, reject_pat
     """Write one typed micro-batch: good lines and rejects, each into the
     partitions of its batch id only (dynamic overwrite), so writing the same
     batch again after a failure replaces it instead of adding duplicates."""
-    batch = batch.persist()
     lines, rejects = ci.split_good_and_rejects(batch)
     (
         ci.with_order_year(lines)
@@ -59,7 +51,6 @@ def write_micro_batch(batch: DataFrame, batch_id: int, out_path: str, reject_pat
         .partitionBy("ingest_batch")
         .parquet(reject_path)
     )
-    batch.unpersist()
 
 
 def start_order_csv_stream(
@@ -69,14 +60,14 @@ def start_order_csv_stream(
     reject_path: str,
     checkpoint_location: str,
     header: list[str] | None = None,
-    multi_line: bool = False,
+    multi_line: bool = True,
     encoding: str = "ISO-8859-1",
     available_now: bool = True,
     max_files_per_trigger: int | None = None,
 ) -> StreamingQuery:
     """Start the stream; ``available_now`` processes what is there and stops."""
     if header is None:
-        header = spark.read.options(**ci._csv_options(encoding, multi_line)).csv(csv_dir).columns
+        header = ci.read_header(spark, csv_dir, multi_line, encoding)
     raw = _raw_stream(spark, csv_dir, header, multi_line, encoding, max_files_per_trigger)
     typed = ci.type_order_lines(raw)
 

@@ -8,6 +8,7 @@ import os
 from salescope.sources import csv_export as ce
 from salescope.sources.star import order_lines
 
+# The headers of the exported files.
 GOLDEN_COLUMNS = {
     "revenue_by_region.csv": "Market,Region,revenue,profit,profit_margin_pct,total_orders,unique_customers,avg_order_value",
     "rfm_segment_summary.csv": "rfm_segment,customer_count,pct_of_base,avg_lifetime_spend,avg_orders,avg_days_since_last_order",
@@ -29,7 +30,7 @@ def test_plain_numbers_quotes_and_nulls(spark, scratch_dir):
         "s string, big double, whole double, n double, k bigint",
     )
     path = os.path.join(scratch_dir, "fmt")
-    ce.export_csv(df.orderBy("k"), path)
+    ce.export_csv(df.orderBy("k"), path, single_file=True)
     rows = read_single(path)
     assert rows[0] == ["s", "big", "whole", "n", "k"]
     assert ["", "0.04", "-7.83", "1.0", ""] in rows
@@ -49,6 +50,25 @@ def test_export_all_writes_four_files_with_golden_headers(spark, sf_dir, scratch
     assert [r[0] for r in monthly[1:]] == sorted(r[0] for r in monthly[1:])
 
 
+def test_copy_of_lines_is_removed(spark, sf_dir, scratch_dir):
+    copies = os.path.join(scratch_dir, "copies")
+    out = os.path.join(scratch_dir, "exports-2")
+    manifest = ce.export_all(spark, order_lines(spark, sf_dir), out, names=["shipping_mode_breakdown.csv"], lines_dir=copies)
+    assert manifest.count() == 1 and os.listdir(copies) == []
+
+
+def test_materialized_tables_are_released(spark):
+    from salescope.plans.session import checkpoint_dir, materialize, release_materialized
+
+    release_materialized(spark)
+    folder = checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    assert materialize(spark.range(3)).count() == 3
+    assert len(set(os.listdir(folder)) - before) == 1
+    assert release_materialized(spark) == 1
+    assert set(os.listdir(folder)) == before
+
+
 def test_replay_golden_growth_from_revenue_column(spark):
     """Feed the golden monthly revenue into the growth expressions: the growth
     column follows exactly and the rolling mean within 0.01 (it averages
