@@ -19,7 +19,7 @@ SHARE = 1.5
 #: No source, and no document, is taken more often.
 MAX_EPOCHS = 2
 #: Key ranges of about so many documents are sorted together.
-RANGE_ROWS = 50_000
+RANGE_ROWS = 4_096
 _PREFIX_DIGITS = 7
 
 
