@@ -5,11 +5,11 @@ every row goes to one task. NTILE needs only the first row of each tile, so
 :func:`with_ntiles` finds those rows exactly and compares every row with them:
 
 1. The row count ``N`` gives the position of each tile's first row.
-2. A range of keys holds each position, at first the whole relation. A small hash
-   sample of the rows in the ranges gives splitters; one aggregation without
-   shuffle keys counts the rows below every splitter, and each range narrows
-   to the two splitters around its position. Ranges shrink by the number of
-   splitters in each round, whatever the size and whatever the ties.
+2. A range of keys holds each position, at first the whole relation. The sorted
+   keys of a small hash sample of the range propose where the position lies, and
+   within what bounds; one aggregation without shuffle keys counts the rows
+   below these proposals, so the range narrows by exact counts whatever the
+   sample says, whatever the size and whatever the ties.
 3. Once a range holds at most ``range_rows`` rows, the row at the position is
    read from it. All tile columns and tiles go through the same rounds.
 4. The tile of a row is one more than the number of first rows it reaches: a
@@ -24,13 +24,15 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from salescope.plans.session import materialize
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
+#: So many cuts share a pass over the rows, to keep its plan small.
+CUTS_A_PASS = 16
 
 
 @dataclass(frozen=True)
@@ -101,21 +103,31 @@ def _starts(total: int, n: int) -> list[int]:
     return [s for s in starts if s < total]
 
 
-def _narrow(keyed: DataFrame, cuts: list[_Cut], splitters: int, seed: int) -> None:
+def _sorted_keys(keyed: DataFrame, cuts: list[_Cut], where: list[str]) -> DataFrame:
+    """One row: for each cut the sorted keys (k0, k1, ...) that satisfy its condition."""
+    return keyed.agg(
+        *[
+            F.expr(f"sort_array(collect_list(CASE WHEN {x} THEN {c.key} END))").alias(f"k{i}")
+            for i, (c, x) in enumerate(zip(cuts, where, strict=True))
+        ]
+    )
+
+
+def _narrow(keyed: DataFrame, cuts: list[_Cut], sample_rows: int, seed: int) -> None:
     """One round for the cuts whose ranges are still too large."""
-    million = 1_000_000
-    chance = [
-        f"({c.inside()} AND pmod(xxhash64({c.key}, {seed}), {million}) < {max(1, -(-splitters * million // c.rows))})"
-        for c in cuts
+    scale = 1_000_000_000
+    chosen = [
+        f"{c.inside()} AND pmod(xxhash64({c.key}, {seed}), {scale}) < {-(-sample_rows * scale // c.rows)}" for c in cuts
     ]
-    sample = keyed.where(F.expr(" OR ".join(chance))).select(
-        *[F.expr(x).alias(f"in{i}") for i, x in enumerate(chance)], *{c.key for c in cuts}
-    )
-    tried: list[list[tuple]] = [[] for _ in cuts]
-    for row in sample.limit(64 * splitters * len(cuts)).collect():
-        for i, c in enumerate(cuts):
-            if row[f"in{i}"]:
-                tried[i].append(tuple(row[c.key]))
+    proposals = []
+    for i, c in enumerate(cuts):
+        share = (c.position - c.below) / c.rows
+        # the position among m sampled keys is binomial: four deviations to both sides
+        spread = f"4 * sqrt(size(k{i}) * {share * (1 - share)!r}D) + 1"
+        at = [f"CAST(floor(size(k{i}) * {share!r}D + {side} * ({spread})) AS INT)" for side in (-1, 0, 1)]
+        proposals.append(f"array({', '.join(f'get(k{i}, {x})' for x in at)}) AS p{i}")
+    row = _sorted_keys(keyed, cuts, chosen).selectExpr(*proposals).first()
+    tried = [[tuple(key) for key in row[f"p{i}"] if key is not None] for i in range(len(cuts))]
     counts = keyed.agg(
         F.lit(0).alias("none"),
         *[
@@ -137,26 +149,21 @@ def _narrow(keyed: DataFrame, cuts: list[_Cut], splitters: int, seed: int) -> No
 
 def _first_rows(keyed: DataFrame, cuts: list[_Cut]) -> list[tuple]:
     """The row at the position of each cut; ranges are small by now."""
-    ids = ", ".join(f"CASE WHEN {c.inside()} THEN {i} END" for i, c in enumerate(cuts))
-    found = keyed.where(F.expr(" OR ".join(c.inside() for c in cuts))).select(
-        F.explode(F.expr(f"filter(array({ids}), x -> x IS NOT NULL)")).alias("cut"), F.col(cuts[0].key).alias("key")
-    )
-    at = F.row_number().over(Window.partitionBy("cut").orderBy("key")) - 1
-    wanted = " OR ".join(f"(cut = {i} AND at = {c.position - c.below})" for i, c in enumerate(cuts))
-    rows = found.withColumn("at", at).where(wanted).collect()
-    by_cut = {r["cut"]: tuple(r["key"]) for r in rows}
-    return [by_cut[i] for i in range(len(cuts))]
+    keys = _sorted_keys(keyed, cuts, [c.inside() for c in cuts])
+    row = keys.selectExpr(*[f"k{i}[{c.position - c.below}] AS p{i}" for i, c in enumerate(cuts)]).first()
+    return [tuple(key) for key in row]
 
 
 def with_ntiles(
-    df: DataFrame, specs: list[TileSpec], range_rows: int = 100_000, splitters: int = 16, materialized: bool = False
+    df: DataFrame, specs: list[TileSpec], range_rows: int = 32_768, splitters: int = 16_384, materialized: bool = False
 ) -> DataFrame:
     """Add one BIGINT tile column per spec, equal to ``NTILE(n) OVER (ORDER BY ...)``.
 
     The order must be total: callers pass the value columns followed by a unique
     row key. The input is read several times, so it is materialised first unless
-    ``materialized`` says it is already cheap to re-read. What comes to the driver
-    is bounded by the parameters and the number of tiles.
+    ``materialized`` says it is already cheap to re-read. ``splitters`` is the number
+    of rows sampled from a range in a round. A task sorts at most that many keys, or
+    ``range_rows``, for each cut; the driver gets three keys and counts a cut.
     """
     src = df if materialized else materialize(df)
     keyed = src.select(
@@ -173,12 +180,15 @@ def with_ntiles(
     seed = 0
     while large := [c for own in cuts for c in own if c.rows > range_rows]:
         seed += 1
-        for i in range(0, len(large), 12):  # so many cuts share a pass, to keep its plan small
-            _narrow(keyed, large[i : i + 12], splitters, seed)
+        for i in range(0, len(large), CUTS_A_PASS):
+            _narrow(keyed, large[i : i + CUTS_A_PASS], splitters, seed)
+    flat = [c for own in cuts for c in own]
+    firsts = [row for i in range(0, len(flat), CUTS_A_PASS) for row in _first_rows(keyed, flat[i : i + CUTS_A_PASS])]
+    at = 0
     out = src
-    for n, (spec, own) in enumerate(zip(specs, cuts, strict=True)):
-        firsts = _first_rows(keyed, own) if own else []
-        steps = [f"CAST({_reaches('_tile_key', row, own[0].schema)} AS BIGINT)" for row in firsts]
+    for spec, own in zip(specs, cuts, strict=True):
+        rows, at = firsts[at : at + len(own)], at + len(own)
+        steps = [f"CAST({_reaches('_tile_key', row, own[0].schema)} AS BIGINT)" for row in rows]
         key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(_components(src, spec.order))])
         out = out.withColumn("_tile_key", key).withColumn(spec.out, F.expr(" + ".join(["1L", *steps]))).drop("_tile_key")
     return out
