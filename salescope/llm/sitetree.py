@@ -4,12 +4,15 @@ The pages of a host are merged by the paths of their elements. An element of
 the merged tree matters if its pages show it in different ways: the entropy of
 its child sequences (presentation) and of its texts (content) over the pages
 is its importance. Branches of low importance are removed from each page, as
-are elements that say themselves that they are menus, footers or the like;
-what is left of the article, or else of the body, is the text.
+are elements that say themselves that they are menus, footers or the like.
+Single blocks are judged too, inside the article as elsewhere: one that most of
+the host's distinct pages show in the same place is removed. What is left of the
+article, or else of the body, is the text.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 import zlib
@@ -24,6 +27,8 @@ from .urlfilter import url_host
 
 #: Elements of less importance are removed; hosts with fewer pages are not judged.
 LEAST_IMPORTANCE, LEAST_PAGES = 0.3, 4
+#: A block on more than this share of its host's distinct pages is removed.
+MOST = 0.5
 #: Weight of content against presentation.
 GAMMA = 0.9
 
@@ -61,7 +66,7 @@ _SIBLINGS = {
     "li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)),
     "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",)),
 }
-#: Plain text elements of an article are never judged by their site.
+#: Plain text elements of an article are not judged as elements, but by the block.
 _PROSE = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tfoot tr td th caption figure figcaption".split())
 
 _TAG = re.compile(
@@ -96,11 +101,17 @@ def _hidden(tag: str, attributes: dict[str, str], in_main: bool) -> bool:
     return any(t in _HINTS for t in _TOKEN.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", named).lower()))
 
 
+def _hash(*parts: str) -> int:
+    raw = "\0".join(parts).encode("utf-8", "replace")
+    return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "big", signed=True)
+
+
 class Page:
     """The blocks of a page, and its elements that the site may judge."""
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, bool, tuple[str, ...]]] = []
+        # text, inside the article, judged paths, path of the element that holds it
+        self.blocks: list[tuple[str, bool, tuple[str, ...], str]] = []
         self.children: dict[str, list[str]] = {}
         self._buffer: list[str] = []
         # tag, dropped, inside the article, path, judged paths from the body on
@@ -113,8 +124,8 @@ class Page:
             text = " ".join(entities.unescape("".join(self._buffer)).split())
             self._buffer.clear()
             if text:
-                _, _, in_main, _, judged = self._stack[-1]
-                self.blocks.append((text, in_main, judged))
+                _, _, in_main, path, judged = self._stack[-1]
+                self.blocks.append((text, in_main, judged, path))
 
     def _open(self, tag: str, raw: str) -> None:
         if tag in _CLOSES_P and any(f[0] == "p" for f in self._stack):
@@ -181,17 +192,20 @@ class Page:
                 stop = re.compile(rf"</{tag}", re.I).search(source, at)
                 at = stop.start() if stop else n
 
-    def text(self, low: frozenset[str] = frozenset()) -> str:
-        """The blocks outside branches of low importance (all, if none is left),
-        inside the article if the page has one."""
-        kept = [b for b in self.blocks if not low.intersection(b[2])] or self.blocks
+    def text(self, low: frozenset[str] = frozenset(), repeated: frozenset[int] = frozenset()) -> str:
+        """The blocks that are not repeated and outside branches of low importance
+        (all, if none is left), inside the article if the page has one."""
+        kept = [b for b in self.blocks if not low.intersection(b[2])]
+        if repeated:
+            kept = [b for b in kept if _hash(b[3], b[0]) not in repeated]
+        kept = kept or self.blocks
         kept = [b for b in kept if b[1]] or kept
         return "\n".join(b[0] for b in kept)
 
     def elements(self) -> dict[str, tuple[int, list[int]]]:
         """path -> (hash of the child sequence, hashes of the texts of the branch)."""
         out: dict[str, tuple[int, list[int]]] = {}
-        for text, _, judged in self.blocks:
+        for text, _, judged, _ in self.blocks:
             h = zlib.crc32(text.encode("utf-8", "replace"))
             for path in judged:
                 if path not in out:
@@ -201,22 +215,43 @@ class Page:
         return out
 
 
-def site_elements(pages: DataFrame) -> DataFrame:
-    """page_key, host, path, style and texts of the elements that can be judged."""
+SHOWN = (
+    "page_key string, host string, shown long, blocks array<long>, "
+    "elements array<struct<path: string, style: bigint, texts: array<bigint>>>"
+)
+
+
+def site_pages(pages: DataFrame) -> DataFrame:
+    """page_key, host, shown, blocks and elements of the pages that have text: a hash
+    of all that the page shows, one of each (place, text) of it, and path, style and
+    texts of its elements that can be judged."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        element = pa.struct([("path", pa.string()), ("style", pa.int64()), ("texts", pa.list_(pa.int64()))])
+        types = [pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(element)]
+        names = ["page_key", "host", "shown", "blocks", "elements"]
         for batch in batches:
             rows = []
             for key, host, source in zip(*(batch.column(c).to_pylist() for c in ("page_key", "host", "html")), strict=True):
-                rows += [(key, host, p, s, t) for p, (s, t) in Page(source or "").elements().items()]
+                page = Page(source or "")
+                found = [_hash(b[3], b[0]) for b in page.blocks]
+                if found:
+                    elements = [{"path": p, "style": s, "texts": t} for p, (s, t) in page.elements().items()]
+                    rows.append((key, host, _hash(*map(str, found)), list(dict.fromkeys(found)), elements))
             if rows:
-                types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64())]
-                names = ["page_key", "host", "path", "style", "texts"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    return pages.select("page_key", "host", "html").mapInArrow(
-        parse, "page_key string, host string, path string, style long, texts array<long>"
-    )
+    return pages.select("page_key", "host", "html").mapInArrow(parse, SHOWN)
+
+
+def repeated_blocks(blocks: DataFrame, most: float, pages: int) -> DataFrame:
+    """(host, block) that more than ``most`` of the host's distinct pages show; pages
+    that show the same count once."""
+    distinct = blocks.groupBy("host", "shown").agg(F.min("blocks").alias("blocks"))
+    hosts = distinct.groupBy("host").agg(F.count("*").alias("m")).where(F.col("m") >= pages)
+    counts = distinct.select("host", F.explode("blocks").alias("block")).groupBy("host", "block").agg(F.count("*").alias("c"))
+    # m is at least ``pages``, so most counts go before the join
+    return counts.where(F.col("c") > most * pages).join(hosts, "host").where(F.col("c") > most * F.col("m")).select("host", "block")
 
 
 def unimportant(elements: DataFrame, gamma: float, least: float, pages: int) -> DataFrame:
@@ -238,14 +273,15 @@ def unimportant(elements: DataFrame, gamma: float, least: float, pages: int) ->
 
 
 def extract(
-    pages: DataFrame, gamma: float = GAMMA, least: float = LEAST_IMPORTANCE, least_pages: int = LEAST_PAGES
+    pages: DataFrame, gamma: float = GAMMA, least: float = LEAST_IMPORTANCE, least_pages: int = LEAST_PAGES, most: float = MOST
 ) -> DataFrame:
     """Per row of ``pages`` (page_id, url, html): page_id, url, text, n_chars.
 
     Blocks are joined by line breaks; white space inside a block is one space.
-    Null and empty html give an empty text. Plain text elements of an article are
-    kept whatever their site shows; where all text of a page is of low importance
-    it is kept. Repeated rows are extracted each and count as pages of their host.
+    Null and empty html give an empty text. Plain text elements of an article go
+    by the block, where most distinct pages of the host show it; where all text of a
+    page is of low importance it is kept. Repeated rows are extracted each; for the
+    importance of elements they count as pages of their host.
 
     Statistics are aggregated by (host, path, value) with map-side combination, so
     a host with a third of all pages is many small groups. Pages learn of their
@@ -258,17 +294,24 @@ def extract(
         url_host(F.col("url")).alias("host"),
         F.sha2(F.concat_ws("\u0001", F.col("page_id").cast("string"), "url", "html").cast("binary"), 256).alias("page_key"),
     )
-    elements = write_table(site_elements(keyed), "elements")
+    seen = write_table(site_pages(keyed), "seen")
+    elements = seen.select("page_key", "host", F.explode("elements").alias("e")).select("page_key", "host", "e.*")
     low = write_table(unimportant(elements, gamma, least, least_pages), "low")
+    repeated = write_table(repeated_blocks(seen, most, least_pages), "repeated")
+    blocks = seen.select("page_key", "host", F.explode("blocks").alias("block"))
+    marks = (
+        elements.join(low, ["host", "path"]).select("page_key", "path", F.lit(None).cast("long").alias("block"))
+        .unionAll(blocks.join(repeated, ["host", "block"]).select("page_key", F.lit(None).cast("string"), "block"))
+    )
     marked = write_table(
-        elements.join(low, ["host", "path"]).groupBy("page_key").agg(F.collect_set("path").alias("low")), "marked"
+        marks.groupBy("page_key").agg(F.collect_set("path").alias("low"), F.collect_set("block").alias("repeated")), "marked"
     )
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [
-                Page(source or "").text(frozenset(low or ()))
-                for source, low in zip(batch.column("html").to_pylist(), batch.column("low").to_pylist(), strict=True)
+                Page(source or "").text(frozenset(low or ()), frozenset(repeated or ()))
+                for source, low, repeated in zip(*(batch.column(c).to_pylist() for c in ("html", "low", "repeated")), strict=True)
             ]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -281,6 +324,6 @@ def extract(
     # the marked pages are a written table, so their size is known when this join is planned
     return (
         keyed.join(marked, "page_key", "left")
-        .select("page_id", "url", "html", "low")
+        .select("page_id", "url", "html", "low", "repeated")
         .mapInArrow(texts, "page_id long, url string, text string, n_chars long")
     )

@@ -89,6 +89,18 @@ def test_site_tree_removes_what_a_host_repeats(pages_of):
     assert out[205] == "always this"  # nothing else on the page
 
 
+def test_blocks_that_a_host_repeats_go_from_the_article(pages_of):
+    page = lambda i: f"<article><h1>title {i}</h1><p>Sign up <b>now</b></p><p>story {i}</p><p>shared</p>and {i}<p>Rate this page</article>"
+    rows = [(i, "http://one.org/", page(i).replace("shared", "shared" if i < 10 else f"own {i}")) for i in range(20)]
+    rows += [(100 + i, "http://copy.org/", page(0 if i < 9 else i)) for i in range(11)]  # three distinct pages
+    rows += [(200, "http://one.org/2", "<article><p>Sign up <b>now</b></p></article>")]
+    out = {r["page_id"]: r["text"] for r in sitetree.extract(pages_of(rows)).collect()}
+    assert out[3] == "title 3\nstory 3\nshared\nand 3"  # on half of the pages, not on most
+    assert out[15] == "title 15\nstory 15\nown 15\nand 15"
+    assert out[100] == "title 0\nSign up now\nstory 0\nshared\nand 0\nRate this page"
+    assert out[200] == "Sign up now"  # nothing else on the page
+
+
 # ---- WARC
 def warc_rows():
     same = "<p>" + "x" * 200
