@@ -1,13 +1,16 @@
 """Packing (operator 6) by lexical retrieval.
 
-Documents become token ids. Shards of documents are indexed by BM25; a seed
-document asks its shard's index for unused neighbours, which fill its window
-greedily. Document frequencies and lengths are those of all documents.
+Documents become token ids. They are dealt into shards by content: a tree of
+directions, fitted to a sample, gives each a place, and a shard is a run of
+places. Shards are indexed by BM25; a seed document asks its shard's index with
+all its terms for unused neighbours, which fill its window greedily. Document
+frequencies and lengths are those of all documents.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import os
 import re
 import struct
@@ -28,12 +31,15 @@ from .common import write_table
 WINDOW = 4096
 #: Appended to each document.
 END_ID = 2
-#: Documents, and tokens, of an index shard.
+#: Documents of an index shard, on average; at most twice as many, and so many tokens.
 SHARD_DOCS, SHARD_TOKENS = 2048, 1 << 22
-#: Terms of a seed that are asked for, and neighbours taken from one answer.
-QUERY_TERMS, NEIGHBOURS = 12, 64
-#: Terms in more than this share of all documents are not indexed.
-COMMON_SHARE = 0.1
+#: Neighbours that are put in order at first; the others follow when these are used up.
+NEIGHBOURS = 64
+#: Terms in more than this share of a shard's units are scored by rows of a matrix.
+DENSE_SHARE = 0.125
+#: Length of a document's vector, documents that the tree is fitted to, fewest of
+#: them on each side of a branch, and most branches to a leaf.
+WIDTH, SAMPLE_DOCS, LEAST_SAMPLE, DEPTH = 128, 32_768, 16, 11
 #: BM25 constants.
 K1, B = 1.2, 0.75
 #: Words whose ids a worker remembers.
@@ -160,6 +166,79 @@ def document_frequencies(tokens: DataFrame) -> DataFrame:
     )
 
 
+class Places:
+    """Places of documents in an order in which like ones are near each other.
+
+    A vector is a random projection of the document's BM25 weights. The tree halves
+    the sample at each branch along the direction between its two means; below the
+    leaves, the signs of the vector go on. Weights, signs and directions are whole
+    numbers, so a place does not depend on the order of additions: a task that is
+    run again gives the same.
+    """
+
+    def __init__(self, idf: np.ndarray, mean: float):
+        self.idf, self.mean = idf, mean
+        self.directions = np.zeros((1, WIDTH))
+        self.cuts = np.full(1, np.nan)
+
+    def vectors(self, docs: list[np.ndarray]) -> np.ndarray:
+        store = _worker_store()
+        signs = store.get(("signs", len(self.idf)))
+        if signs is None:
+            signs = np.random.default_rng(6).integers(0, 2, (len(self.idf), WIDTH), dtype=np.int8).astype(np.float32) * 2 - 1
+            store["signs", len(self.idf)] = signs
+        out = np.zeros((len(docs), WIDTH))
+        for i, ids in enumerate(docs):
+            terms, tf = np.unique(ids, return_counts=True)
+            weight = self.idf[terms]
+            norm = K1 * (1 - B + B * len(ids) / self.mean)
+            weight = np.rint(8 * weight * tf * (K1 + 1) / (tf + norm)).astype(np.float32)
+            kept = weight > 0
+            out[i] = weight[kept] @ signs[terms[kept]]
+        return out
+
+    def fit(self, sample: np.ndarray) -> None:
+        """Branches in the order of a heap; a cut that is not a number ends a path."""
+        size = (1 << DEPTH) - 1
+        self.directions, self.cuts = np.zeros((size, WIDTH)), np.full(size, np.nan)
+        unit = sample / np.maximum(1e-9, np.linalg.norm(sample, axis=1, keepdims=True))
+        rows = {0: np.arange(len(unit))}
+        for node in range(size):
+            held = rows.pop(node, [])
+            if len(held) < 2 * LEAST_SAMPLE:
+                continue
+            own = unit[held]
+            centred = own - own.mean(axis=0)
+            along = centred[np.argmax((centred**2).sum(axis=1))]
+            for _ in range(8):
+                along = centred.T @ (centred @ along)
+                along /= max(1e-12, np.linalg.norm(along))
+            for _ in range(6):
+                upper = own @ along > np.median(own @ along)
+                if not upper.any():
+                    break
+                along = own[upper].mean(axis=0) - own[~upper].mean(axis=0)
+                along /= max(1e-12, np.linalg.norm(along))
+            along = np.rint(along * 1024)
+            side = own @ along
+            upper = side > np.median(side)
+            if upper.any():
+                self.directions[node], self.cuts[node] = along, np.median(side)
+                rows[2 * node + 1], rows[2 * node + 2] = held[~upper], held[upper]
+
+    def of(self, vectors: np.ndarray) -> np.ndarray:
+        """The path through the tree, then 32 signs."""
+        node, path = np.zeros(len(vectors), dtype=np.int64), np.zeros(len(vectors), dtype=np.int64)
+        length = np.sqrt((vectors**2).sum(axis=1))
+        for _ in range(DEPTH):
+            cut = np.where(node < len(self.cuts), self.cuts[np.minimum(node, len(self.cuts) - 1)], np.nan)
+            side = (vectors * self.directions[np.minimum(node, len(self.cuts) - 1)]).sum(axis=1)
+            upper = side > cut * length
+            path = 2 * path + upper
+            node = np.where(np.isnan(cut), len(self.cuts), 2 * node + 1 + upper)
+        return (path << 32) | ((vectors[:, :32] > 0) @ (1 << np.arange(31, -1, -1, dtype=np.int64)))
+
+
 class Shard:
     """A BM25 index over units, runs of ids, of which some get used up."""
 
@@ -170,31 +249,52 @@ class Shard:
         owner = np.repeat(np.arange(self.n, dtype=np.int64), [len(k) for k in kept])
         key = np.concatenate(kept).astype(np.int64) * self.n + owner if len(owner) else np.zeros(0, np.int64)
         key, tf = np.unique(key, return_counts=True)
-        self.terms, self.docs = key // self.n, key % self.n
+        terms, self.docs = key // self.n, key % self.n
         norm = K1 * (1 - B + B * lengths[self.docs] / mean)
-        self.score = idf[self.terms] * tf * (K1 + 1) / (tf + norm)
+        self.score = idf[terms] * tf * (K1 + 1) / (tf + norm)
+        # rows are grouped by term, the k-th term has the rows from term_at[k] on
+        self.term_at = np.flatnonzero(np.diff(terms, prepend=-1, append=-1))
+        counts = np.diff(self.term_at)
+        self.term = np.repeat(np.arange(len(counts)), counts)
         self.by_doc = np.argsort(self.docs, kind="stable")
         self.doc_at = np.searchsorted(self.docs[self.by_doc], np.arange(self.n + 1))
+        common = counts > max(1, DENSE_SHARE * self.n)
+        self.dense_of = np.where(common, np.cumsum(common) - 1, -1)
+        self.dense = np.zeros((int(common.sum()), self.n), dtype=np.float32)
+        rows = np.flatnonzero(common[self.term]) if len(counts) else np.zeros(0, np.int64)
+        self.dense[self.dense_of[self.term[rows]], self.docs[rows]] = self.score[rows]
+
+    def scores(self, unit: int) -> np.ndarray:
+        """BM25 of every unit for all terms of ``unit``."""
+        terms = self.term[self.by_doc[self.doc_at[unit] : self.doc_at[unit + 1]]]
+        place = self.dense_of[terms]
+        out = self.dense[place[place >= 0]].sum(axis=0, dtype=np.float64)
+        rare = terms[place < 0]
+        if len(rare):
+            parts = [slice(a, b) for a, b in zip(self.term_at[rare], self.term_at[rare + 1], strict=True)]
+            docs = np.concatenate([self.docs[p] for p in parts])
+            out += np.bincount(docs, np.concatenate([self.score[p] for p in parts]), minlength=self.n)
+        return out
 
-    def query(self, unit: int) -> np.ndarray:
-        """Index rows of the unit's weightiest terms."""
-        rows = self.by_doc[self.doc_at[unit] : self.doc_at[unit + 1]]
-        return rows[np.argsort(-self.score[rows], kind="stable")[:QUERY_TERMS]]
+    def ranked(self, unit: int, used: np.ndarray) -> Iterator[int]:
+        """Unused units with terms of ``unit``, the highest scores first, to the last one."""
+        scores = self.scores(unit)
+        scores[used] = 0
+        found = np.flatnonzero(scores > 0)
+        size = NEIGHBOURS
+        while len(found):
+            best = found
+            if size < len(found):
+                least = np.partition(scores[found], len(found) - size)[len(found) - size]
+                best = found[scores[found] >= least]  # with all of equal score
+                found = found[scores[found] < least]
+            else:
+                found = found[:0]
+            yield from best[np.lexsort((best, -scores[best]))].tolist()
+            size *= 4
 
     def neighbours(self, unit: int, used: np.ndarray) -> list[int]:
-        """Unused units with terms of ``unit``, the highest scores first."""
-        rows = self.query(unit)
-        if not len(rows):
-            return []
-        terms = self.terms[rows]
-        lo, hi = np.searchsorted(self.terms, terms), np.searchsorted(self.terms, terms, side="right")
-        parts = [slice(a, b) for a, b in zip(lo, hi, strict=True)]
-        docs = np.concatenate([self.docs[p] for p in parts])
-        scores = np.bincount(docs, np.concatenate([self.score[p] for p in parts]), minlength=self.n)
-        scores[used] = 0
-        best = np.argpartition(-scores, min(NEIGHBOURS, self.n - 1))[:NEIGHBOURS]
-        best = best[scores[best] > 0]
-        return best[np.lexsort((best, -scores[best]))].tolist()
+        return list(self.ranked(unit, used))
 
 
 def pack_shard(
@@ -204,8 +304,8 @@ def pack_shard(
     ``docs`` once. All are full but the last ones, whose lengths are powers of two.
 
     A document's whole windows are sequences of their own; its rest is a unit.
-    The longest unused unit is a seed; its neighbours, in order of score, follow,
-    then the longest unused units that still fit. What does not fit is cut, and the rest
+    The longest unused unit is a seed; its neighbours, in order of score, follow
+    to the last that shares a term, then the longest unused units. What does not fit is cut, and the rest
     of it seeds the next window.
     """
     units: list[tuple[int, int, int]] = []
@@ -222,7 +322,7 @@ def pack_shard(
     order = iter(sorted(range(len(units)), key=lambda u: (-units[u][2], u)))
     current: list[tuple[int, int, int]] = []
     room = window
-    waiting: list[int] = []
+    waiting: Iterator[int] = iter(())
     while True:
         unit = next((u for u in waiting if not used[u]), None)
         if unit is None:
@@ -235,8 +335,7 @@ def pack_shard(
         used[unit] = True
         d, start, length = units[unit]
         if not current or asked:
-            waiting = shard.neighbours(unit, used)
-        waiting = [u for u in waiting if not used[u]]
+            waiting = shard.ranked(unit, used)
         while length:
             n = min(length, room)
             current.append((d, start, n))
@@ -245,9 +344,9 @@ def pack_shard(
                 yield current
                 current, room = [], window
                 if length:
-                    waiting = shard.neighbours(unit, used)  # the rest is the next seed
+                    waiting = shard.ranked(unit, used)  # the rest is the next seed
                 else:
-                    waiting = []
+                    waiting = iter(())
     # what is left is cut at powers of two, so that nothing is padded
     left = window - room
     while left:
@@ -269,13 +368,37 @@ def pack_shard(
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def place(tokens: DataFrame, idf: np.ndarray, mean: float, n: int) -> DataFrame:
+    """The rows of ``tokens`` with their place, and uid, which tells equal places apart."""
+    places = Places(idf, mean)
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = places.vectors([np.frombuffer(raw.as_buffer(), dtype="<u4") for raw in batch.column("ids")])
+            yield pa.RecordBatch.from_arrays([pa.array([v.astype("<f4").tobytes() for v in found], pa.binary())], names=["v"])
+
+    sample = tokens.select("ids").sample(min(1.0, SAMPLE_DOCS / max(1, n)), seed=6).mapInArrow(project, "v binary").collect()
+    if sample:
+        places.fit(np.array([np.frombuffer(r["v"], dtype="<f4") for r in sample], dtype=np.float64))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = places.of(places.vectors([np.frombuffer(raw.as_buffer(), dtype="<u4") for raw in batch.column("ids")]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], names=["doc_id", "ids", "uid", "place"])
+
+    return tokens.select("doc_id", "ids", F.monotonically_increasing_id().alias("uid")).mapInArrow(
+        find, "doc_id long, ids binary, uid long, place long"
+    )
+
+
 def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Every row of ``docs`` (doc_id, text) is packed, repeated rows each; null text
     is empty and has the end id only. Sequences have at most ``window`` ids. The
-    tokens are written once; a shard is a run of the table's rows, so nothing is
-    shuffled but document frequencies, one row for each id and task. Their table is as
+    tokens are written once and shuffled once, by ranges of their places; rows of
+    equal place, as copies have, are split by uid. A neighbour in another shard is not
+    found. Document frequencies are one row for each id and task; their table is as
     large as the tokenizer's vocabulary, which bounds what is sent to the tasks.
     """
     tokens = write_table(tokenize(docs, tokenizer_path), "tokens")
@@ -286,7 +409,8 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) -> DataFram
     for r in counts:
         if r["id"] >= 0:
             df[r["id"]] = r["df"]
-    idf = np.where((df > 1) & (df <= max(2.0, COMMON_SHARE * n)), np.log(1 + (n - df + 0.5) / (df + 0.5)), 0.0)
+    # an id of one document has no neighbours
+    idf = np.where(df > 1, np.log(1 + (n - df + 0.5) / (df + 0.5)), 0.0)
     mean = max(1.0, total / max(1, n))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,10 +436,12 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) -> DataFram
             for doc_id, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
                 held.append((doc_id, np.frombuffer(raw, dtype="<u4")))
                 size += len(raw) // 4
-                if len(held) >= SHARD_DOCS or size >= SHARD_TOKENS:
+                if len(held) >= 2 * SHARD_DOCS or size >= SHARD_TOKENS:
                     yield flush(held)
                     held, size = [], 0
         if held:
             yield flush(held)
 
-    return tokens.mapInArrow(packed, PIECES)
+    shards = max(1, math.ceil(n / SHARD_DOCS), math.ceil(2 * total / SHARD_TOKENS))
+    near = place(tokens, idf, mean, n).repartitionByRange(shards, "place", "uid").sortWithinPartitions("place", "uid")
+    return near.select("doc_id", "ids").mapInArrow(packed, PIECES)

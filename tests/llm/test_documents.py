@@ -246,6 +246,36 @@ def test_neighbours_share_rare_terms():
     assert shard.neighbours(0, used) == [2, 3]
 
 
+def test_all_terms_are_asked_to_the_last_neighbour():
+    rng = np.random.default_rng(7)
+    units = [np.array([*range(20), 30]), *[np.array([30, 40 + i]) for i in range(100)], *[rng.integers(0, 20, 9) for _ in range(50)]]
+    idf = np.concatenate([np.full(30, 5.0), np.full(200, 0.1)])
+    shard = packing.Shard(units, idf, 5.0)
+    used = np.arange(len(units)) == 0
+    got = shard.neighbours(0, used)
+
+    def bm25(u):
+        norm = 1.2 * (0.25 + 0.75 * len(u) / 5.0)
+        tf = [(u == t).sum() for t in units[0]]
+        return sum(idf[t] * f * 2.2 / (f + norm) for t, f in zip(units[0], tf, strict=True))
+
+    want = [bm25(u) for u in units]
+    assert sorted(got) == list(range(1, 151))  # those that share the weakest term only, too
+    assert all(want[a] >= want[b] - 1e-4 for a, b in zip(got, got[1:], strict=False))
+
+
+def test_like_documents_meet_wherever_their_rows_lie(docs_of, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_DOCS", 30)
+    # 20 topics of 12 documents, whose rows lie 20 apart
+    rows = [(i, " ".join(words(150, i, 60)).replace("w", f"topic{'abcdefghijklmnopqrst'[i % 20] * 3}"), "a") for i in range(240)]
+    pieces = packing.pack(docs_of(rows), tokenizer_path(), window=1024).collect()
+    by_seq = collections.defaultdict(set)
+    for p in pieces:
+        by_seq[p["sequence_id"]].add(p["doc_id"])
+    pairs = [a % 20 == b % 20 for docs in by_seq.values() for a in docs for b in docs if a < b]
+    assert sum(pairs) / len(pairs) > 0.5  # 0.05 by chance
+
+
 # ---- toxicity
 def toxic_rows():
     rng = random.Random(2)
