@@ -322,6 +322,16 @@ def test_empty_tables(spark, docs_of):
         assert df.count() == 0
 
 
+def test_near_dedup_stage_links_from_four_fifths(spark, docs_of):
+    import corpus_pipeline as P
+
+    base = [f"u{i}" for i in range(200)]  # 196 shingles; a changed word inside changes five
+    changed = lambda at: " ".join("x" if i in at else w for i, w in enumerate(base))
+    rows = [(1, " ".join(base), "a"), (2, changed((20, 60, 100, 140)), "a"), (3, changed((30, 50, 70, 90, 110)), "a")]
+    # Jaccard to the first: 176 / 216 = 0.81 and 171 / 221 = 0.77
+    assert sorted(r["doc_id"] for r in P.near_dedup(spark, docs_of(rows), "").collect()) == [1, 3]
+
+
 def test_pipeline_stages(spark, sf_dir):
     import corpus_pipeline as P
 
