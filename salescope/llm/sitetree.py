@@ -244,10 +244,14 @@ def site_pages(pages: DataFrame) -> DataFrame:
     return pages.select("page_key", "host", "html").mapInArrow(parse, SHOWN)
 
 
-def repeated_blocks(blocks: DataFrame, most: float, pages: int) -> DataFrame:
-    """(host, block) that more than ``most`` of the host's distinct pages show; pages
-    that show the same count once."""
-    distinct = blocks.groupBy("host", "shown").agg(F.min("blocks").alias("blocks"))
+def distinct_pages(seen: DataFrame) -> DataFrame:
+    """host, blocks and elements; the pages of a host that show the same are one."""
+    one = seen.groupBy("host", "shown").agg(F.min("blocks").alias("blocks"), F.min("elements").alias("elements"))
+    return one.select("host", "blocks", "elements")
+
+
+def repeated_blocks(distinct: DataFrame, most: float, pages: int) -> DataFrame:
+    """(host, block) that more than ``most`` of the host's distinct pages show."""
     hosts = distinct.groupBy("host").agg(F.count("*").alias("m")).where(F.col("m") >= pages)
     counts = distinct.select("host", F.explode("blocks").alias("block")).groupBy("host", "block").agg(F.count("*").alias("c"))
     # m is at least ``pages``, so most counts go before the join
@@ -280,8 +284,9 @@ def extract(
     Blocks are joined by line breaks; white space inside a block is one space.
     Null and empty html give an empty text. Plain text elements of an article go
     by the block, where most distinct pages of the host show it; where all text of a
-    page is of low importance it is kept. Repeated rows are extracted each; for the
-    importance of elements they count as pages of their host.
+    page is of low importance it is kept. Repeated rows are extracted each; pages of a
+    host that show the same count once. Elements on fewer than ``least_pages`` distinct
+    pages, and blocks of hosts with fewer, are not judged.
 
     Statistics are aggregated by (host, path, value) with map-side combination, so
     a host with a third of all pages is many small groups. Pages learn of their
@@ -296,8 +301,10 @@ def extract(
     )
     seen = write_table(site_pages(keyed), "seen")
     elements = seen.select("page_key", "host", F.explode("elements").alias("e")).select("page_key", "host", "e.*")
-    low = write_table(unimportant(elements, gamma, least, least_pages), "low")
-    repeated = write_table(repeated_blocks(seen, most, least_pages), "repeated")
+    distinct = write_table(distinct_pages(seen), "distinct")
+    judged = distinct.select("host", F.explode("elements").alias("e")).select("host", "e.*")
+    low = write_table(unimportant(judged, gamma, least, least_pages), "low")
+    repeated = write_table(repeated_blocks(distinct, most, least_pages), "repeated")
     blocks = seen.select("page_key", "host", F.explode("blocks").alias("block"))
     marks = (
         elements.join(low, ["host", "path"]).select("page_key", "path", F.lit(None).cast("long").alias("block"))

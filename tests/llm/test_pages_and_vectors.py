@@ -101,6 +101,15 @@ def test_blocks_that_a_host_repeats_go_from_the_article(pages_of):
     assert out[200] == "Sign up now"  # nothing else on the page
 
 
+def test_copies_do_not_make_a_template(pages_of):
+    page = lambda i, more="": f"<body><div class=c><p>story {i}</p></div>{more}</body>"
+    rows = [(i, f"http://one.org/{i}", page(0)) for i in range(8)]
+    rows += [(i, f"http://one.org/{i}", page(i, "<div class=x>extra</div>")) for i in (8, 9)]
+    out = {r["page_id"]: r["text"] for r in sitetree.extract(pages_of(rows)).collect()}
+    assert out[8] == "story 8\nextra" and out[9] == "story 9\nextra"
+    assert out[0] == out[7] == "story 0"
+
+
 # ---- WARC
 def warc_rows():
     same = "<p>" + "x" * 200
