@@ -4,7 +4,9 @@ Patterns find credentials with a known shape. A battery of randomness tests
 finds tokens without one: per inferred encoding, how evenly the alphabet is
 used, how often the character class changes, and the serial correlation of the
 symbols. The p-values are combined and a length-weighted Benjamini-Hochberg
-step over all tokens of the corpus keeps the share of false discoveries low.
+step over all tested tokens of the corpus keeps the share of false discoveries low.
+Only tokens with a digit and a letter are tested: random keys without a digit (of
+20 characters, 3.3 % in base64 and 1.6 % in base32) or without a letter are missed.
 """
 
 from __future__ import annotations
@@ -200,7 +202,8 @@ def scan(docs: DataFrame, q: float = FALSE_DISCOVERY, rows: bool = False) -> Dat
     base holds the spans of :data:`PATTERNS`; spans adds tokens that the battery
     discovers and that overlap no base span. Offsets are in code points, ends
     exclusive. Null text is empty and has no spans; repeated rows are scanned
-    each; the rate of false discoveries is over all tokens of ``docs``.
+    each; the rate of false discoveries is over the tokens of ``docs`` that are
+    tested, those with a digit and a letter outside base spans.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     kept = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")] if rows else []
