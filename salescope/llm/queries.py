@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import graph, minhash, mixing, packing, secrets, sitetree, topk, toxicity, urlfilter, warc
+from . import align, graph, minhash, mixing, packing, secrets, sitetree, topk, toxicity, urlfilter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def alignment_paths() -> tuple[str, str]:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(_table(spark, sf_dir, "documents"))
 
@@ -63,6 +69,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = alignment_paths()
+    return align.align(_table(spark, sf_dir, "documents"), a, b, keep_groups=False).drop("groups")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -76,6 +87,7 @@ QUERIES: dict[str, Query] = {
         op8_toxicity,
         op9_top_k,
         op10_warc,
+        op11_tokenizer_alignment,
     )
 }
 
