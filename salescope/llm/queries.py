@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import align, graph, minhash, mixing, packing, secrets, sitetree, topk, toxicity, urlfilter, warc
+from . import align, graph, langid, minhash, mixing, packing, phrases, secrets, sitetree, topk, toxicity, urlfilter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -74,6 +74,14 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align(_table(spark, sf_dir, "documents"), a, b, keep_groups=False).drop("groups")
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -88,6 +96,8 @@ QUERIES: dict[str, Query] = {
         op9_top_k,
         op10_warc,
         op11_tokenizer_alignment,
+        op12_language_id,
+        op13_phrase_mining,
     )
 }
 
@@ -172,4 +182,40 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN f.page_id IS NULL OR f.page_id = h.page_id THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN f.page_id <> h.page_id THEN f.page_id END AS refers_to
         FROM hashed h LEFT JOIN first f USING (payload_digest)""",
+    "op13_phrase_mining": """
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang,
+                   unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[.,;:!?\\x0A-\\x0D]')) AS piece
+            FROM documents
+        ), runs AS (
+            SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces
+        ), starts AS (
+            SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM runs, (VALUES (1), (2), (3), (4)) sizes(k)
+        ), f AS (
+            SELECT lang, k, w[i:i + k - 1] AS g, count(*) AS f FROM starts GROUP BY ALL
+        ), totals AS (
+            SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang
+        ), often AS (
+            SELECT * FROM f WHERE f >= 30
+        ), cuts AS (
+            SELECT c.lang, c.k, c.g, c.f AS a, c.j, h.f AS l, t.f AS r, ((2000000::HUGEINT * c.f) // (h.f + t.f))::BIGINT AS score
+            FROM (SELECT *, unnest(range(1, k)) AS j FROM often WHERE k > 1) c
+            JOIN often h ON h.lang = c.lang AND h.g = c.g[1:c.j]
+            JOIN often t ON t.lang = c.lang AND t.g = c.g[c.j + 1:c.k]
+        ), lowest AS (
+            SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1
+        ), inner_parts AS (
+            SELECT lang, f, g, k, m, unnest(range(1, k - m + 2)) AS i FROM often, (VALUES (2), (3)) parts(m) WHERE k > m
+        ), longer AS (
+            SELECT lang, g[i:i + m - 1] AS g, max(f) AS most FROM inner_parts GROUP BY ALL
+        ), kept AS (
+            SELECT x.* FROM lowest x LEFT JOIN longer y ON y.lang = x.lang AND y.g = x.g
+            WHERE y.most IS NULL OR 100::HUGEINT * y.most < 80::HUGEINT * x.a
+        ), ranked AS (
+            SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank,
+                   array_to_string(g, ' ') AS phrase, a, l, r, score
+            FROM kept
+        )
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000""",
 }
