@@ -18,7 +18,7 @@ import heapq
 import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -178,10 +178,10 @@ def predict(docs: DataFrame, model: Model, margin_bits: float = MARGIN_BITS) ->
     nothing was learnt. ``score`` is the share of its likelihood by code lengths. Narrow
     margins are rejected. Repeated rows count each; other columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(astuple(model))  # plain values: workers need not know the class
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known = Model(*shared.value)
         compressors = known.compressors()
         for batch in batches:
             found = [choose(folded(t.as_py()), compressors, known.priors, known.chunk) for t in batch.column("text")]
