@@ -19,6 +19,7 @@ counts come back to the block by its number, dictionary first.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -49,8 +50,19 @@ def byte_level_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(others)}
 
 
+#: The pre-tokenizer's pattern of byte-level vocabularies (fixed value).
+BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Characters that every version of Unicode puts in the same classes.
+_SETTLED = re.compile(r"[\t\n\r\x20-\x7e\xa0-\u024f]*\Z")
+
+
 class ByteTokenizer:
-    """A byte-level vocabulary; strings of special tokens inside texts are plain text."""
+    """A byte-level vocabulary; strings of special tokens inside texts are plain text.
+
+    Where the vocabulary's merges are in the order of its ids, tiktoken gives the same
+    ids as the tokenizer library, several times as fast; it takes texts of settled
+    characters and of no more than ``2 * PIECE_CHARS``.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one worker a core
@@ -65,9 +77,32 @@ class ByteTokenizer:
         for token, i in vocabulary.items():
             if all(c in alphabet for c in token):
                 self.bytes[i] = bytes(alphabet[c] for c in token)
+        spec = json.loads(self.model.to_str())
+        self.fast = self._ranked(spec) if spec["normalizer"] is None else None
+
+    def _ranked(self, spec: dict):
+        import tiktoken
+
+        steps, merges, vocabulary = spec["pre_tokenizer"], spec["model"]["merges"], spec["model"]["vocab"]
+        made = [vocabulary["".join(m.split(" ") if isinstance(m, str) else m)] for m in merges]
+        plain = steps["type"] == "ByteLevel" and steps["use_regex"] and not steps["add_prefix_space"]
+        special = {t["id"] for t in spec["added_tokens"]}
+        if not plain or made != sorted(made) or len(made) + 256 != len(set(vocabulary.values()) - special):
+            return None
+        ranks = {x: i for i, x in enumerate(self.bytes) if x and i not in special}
+        return tiktoken.Encoding("ranked", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        out: list = [None] * len(texts)
+        rest = []
+        for k, text in enumerate(texts):
+            if self.fast and len(text) <= 2 * PIECE_CHARS and _SETTLED.match(text):
+                out[k] = self.fast.encode_ordinary(text)
+            else:
+                rest.append(k)
+        for k, e in zip(rest, self.model.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False), strict=True):
+            out[k] = e.ids
+        return out
 
 
 class PieceTokenizer:
@@ -199,10 +234,10 @@ class Aligner:
         cut_a, cut_b = shared_cuts(a_ends, b_ends, a_stops, b_stops)
 
         # the tokens of a group, A's then B's, in the order in which groups are written
-        group_a = np.searchsorted(cut_a, np.arange(len(a)), side="right")
-        group_b = np.searchsorted(cut_b, np.arange(len(b)), side="right")
         before_a = np.concatenate([[0], cut_a[:-1]])
         before_b = np.concatenate([[0], cut_b[:-1]])
+        group_a = np.repeat(np.arange(len(cut_a)), cut_a - before_a)
+        group_b = np.repeat(np.arange(len(cut_b)), cut_b - before_b)
         ids = np.empty(len(a) + len(b), np.int64)
         marks = np.full(len(ids), ord(","), np.uint8)
         ids[np.arange(len(a)) + before_b[group_a]] = a

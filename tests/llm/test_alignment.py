@@ -96,6 +96,19 @@ def test_pieces_of_a_text_have_the_ids_of_the_whole(tokenizers):
         assert sum(b.encode(pieces), []) == b.model.encode(text)
 
 
+def test_fast_ids_are_the_tokenizers_ids(tokenizers, spark, sf_dir):
+    a = tokenizers[0]
+    assert a.fast is not None
+    texts = [" " + r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    settled = [chr(c) for c in (0x09, 0x0A, 0x0D, *range(0x20, 0x7F), *range(0xA0, 0x250))]
+    rng = random.Random(4)
+    texts += ["".join(rng.choices(settled, k=300)) for _ in range(300)]
+    texts += ["".join(rng.choices(" \n\t'’sreAé1½\xa0", k=200)) for _ in range(300)]
+    texts += [" " * 130000, "a" * 130000, "<|endoftext|>" * 50, "\n" * 131000 + "x"]
+    assert sum(bool(al._SETTLED.match(t)) for t in texts) > 400
+    assert a.encode(texts) == [e.ids for e in a.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 def test_no_piece_of_the_vocabulary_goes_on_over_a_space(tokenizers):
     assert not [t for t in tokenizers[1].bytes if b" " in t.lstrip(b" ")]
 
