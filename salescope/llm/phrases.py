@@ -4,10 +4,10 @@ A task counts phrases in a trie: below a language, a shallow trie of word ids
 whose leaves are hash containers of the words that follow; a container that grows too
 large bursts into one container for each next word. When the trie is full, its largest
 subtrees are spilled whole as sorted runs, cut into chunks. The runs of a prefix
-partition (language, first word) are merged in the order in which the shuffle
-sorts their chunks, so a merging task holds no more than the chunks that overlap.
-First words with many occurrences are dealt over several partitions by the rest of
-the phrase.
+partition (language and some of the first words) are merged in the order in which the
+shuffle sorts their chunks, so a merging task holds no more than the chunks that
+overlap. Phrases after a first word with many occurrences are dealt over all
+partitions by the whole phrase.
 
 Words are counted first, then pairs of frequent words, then longer phrases all of
 whose pairs are frequent: no other phrase can be frequent. Which words and pairs are
@@ -19,11 +19,11 @@ from __future__ import annotations
 
 import collections
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,11 +36,12 @@ INSIDE_PERCENT = 80
 #: Language of rows without one.
 UNKNOWN = "und"
 #: Entries of a task's trie, of a container before it bursts, and of a chunk of a run.
-TRIE_ENTRIES, CONTAINER_ENTRIES, CHUNK_ENTRIES = 400_000, 4096, 512
+TRIE_ENTRIES, CONTAINER_ENTRIES, CHUNK_ENTRIES = 600_000, 4096, 512
 #: Words that a task remembers, and bytes of text that it takes at once.
-VOCABULARY, SLICE_BYTES = 400_000, 1 << 20
-#: First words with at least one in so many of all words are dealt over so many partitions.
-HOT_SHARE, SALTS = 2048, 64
+VOCABULARY, SLICE_BYTES = 400_000, 1 << 22
+#: Prefix partitions, of a language and first words; first words with at least one in so
+#: many of all words are dealt over all of them by the whole phrase.
+PARTS, HOT_SHARE = 1024, 2048
 #: Bits of a Bloom filter for each entry, at most in all, and probes.
 BITS_PER_ENTRY, MOST_BITS, PROBES = 12, 1 << 27, 4
 
@@ -164,86 +165,130 @@ def frequent_filter(frequent: DataFrame) -> Filter:
 # ---- the trie
 class HatTrie:
     """Counts of phrases: language, id of the first word, then a container of the other
-    ids; a container with too many entries bursts by the next id."""
+    ids (an id, or a tuple of them); a container of tuples with too many entries bursts
+    by the next id."""
 
     def __init__(self, container: int = CONTAINER_ENTRIES):
         self.container = container
-        self.roots: dict[str, dict[int, dict]] = {}
-        self.burst: set[tuple[str, int]] = set()
+        self.roots: dict[str, dict[int, collections.Counter | dict]] = {}
         self.entries = 0
 
-    def add(self, lang: str, phrases: dict[tuple[int, ...], int]) -> None:
+    def add(self, lang: str, columns: list[np.ndarray]) -> None:
+        """Count occurrences of phrases, given by their first, second, ... ids."""
         root = self.roots.setdefault(lang, {})
-        for phrase, n in phrases.items():
-            first, rest = phrase[0], phrase[1:]
-            box = root.get(first)
-            if box is None:
-                box = root[first] = {}
-            elif (lang, first) in self.burst:
-                box = box.setdefault(phrase[1], {})
-                rest = phrase[2:]
-            old = box.get(rest)
-            if old is None:
-                box[rest] = n
-                self.entries += 1
-                if len(box) > self.container and (lang, first) not in self.burst:
-                    kids: dict[int, dict] = {}
-                    for tail, count in box.items():
-                        kids.setdefault(tail[0], {})[tail[1:]] = count
-                    root[first] = kids
-                    self.burst.add((lang, first))
-            else:
-                box[rest] = old + n
+        order = np.lexsort(columns[1::-1])
+        columns = [c[order] for c in columns]
+        tails = _tails(columns[1:])
+        for first, lo, hi in _equal_runs(columns[0]):
+            box = root.setdefault(first, collections.Counter())
+            if isinstance(box, collections.Counter):
+                before = len(box)
+                box.update(tails[lo:hi])
+                self.entries += len(box) - before
+                if len(box) > self.container and len(columns) > 2:
+                    root[first] = kids = {}
+                    for tail, n in box.items():
+                        rest = tail[1] if len(tail) == 2 else tail[1:]
+                        kids.setdefault(tail[0], collections.Counter())[rest] = n
+                continue
+            rests = _tails([c[lo:hi] for c in columns[2:]])
+            for second, at, end in _equal_runs(columns[1][lo:hi]):
+                kid = box.setdefault(second, collections.Counter())
+                before = len(kid)
+                kid.update(rests[at:end])
+                self.entries += len(kid) - before
 
     def sizes(self) -> list[tuple[int, str, int]]:
         return [
-            (sum(map(len, box.values())) if (lang, first) in self.burst else len(box), lang, first)
+            (len(box) if isinstance(box, collections.Counter) else sum(map(len, box.values())), lang, first)
             for lang, root in self.roots.items()
             for first, box in root.items()
         ]
 
-    def take(self, lang: str, first: int) -> Iterator[tuple[tuple[int, ...], int]]:
-        """Remove a subtree: (words after the first, count) of its entries."""
+    def take(self, lang: str, first: int) -> Iterator[tuple[tuple[int, ...], list, list[int]]]:
+        """Remove a subtree: (ids above a container, its tails, their counts)."""
         box = self.roots[lang].pop(first)
-        if (lang, first) in self.burst:
-            self.burst.discard((lang, first))
-            found = [((second, *tail), n) for second, kid in box.items() for tail, n in kid.items()]
-        else:
-            found = list(box.items())
-        self.entries -= len(found)
-        return iter(found)
+        boxes = [((first,), box)] if isinstance(box, collections.Counter) else [((first, k), kid) for k, kid in box.items()]
+        for head, kid in boxes:
+            self.entries -= len(kid)
+            yield head, list(kid), list(kid.values())
+
+
+def _tails(columns: list[np.ndarray]) -> list:
+    return columns[0].tolist() if len(columns) == 1 else list(zip(*[c.tolist() for c in columns], strict=True))
+
 
+def _equal_runs(values: np.ndarray) -> list[tuple[int, int, int]]:
+    """(value, start, end) of the runs of equal values."""
+    starts = np.concatenate([[0], np.flatnonzero(values[1:] != values[:-1]) + 1])
+    return list(zip(values[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(values)], strict=True))
 
-_RUN = "lang string, first string, salt int, low string, keys binary, counts binary"
 
+_RUN = "lang string, part int, low string, keys string, counts array<long>"
 
-def _runs(trie: HatTrie, words: list[bytes], hot: set[tuple[str, str]], keep: int) -> Iterator[tuple]:
-    """Spill the largest subtrees until ``keep`` entries are left."""
+
+def _spilled(trie: HatTrie, keep: int) -> Iterator[tuple[str, list[np.ndarray], np.ndarray]]:
+    """(lang, first, second, ... ids, counts) of the largest subtrees, which leave the
+    trie until ``keep`` entries are left; phrases of a language and length together."""
+    heads: dict[tuple, list] = collections.defaultdict(list)
     for _, lang, first in sorted(trie.sizes(), reverse=True):
         if trie.entries <= keep:
-            return
-        head = words[first].decode()
-        found = [(b" ".join([words[i] for i in tail]), n) for tail, n in trie.take(lang, first)]
-        found.sort()
-        parts: dict[int, list] = {0: found}
-        if (lang, head) in hot:
-            parts = collections.defaultdict(list)
-            for entry in found:
-                parts[zlib.crc32(entry[0]) % SALTS].append(entry)
-        for salt, run in parts.items():
-            for i in range(0, len(run), CHUNK_ENTRIES):
-                keys, counts = zip(*run[i : i + CHUNK_ENTRIES], strict=True)
-                yield lang, head, salt, keys[0].decode(), b"\n".join(keys), np.array(counts, "<u4").tobytes()
-
-
-def _batches(rows: Iterator[tuple], schema: str, size: int = 1024) -> Iterator[pa.RecordBatch]:
-    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
-    fields = [(name, kinds[kind]) for name, kind in (part.split() for part in schema.split(", "))]
-    held = []
+            break
+        for head, tails, counts in trie.take(lang, first):
+            kinds: dict[int, tuple[list, list]] = {}
+            for tail, n in zip(tails, counts, strict=True) if isinstance(tails[0], tuple) or len(head) > 1 else ():
+                own = kinds.setdefault(1 if isinstance(tail, int) else len(tail), ([], []))
+                own[0].append(tail)
+                own[1].append(n)
+            for width, (own, n) in (kinds or {1: (tails, counts)}).items():
+                heads[lang, len(head), width].append((head, own, n))
+    for (lang, depth, width), found in heads.items():
+        sizes = [len(own) for _, own, _ in found]
+        above = [np.repeat(np.array([head[k] for head, _, _ in found], np.int64), sizes) for k in range(depth)]
+        tails = np.array([t for _, own, _ in found for t in own], np.int64).reshape(-1, width)
+        yield lang, [*above, *tails.T], np.array([n for _, _, own in found for n in own], np.int64)
+
+
+def _runs(trie: HatTrie, vocabulary: Vocabulary, hot: set[tuple[str, str]], parts: int, keep: int) -> Iterator[pa.RecordBatch]:
+    """Spill subtrees as sorted runs: chunks of phrases with their counts, by prefix partition."""
+    words = pa.array(vocabulary.words, pa.binary()).cast(pa.string())
+    hashes = vocabulary.hash_array()
+    for lang, columns, counts in _spilled(trie, keep):
+        part = phrase_hashes([hashes[columns[0]]], lang)
+        spread = [vocabulary[w.encode()] for own, w in hot if own == lang and w.encode() in vocabulary]
+        dealt = np.isin(columns[0], spread)
+        part[dealt] = phrase_hashes([hashes[c[dealt]] for c in columns], lang)
+        part = (part % _U(parts)).astype(np.int32)
+        phrases = pc.binary_join_element_wise(*[words.take(pa.array(c)) for c in columns], " ")
+        order = pc.sort_indices(phrases).to_numpy()
+        order = order[np.argsort(part[order], kind="stable")]
+        phrases = phrases.take(pa.array(order))
+        part, counts = part[order], counts[order]
+        first = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1])
+        place = np.arange(len(part)) - np.repeat(first, np.diff([*first, len(part)]))
+        starts = np.flatnonzero(place % CHUNK_ENTRIES == 0)
+        for i in range(0, len(starts), 1024):
+            own = starts[i : i + 1024]
+            lo, hi = int(own[0]), int(starts[i + 1024]) if i + 1024 < len(starts) else len(part)
+            offsets = pa.array(np.append(own, hi) - lo, pa.int32())
+            keys = pc.binary_join(pa.ListArray.from_arrays(offsets, phrases.slice(lo, hi - lo)), "\n")
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([lang] * len(own), pa.string()), pa.array(part[own]), phrases.take(pa.array(own)), keys,
+                    pa.ListArray.from_arrays(offsets, pa.array(counts[lo:hi])),
+                ],
+                names=["lang", "part", "low", "keys", "counts"],
+            )
+
+
+def _counted(rows: Iterator[tuple[str, str, int]], size: int = 8192) -> Iterator[pa.RecordBatch]:
+    held: list[tuple[str, str, int]] = []
 
     def batch():
-        columns = zip(*held, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)], names=[f for f, _ in fields])
+        langs, phrases, counts = zip(*held, strict=True)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(langs, pa.string()), pa.array(phrases, pa.string()), pa.array(counts, pa.int64())], names=["lang", "phrase", "f"]
+        )
 
     for row in rows:
         held.append(row)
@@ -284,10 +329,16 @@ def word_counts(texts: DataFrame, limits: dict) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, counts = Vocabulary(), collections.defaultdict(lambda: np.zeros(0, np.int64))
 
-        def rows():
+        def found():
+            words = pa.array(vocabulary.words, pa.binary()).cast(pa.string())
             for lang, own in counts.items():
-                for i in np.flatnonzero(own).tolist():
-                    yield lang, vocabulary.words[i].decode(), int(own[i])
+                at = np.flatnonzero(own)
+                for i in range(0, len(at), 8192):
+                    some = at[i : i + 8192]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([lang] * len(some), pa.string()), words.take(pa.array(some)), pa.array(own[some])],
+                        names=["lang", "phrase", "f"],
+                    )
 
         for lang, data in _streams(batches, size):
             ids = word_ids(data, vocabulary)
@@ -295,17 +346,17 @@ def word_counts(texts: DataFrame, limits: dict) -> DataFrame:
             new[: len(counts[lang])] += counts[lang]
             counts[lang] = new
             if len(vocabulary.words) > most:
-                yield from _batches(rows(), "lang string, phrase string, f long", 8192)
+                yield from found()
                 vocabulary = Vocabulary()
                 counts.clear()
-        yield from _batches(rows(), "lang string, phrase string, f long", 8192)
+        yield from found()
 
     return texts.mapInArrow(run, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
-def _selected(ids: np.ndarray, fresh: int, ok: np.ndarray, lengths: range) -> Iterator[dict]:
-    """Counts of the phrases of ``lengths`` words whose pairs are all ``ok`` and whose
-    last word is one of the ``fresh`` last ones."""
+def _selected(ids: np.ndarray, fresh: int, ok: np.ndarray, lengths: range) -> Iterator[list[np.ndarray]]:
+    """First, second, ... ids of the phrases of ``lengths`` words whose pairs are all ``ok``
+    and whose last word is one of the ``fresh`` last ones."""
     for n in lengths:
         size = len(ids) - n + 1
         if size <= 0:
@@ -316,7 +367,7 @@ def _selected(ids: np.ndarray, fresh: int, ok: np.ndarray, lengths: range) -> It
         good[: max(0, len(ids) - fresh - n + 1)] = False
         at = np.flatnonzero(good)
         if len(at):
-            yield collections.Counter(zip(*[ids[at + k].tolist() for k in range(n)], strict=True))
+            yield [ids[at + k] for k in range(n)]
 
 
 def phrase_counts(
@@ -327,7 +378,7 @@ def phrase_counts(
     shared = texts.sparkSession.sparkContext.broadcast(passing.words)
     entries, container = limits.get("entries", TRIE_ENTRIES), limits.get("container", CONTAINER_ENTRIES)
     size, most = limits.get("slice", SLICE_BYTES), limits.get("vocabulary", VOCABULARY)
-    reach = lengths[-1] - 1
+    reach, parts = lengths[-1] - 1, limits.get("parts", PARTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Filter(shared.value)
@@ -345,43 +396,41 @@ def phrase_counts(
                 ok &= frequent[:-1] & frequent[1:]
             else:
                 ok &= known.passes(phrase_hashes([hashes[:-1], hashes[1:]], lang))
-            for counts in _selected(ids, len(new), ok, lengths):
-                trie.add(lang, counts)
+            for columns in _selected(ids, len(new), ok, lengths):
+                trie.add(lang, columns)
             if len(vocabulary.words) > most:
                 kept = {k: [vocabulary.words[i] for i in v.tolist()] for k, v in last.items()}
-                yield from _batches(_runs(trie, vocabulary.words, hot, 0), _RUN)
+                yield from _runs(trie, vocabulary, hot, parts, 0)
                 vocabulary = Vocabulary()
                 last = {k: np.array([vocabulary[w] for w in v], np.int64) for k, v in kept.items()}
             elif trie.entries > entries:
-                yield from _batches(_runs(trie, vocabulary.words, hot, entries // 2), _RUN)
-        yield from _batches(_runs(trie, vocabulary.words, hot, 0), _RUN)
+                yield from _runs(trie, vocabulary, hot, parts, entries // 2)
+        yield from _runs(trie, vocabulary, hot, parts, 0)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
-            part, pending, limit = None, {}, CHUNK_ENTRIES
+            own, pending, limit = None, {}, 0
             for batch in batches:
-                for lang, first, salt, low, keys, counts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                    if (lang, first, salt) != part:
-                        yield from done(part, pending, None)
-                        part, pending, limit = (lang, first, salt), {}, 4 * CHUNK_ENTRIES
-                    elif len(pending) > limit:  # no chunk to come holds a key below this one's lowest
-                        yield from done(part, pending, low.encode())
+                for lang, part, low, keys, counts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                    if (lang, part) != own:
+                        yield from done(own, pending, None)
+                        own, pending, limit = (lang, part), {}, 4 * CHUNK_ENTRIES
+                    elif len(pending) > limit:  # no chunk to come holds a phrase below this one's lowest
+                        yield from done(own, pending, low.encode())
                         limit = 2 * len(pending) + 4 * CHUNK_ENTRIES
-                    for key, n in zip(keys.split(b"\n"), np.frombuffer(counts, "<u4").tolist(), strict=True):
+                    for key, n in zip(keys.encode().split(b"\n"), counts, strict=True):
                         pending[key] = pending.get(key, 0) + n
-            yield from done(part, pending, None)
+            yield from done(own, pending, None)
 
-        def done(part, pending, below):
-            keys = [k for k in pending if below is None or k < below]
-            for key in keys:
+        def done(own, pending, below):
+            for key in [k for k in pending if below is None or k < below]:
                 n = pending.pop(key)
                 if n >= least:
-                    yield part[0], f"{part[1]} {key.decode()}", n
+                    yield own[0], key.decode(), n
 
-        yield from _batches(rows(), "lang string, phrase string, f long", 8192)
+        return _counted(rows())
 
-    key = ["lang", "first", "salt"]
-    runs = texts.mapInArrow(run, _RUN).repartition(*key).sortWithinPartitions(*key, "low")
+    runs = texts.mapInArrow(run, _RUN).repartition("lang", "part").sortWithinPartitions("lang", "part", "low")
     return runs.mapInArrow(merge, "lang string, phrase string, f long")
 
 
@@ -448,8 +497,8 @@ def collocations(
     language; rows without a language are of ``und``. Ties in rank go by a, then phrase.
     Languages without a candidate have no rows; repeated rows count each. Other columns
     of ``docs`` are ignored. ``limits`` sets what a task holds: entries and
-    container of its trie, vocabulary, slice (bytes), and hot, the fewest occurrences of a
-    first word that is dealt over several partitions.
+    container of its trie, vocabulary, slice (bytes); parts, the number of prefix
+    partitions; and hot, the fewest occurrences of a first word that is dealt over them.
     """
     limits = limits or {}
     texts = _texts(docs)
@@ -472,9 +521,11 @@ def collocations(
             | (F.col("longer").cast("decimal(38,0)") * 100 < F.col("a").cast("decimal(38,0)") * F.lit(int(inside_percent)))
         )
     )
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
+    best = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    some = F.pmod(F.xxhash64("phrase"), F.lit(64))  # the first ones of each part hold the first ones of all
+    first = kept.withColumn("rank", F.row_number().over(Window.partitionBy("lang", some).orderBy(*best))).where(F.col("rank") <= top)
     return (
-        kept.withColumn("rank", F.row_number().over(order).cast("long"))
+        first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best)).cast("long"))
         .where(F.col("rank") <= top)
         .join(totals, "lang")
         .select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

@@ -10,7 +10,7 @@ import pytest
 from salescope.llm import phrases as ph
 
 COLUMNS = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
-SMALL = {"entries": 60, "container": 3, "vocabulary": 25, "slice": 64, "hot": 1}
+SMALL = {"entries": 60, "container": 3, "vocabulary": 25, "slice": 64, "hot": 1, "parts": 5}
 
 
 def expected(rows, top=2000, least=30, longest=4, percent=80):
@@ -95,16 +95,21 @@ def test_products_beyond_64_bits(spark):
 
 
 def test_trie_bursts_and_spills_whole_subtrees():
-    rng = random.Random(1)
+    rng = np.random.default_rng(1)
     trie, want = ph.HatTrie(container=4), collections.Counter()
-    for _ in range(300):
-        phrase = tuple(rng.randrange(1, 6) for _ in range(rng.choice([3, 4])))
-        trie.add("en", {phrase: 2})
-        want[phrase] += 2
-    assert trie.burst and trie.entries == len(want)
+    for n in (2, 3, 4, 3, 4):
+        columns = list(rng.integers(1, 6, (n, 200)))
+        trie.add(f"{n == 2}", columns)
+        want.update(tuple(map(int, x)) for x in zip(*columns, strict=True))
+    assert any(isinstance(box, dict) and not isinstance(box, collections.Counter) for box in trie.roots["False"].values())
+    assert trie.entries == len(want) == sum(n for n, _, _ in trie.sizes())
+    largest = max(trie.sizes())
     got = collections.Counter()
-    for _, lang, first in trie.sizes():
-        got.update({(first, *tail): n for tail, n in trie.take(lang, first)})
+    for k, keep in enumerate((len(want) - 1, 0)):
+        for _, columns, counts in ph._spilled(trie, keep):
+            got.update(dict(zip(map(tuple, np.array(columns).T.tolist()), counts.tolist(), strict=True)))
+        if k == 0:  # one whole subtree, the largest
+            assert len(got) == largest[0] and {g[0] for g in got} == {largest[2]}
     assert got == want and trie.entries == 0
 
 
