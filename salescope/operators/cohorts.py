@@ -10,12 +10,16 @@ replaces the statement's self-join of the base table.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from salescope.functions import count_if, count_rows, mean, money, pct, round_half_up, year_text
+from salescope.functions import count_if, count_rows, mean, money, pct, round_half_up, year_month_text, year_text
 from salescope.operators.common import customer_activity_years, monthly_base
 from salescope.operators.profitability import growth_pct, trailing_mean
+from salescope.operators.ranges import with_percent_rank
+from salescope.plans.session import materialize
 
 
 def cohort_retention(lines: DataFrame, horizon: int = 3) -> DataFrame:
@@ -68,33 +72,50 @@ def same_month_yoy(lines: DataFrame, lag: int = 12, trailing: int = 12, calendar
     ).orderBy("yr_mo")
 
 
-def cohort_value(lines: DataFrame) -> DataFrame:
+#: Cohort keys of a customer, from the earliest order date: name and column.
+COHORT_PERIODS = {"year": ("cohort_year", year_text), "month": ("cohort_month", year_month_text), "day": ("cohort_day", F.col)}
+
+
+def cohort_value(lines: DataFrame, period: str = "year", by: Sequence[str] = ()) -> DataFrame:
     """Spend and orders per customer, averaged per cohort, and the rank of
-    each cohort's average among all cohorts (PERCENT_RANK over cohorts)."""
+    each cohort's average among all cohorts (PERCENT_RANK over cohorts).
+
+    Cohorts are of the first order's ``period`` (year, month, day) and of ``by``, columns
+    that a customer has one value of (the least, if there are several). The ranking of
+    years is a window over one row a year; other cohorts are written and ranked by counts
+    over ranges of the average, not in one task.
+    """
+    name, text = COHORT_PERIODS[period]
+    by = list(by)
     per_customer = (
         lines.where(F.col("Customer_ID").isNotNull())
         .groupBy("Customer_ID")
         .agg(
-            year_text(F.min("Order_Date")).alias("cohort_year"),
+            F.min("Order_Date").alias("_first"),
+            *[F.min(c).alias(c) for c in by],
             F.round(F.sum("Sales"), 2).alias("lifetime_spend"),
             F.countDistinct("Order_ID").alias("total_orders"),
         )
     )
-    per_cohort = per_customer.groupBy("cohort_year").agg(
+    per_cohort = per_customer.groupBy(text("_first").alias(name), *by).agg(
         count_rows().alias("cohort_size"),
         mean("lifetime_spend").alias("_avg_spend"),
         round_half_up(mean("total_orders"), 2).alias("avg_orders"),
         money(F.min("lifetime_spend")).alias("min_spend"),
         money(F.max("lifetime_spend")).alias("max_spend"),
     )
-    # One row per cohort year: the ranking window is bounded by the calendar.
-    rank = F.percent_rank().over(Window.orderBy(F.col("_avg_spend").asc()))
-    return per_cohort.select(
-        "cohort_year",
+    if period == "year" and not by:
+        # one row per cohort year: the ranking window is bounded by the calendar
+        ranked = per_cohort.withColumn("_rank", F.percent_rank().over(Window.orderBy(F.col("_avg_spend").asc())))
+    else:
+        ranked = with_percent_rank(materialize(per_cohort), "_avg_spend", "_rank")
+    return ranked.select(
+        name,
+        *by,
         "cohort_size",
         round_half_up("_avg_spend", 2).alias("avg_lifetime_spend"),
         "avg_orders",
         "min_spend",
         "max_spend",
-        round_half_up(rank * 100, 1).alias("spend_percentile"),
-    ).orderBy("cohort_year")
+        round_half_up(F.col("_rank") * 100, 1).alias("spend_percentile"),
+    ).orderBy(name, *by)

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from salescope.functions import count_if, count_rows, money, pct, round_half_up
 from salescope.operators.common import attach_total
+from salescope.operators.ranges import with_total
+from salescope.plans.session import materialize
+from salescope.schema import BOUNDED_COLUMNS
 
 CARDINALITY_COLUMNS = {
     "Customer_ID": "unique_customers",
@@ -58,15 +61,20 @@ def null_audit(lines: DataFrame, cols: Sequence[str] = NULL_AUDIT_COLUMNS) -> Da
 
 def category_mix(lines: DataFrame, by: str | Sequence[str] = "Category", k: int = 5) -> DataFrame:
     """The k groups with most lines, their sales and share of all lines. ``by``
-    is a column or a list of them; the total is an aggregate of the groups."""
+    is a column or a list of them. The total is taken over the groups: by a window
+    where dimensions bound their number, else by a one-row aggregate of the groups,
+    which are written first."""
     by = [by] if isinstance(by, str) else list(by)
     grouped = lines.groupBy(*by).agg(
         count_rows().alias("order_lines"),
         F.sum("Sales").alias("_sales"),
     )
-    with_total = attach_total(grouped, "order_lines", "_all_lines")
+    if set(by) <= BOUNDED_COLUMNS:
+        totalled = attach_total(grouped, "order_lines", "_all_lines")
+    else:
+        totalled = with_total(materialize(grouped), "order_lines", "_all_lines")
     return (
-        with_total.select(
+        totalled.select(
             *by,
             "order_lines",
             money("_sales").alias("total_sales"),

@@ -107,28 +107,22 @@ def regional_shipping(
     whatever the market (ties: alphabetically first mode); ``mode_by=("Market",
     "Region")`` takes it per market and region instead.
 
-    Lines become one row per order and mode, then one per order that holds its
-    few modes, so an order counts once without a distinct count. Aggregates per
-    market, region and mode, a handful of rows, give the rest: the mode is picked
-    by windows over them. Nothing is expanded and the lines are read once.
+    Lines become one row per order and mode; the row of an order's first mode counts
+    the order, so there is no distinct count. Aggregates per market, region and mode, a
+    handful of rows, give the rest: the dominant mode is picked by windows over them.
+    Nothing is expanded or collected, and the lines are read once. On lines bucketed
+    by Order_ID neither step moves them.
     """
     mode_by = list(mode_by)
     place = ["Market", "Region"]
-    per_order = (
-        lines.groupBy(*place, "Order_ID", "Ship_Mode")
-        .agg(
-            day_diff(F.min("Ship_Date"), F.min("Order_Date")).alias("days"),
-            F.sum("Sales").alias("sold"),
-            F.sum("Profit").alias("gained"),
-        )
-        .groupBy(*place, "Order_ID")
-        .agg(F.collect_list(F.struct("Ship_Mode", "days", "sold", "gained")).alias("shipped"))
-    )
-    shipped = per_order.select(*place, "Order_ID", F.posexplode("shipped").alias("nth", "shipped")).select(
-        *place, "Order_ID", "nth", "shipped.*"
+    shipped = lines.groupBy(*place, "Order_ID", "Ship_Mode").agg(
+        day_diff(F.min("Ship_Date"), F.min("Order_Date")).alias("days"),
+        F.sum("Sales").alias("sold"),
+        F.sum("Profit").alias("gained"),
     )
-    by_mode = shipped.groupBy(*place, "Ship_Mode").agg(
-        count_if((F.col("nth") == 0) & F.col("Order_ID").isNotNull()).alias("orders"),
+    modes = Window.partitionBy(*place, "Order_ID").orderBy(F.col("Ship_Mode").asc())
+    by_mode = shipped.withColumn("nth", F.row_number().over(modes)).groupBy(*place, "Ship_Mode").agg(
+        count_if((F.col("nth") == 1) & F.col("Order_ID").isNotNull()).alias("orders"),
         count_rows().alias("rows"),
         F.count("days").alias("timed"),
         F.sum("days").alias("days"),

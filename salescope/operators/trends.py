@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 
 from salescope.functions import count_rows, margin_pct, money, pct, round_half_up
 from salescope.operators.common import attach_total, monthly_base
+from salescope.operators.ranges import with_rank, with_running_sums
 from salescope.operators.profitability import growth_pct, trailing_mean
+from salescope.plans.session import materialize
+from salescope.schema import BOUNDED_COLUMNS
 
 
 def mom_growth(lines: DataFrame, calendar: bool = False) -> DataFrame:
@@ -68,9 +71,9 @@ def revenue_leaderboard(
     Revenue and profit are rounded before ranking, as in the statement. The
     in-region rank partitions by ``partition`` only (Region by default, so
     same-named regions of different markets share one leaderboard).
-    The global rank orders the groups of ``by``, any columns that include those of
-    ``partition``: their number is bounded by those dimensions, not by the
-    line count, and they are ranked in one task.
+    ``by`` are any columns that include those of ``partition``. Groups whose number
+    the dimensions bound are ranked by windows; others (by product, by customer) are
+    written first and ranked by counts over ranges of revenue, not in one task.
     """
     by, partition = list(by), list(partition)
     if not set(partition) <= set(by):
@@ -82,21 +85,47 @@ def revenue_leaderboard(
         F.round(F.sum("Profit"), 2).alias("_prof"),
         count_rows().alias("order_lines"),
     )
-    in_region = Window.partitionBy(*partition).orderBy(F.col("_rev").desc())
-    overall = Window.orderBy(F.col("_rev").desc())
-    return groups.select(
+    if set(by) <= BOUNDED_COLUMNS:
+        highest = F.col("_rev").desc()
+        ranked = groups.withColumn("_here", F.rank().over(Window.partitionBy(*partition).orderBy(highest))).withColumn(
+            "_all", F.rank().over(Window.orderBy(highest))
+        )
+    else:
+        ranked = with_rank(with_rank(materialize(groups), "_rev", "_here", within=partition), "_rev", "_all")
+    return ranked.select(
         *shown,
         F.col("_rev").cast("double").alias("revenue"),
         F.col("_prof").cast("double").alias("profit"),
         margin_pct("_prof", "_rev").alias("margin_pct"),
         "order_lines",
-        F.rank().over(in_region).cast("bigint").alias("revenue_rank_in_region"),
-        F.rank().over(overall).cast("bigint").alias("global_revenue_rank"),
+        F.col("_here").cast("bigint").alias("revenue_rank_in_region"),
+        F.col("_all").cast("bigint").alias("global_revenue_rank"),
     ).orderBy(*partition, "revenue_rank_in_region", *[c for c in shown if c not in partition])
 
 
-def running_total(lines: DataFrame) -> DataFrame:
-    """Cumulative revenue and profit by month and share of the grand total."""
+def running_total(lines: DataFrame, by: str | None = None) -> DataFrame:
+    """Cumulative revenue and profit by month and share of the grand total.
+
+    ``by`` takes any other column instead of months (``Order_Date`` for days,
+    ``Customer_ID``); its groups, in their order with NULL first, are written and summed
+    over ranges of it, not in one task.
+    """
+    if by is not None:
+        groups = materialize(
+            lines.groupBy(by).agg(
+                F.sum("Sales").alias("_sales"), F.sum("Profit").alias("_profit"), F.countDistinct("Order_ID").alias("orders")
+            )
+        )
+        summed = with_running_sums(groups, [(by, True)], {"_upto": "_sales", "_profit_upto": "_profit"})
+        grand = groups.agg(F.sum("_sales").alias("_grand"))
+        return summed.crossJoin(F.broadcast(grand)).select(
+            by,
+            money("_sales").alias("revenue"),
+            money("_upto").alias("cumulative_revenue"),
+            round_half_up(pct("_upto", "_grand"), 2).alias("cumulative_pct_of_total"),
+            money("_profit_upto").alias("cumulative_profit"),
+            "orders",
+        ).orderBy(by)
     m = attach_total(monthly_base(lines), "sales", "_grand")
     upto = Window.orderBy(F.col("yr_mo").asc()).rowsBetween(Window.unboundedPreceding, 0)
     cum = F.sum("sales").over(upto)

@@ -37,3 +37,7 @@ ORDER_LINE_SCHEMA = T.StructType(
 SHIPPING_COST = T.StructField("Shipping_Cost", MONEY, True)
 
 CUSTOMER_KEYS = ["Customer_ID", "Customer_Name", "Segment"]
+
+#: Columns whose number of values a business's dimensions bound, whatever the number
+#: of lines. Groups of these alone may be ranked or totalled in one task.
+BOUNDED_COLUMNS = frozenset({"Market", "Region", "Country", "Segment", "Ship_Mode", "Category", "Sub_Category"})
