@@ -158,15 +158,15 @@ ORACLE_SQL: dict[str, str] = {
         FROM placed""",
     "op9_top_k": """
         WITH ints AS (
-            SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v
+            SELECT vec_id, row_number() OVER () AS nr, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v
             FROM embeddings
             WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
               AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ), scored AS (
-            SELECT q.vec_id AS query_id, r.vec_id, list_inner_product(q.v, r.v)::BIGINT AS score
-            FROM ints q JOIN ints r ON q.vec_id <> r.vec_id AND q.vec_id % 100 = 0
+            SELECT q.nr, q.vec_id AS query_id, r.vec_id, list_inner_product(q.v, r.v)::BIGINT AS score
+            FROM ints q JOIN ints r ON q.nr <> r.nr AND q.vec_id % 100 = 0
         ), ranked AS (
-            SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+            SELECT query_id, (row_number() OVER (PARTITION BY nr ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
             FROM scored
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10""",

@@ -22,20 +22,18 @@ SCALE = 1024
 #: Segments of the levels, coarse to fine.
 LEVELS = (1, 4, 16)
 #: Queries and rows of a block.
-QUERY_BLOCK, ROW_BLOCK = 2048, 8192
+QUERY_BLOCK, ROW_BLOCK = 2048, 4096
 
 
 def integer_vectors(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     """vec_id and ints, floor(scale * x) of each component; rows whose id or vector
     is null, or that hold a null or non-finite component, are left out. Components
-    beyond 64 bits stop there. Of rows that repeat a vec_id the smallest vector stays."""
+    beyond 64 bits stop there. Rows that repeat a vec_id stay."""
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     return (
         vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
         .where(F.col("vec_id").isNotNull() & F.col("e").isNotNull() & F.forall("e", finite))
         .select("vec_id", F.transform("e", lambda x: F.floor(x * F.lit(float(scale))).cast("long")).alias("ints"))
-        .groupBy("vec_id")
-        .agg(F.min("ints").alias("ints"))
     )
 
 
@@ -62,12 +60,13 @@ def _products(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
 
 
 def block_top(
-    query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int
+    query_numbers: np.ndarray, queries: np.ndarray, floors: list[int | None], numbers: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int
 ) -> list[tuple[int, int, int]]:
-    """(query_id, vec_id, score) of the k best rows of a block for each query; of
-    all rows that may tie with the k-th, the smaller ids."""
+    """(number of the query's row, vec_id, score) of the k best rows of a block for each
+    query; of all rows that may tie with the k-th, the smaller ids. Rows that score
+    less than a query's floor may be left out."""
     order = np.argsort(ids, kind="stable")
-    ids, rows = ids[order], rows[order]
+    numbers, ids, rows = numbers[order], ids[order], rows[order]
     dim = rows.shape[1]
     levels = [s for s in LEVELS if s <= dim]
     q, x = queries.astype(np.float64), rows.astype(np.float64)
@@ -77,18 +76,20 @@ def block_top(
         bounds.append((np.concatenate([qm, qs], axis=1), np.concatenate([xm, xs], axis=1)))
     slack = 1.0 + 1e-9 * dim * float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0))
     out = []
-    for at, query_id in enumerate(query_ids.tolist()):
-        left = np.flatnonzero(ids != query_id)
-        if levels and len(left) > k:
+    for at, query in enumerate(query_numbers.tolist()):
+        left = np.flatnonzero(numbers != query)
+        floor = floors[at]
+        if levels and floor is None and len(left) > k:
             a, b = bounds[-1]
             guess = b[left] @ a[at]
             first = left[np.argpartition(-guess, k - 1)[:k]]
-            floor = np.sort(_products(rows[first], queries[at]))[0]
+            floor = int(_products(rows[first], queries[at]).min())
+        if levels and floor is not None:
             for a, b in bounds:
                 left = left[b[left] @ a[at] + slack >= floor]
         scores = _products(rows[left], queries[at])
         best = np.lexsort((ids[left], -scores.astype(object) if len(scores) and scores.min() == -(2**63) else -scores))[:k]
-        out += [(query_id, int(ids[left[i]]), int(scores[i])) for i in best]
+        out += [(query, int(ids[left[i]]), int(scores[i])) for i in best]
     return out
 
 
@@ -97,36 +98,52 @@ def top_k(
 ) -> DataFrame:
     """query_id, rank, vec_id, score: for every row whose vec_id is divisible by
     ``every``, the ``k`` other rows with the highest inner products, ties to the
-    smaller vec_id; all, if there are fewer. Rows of other lengths than the
-    query's are no candidates; see :func:`integer_vectors` for the rest.
+    smaller vec_id; all, if there are fewer. Rows are told apart by number, not by
+    vec_id: of rows that repeat one each is a query of its own, and a candidate of the
+    others. Rows of other lengths than the query's are no candidates; see
+    :func:`integer_vectors` for the rest.
 
     The stated queries meet all rows in blocks: each task has one block of
-    queries and one of rows, so its memory is bounded at any size.
+    queries and one of rows, so its memory is bounded at any size. The queries meet the
+    first block, rows of random numbers, before the others, which then leave out what
+    scores less than the k-th best there.
     """
-    rows = write_table(integer_vectors(vectors), "ints").withColumn("dim", F.size("ints"))
+    numbered = integer_vectors(vectors).withColumn("number", F.monotonically_increasing_id())
+    rows = write_table(numbered, "ints").withColumn("dim", F.size("ints"))
     queries = rows.where(F.col("vec_id") % every == 0)
     n_rows = max(1, -(-rows.count() // row_block))
     n_queries = max(1, -(-queries.count() // query_block))
-    block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    others = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.withColumn("qb", block(n_queries)).withColumn("rb", others(n_rows))
-    right = rows.withColumn("rb", block(n_rows)).withColumn("qb", others(n_queries))
+    block = lambda n: F.pmod(F.xxhash64("number"), F.lit(n)).cast("int")
+    all_of = lambda low, n: F.explode(F.sequence(F.lit(low), F.lit(n - 1)))
+    asked = queries.withColumn("qb", block(n_queries))
+    there = rows.withColumn("rb", block(n_rows)).withColumn("qb", all_of(0, n_queries))
 
     def search(asked: pa.Table, there: pa.Table) -> pa.Table:
         found = []
         if asked.num_rows and there.num_rows:
             found = block_top(
-                asked.column("vec_id").to_numpy(), _matrix(asked.column("ints")),
-                there.column("vec_id").to_numpy(), _matrix(there.column("ints")), k,
+                asked.column("number").to_numpy(), _matrix(asked.column("ints")), asked.column("floor").to_pylist(),
+                there.column("number").to_numpy(), there.column("vec_id").to_numpy(), _matrix(there.column("ints")), k,
             )
         columns = list(zip(*found, strict=True)) or [(), (), ()]
-        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
-
-    keys = ["dim", "qb", "rb"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["query", "vec_id", "score"])
+
+    def met(asked: DataFrame, there: DataFrame) -> DataFrame:
+        keys = ["dim", "qb", "rb"]
+        return asked.groupBy(*keys).cogroup(there.groupBy(*keys)).applyInArrow(search, "query long, vec_id long, score long")
+
+    none = F.lit(None).cast("long")
+    first = write_table(met(asked.withColumn("rb", F.lit(0)).withColumn("floor", none), there.where("rb = 0")), "first")
+    floors = first.groupBy(F.col("query").alias("number")).agg(F.min("score").alias("floor"), F.count("*").alias("n"))
+    found = first
+    if n_rows > 1:
+        limited = asked.join(floors.where(F.col("n") == k).drop("n"), "number", "left").withColumn("rb", all_of(1, n_rows))
+        found = first.unionAll(met(limited.toDF(*limited.columns), there.where("rb > 0")))
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    names = queries.select(F.col("number").alias("query"), F.col("vec_id").alias("query_id"))
     return (
         found.withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)
+        .join(names, "query")
         .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
     )

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -188,18 +189,32 @@ def test_embedding_links_match_brute_force(spark, monkeypatch, nodes):
 def test_top_k_matches_brute_force(spark):
     rows = [(i, v) for i, v, _ in vector_rows()] + [(4000, [1e30] * 16), (100, vector_rows()[3][1])]
     df = spark.createDataFrame([(i, v, 0, "x", 1) for i, v in rows], VECTORS)
-    ints = {}
+    ints = []
     for i, v in rows:
         if v is not None and all(x is not None and np.isfinite(x) for x in v):
-            w = tuple(max(-(2**63), min(2**63 - 1, int(np.floor(1024 * float(np.float32(x)))))) for x in v)
-            ints[i] = min(ints.get(i, w), w)
+            ints.append((i, tuple(max(-(2**63), min(2**63 - 1, int(np.floor(1024 * float(np.float32(x)))))) for x in v)))
     want = []
-    for q, a in ints.items():
+    for at, (q, a) in enumerate(ints):
         if q % 100 == 0:
-            scores = sorted((-max(-(2**63), min(2**63 - 1, sum(x * y for x, y in zip(a, b)))), i) for i, b in ints.items() if i != q and len(b) == len(a))
+            scores = sorted(
+                (-max(-(2**63), min(2**63 - 1, sum(x * y for x, y in zip(a, b)))), i) for k, (i, b) in enumerate(ints) if k != at and len(b) == len(a)
+            )
             want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scores[:10])]
-    got = sorted(tuple(r) for r in topk.top_k(df, row_block=200).collect())
-    assert got == sorted(want)
+    assert len({q for q, _ in ints}) < len(ints)
+    for row_block in (200, 1 << 20):
+        got = sorted(tuple(r) for r in topk.top_k(df, row_block=row_block).collect())
+        assert got == sorted(want)
+
+
+def test_top_k_of_repeated_ids_matches_sql(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    rows = [(int(i) % 130, rng.normal(size=8).tolist()) for i in range(400)]
+    rows += [(100, rows[100][1]), (1, rows[1][1]), (None, rows[2][1]), (200, None)]
+    path = str(tmp_path / "embeddings.parquet")
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{path}/*.parquet'")
+    assert not compare(topk.top_k(spark.read.parquet(path), row_block=64), con, queries.ORACLE_SQL["op9_top_k"])
 
 
 def test_bounds_hold():
