@@ -37,7 +37,7 @@ def test_heavy_ties(spark):
         TileSpec(5, (("cnt", False), ("id", True)), "r"),
         TileSpec(7, (("val", True), ("id", True)), "m"),
     ]
-    _same(spark, rows, "id string, cnt int, val double", specs, range_rows=100, splitters=20)
+    _same(spark, rows, "id string, cnt int, val double", specs, range_rows=100, sketch_k=20)
 
 
 def test_nulls_and_more_tiles_than_rows(spark):
@@ -47,7 +47,7 @@ def test_nulls_and_more_tiles_than_rows(spark):
         TileSpec(3, (("v", False), ("k", True)), "desc3"),
         TileSpec(9, (("v", True), ("k", True)), "many"),
     ]
-    _same(spark, rows, "k string, v int", specs, range_rows=2, splitters=8)
+    _same(spark, rows, "k string, v int", specs, range_rows=2, sketch_k=8)
 
 
 def test_small_relation_takes_the_same_path(spark):
@@ -66,7 +66,7 @@ def test_plan_moves_no_rows(spark):
 
 def test_quotes_and_backslashes_in_keys(spark):
     rows = [("it's", 1), ("back\\slash", 1), ('"x"', 1), ("", 1), ("é", 1), ("a\nb", 1)]
-    _same(spark, rows, "k string, v int", [TileSpec(3, (("v", True), ("k", True)), "t")], range_rows=2, splitters=6)
+    _same(spark, rows, "k string, v int", [TileSpec(3, (("v", True), ("k", True)), "t")], range_rows=2, sketch_k=8)
 
 
 @settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -78,7 +78,7 @@ def test_quotes_and_backslashes_in_keys(spark):
 def test_property_matches_ntile(spark, values, n, asc):
     rows = [(f"r{i:03d}", v) for i, v in enumerate(values)]
     spec = TileSpec(n, (("v", asc), ("k", True)), "t")
-    _same(spark, rows, "k string, v int", [spec], range_rows=7, splitters=6)
+    _same(spark, rows, "k string, v int", [spec], range_rows=7, sketch_k=8)
 
 
 def test_rfm_and_concentration_same_on_bucketed_path(spark, sf_dir):
@@ -88,5 +88,42 @@ def test_rfm_and_concentration_same_on_bucketed_path(spark, sf_dir):
     lines = order_lines(spark, sf_dir)
     for fn in (rfm_scores, revenue_concentration):
         plain = sorted(tuple(r) for r in fn(lines).collect())
-        bucketed = sorted(tuple(r) for r in fn(lines, range_rows=20, splitters=8).collect())
+        bucketed = sorted(tuple(r) for r in fn(lines, range_rows=20, sketch_k=8).collect())
         assert plain == bucketed, fn.__name__
+
+
+def test_texts_with_a_long_common_start(spark):
+    # no number tells them apart: the sample proposes
+    rows = [("x" * 60 + f"{i % 700:04d}{i}", i % 2) for i in range(1500)]
+    specs = [TileSpec(4, (("k", True),), "t"), TileSpec(3, (("v", False), ("k", True)), "u")]
+    _same(spark, rows, "k string, v int", specs, range_rows=50, sketch_k=64)
+
+
+def test_empty_and_one_tile(spark):
+    schema = "k string, v int"
+    spec = [TileSpec(3, (("v", True), ("k", True)), "t"), TileSpec(1, (("v", False), ("k", True)), "u")]
+    _same(spark, [], schema, spec)
+    _same(spark, [("a", 1), ("b", None)], schema, spec)
+
+
+def test_very_large_and_extreme_numbers(spark):
+    top = (1 << 63) - 1
+    values = [top, -top, -top - 1, None, 0, 10**18, -(10**18), top - 1]
+    rows = [(f"k{i:04d}", values[i % len(values)], float(values[(i * 3) % 8] or 0) * 1e30) for i in range(400)]
+    specs = [TileSpec(5, (("v", True), ("k", True)), "t"), TileSpec(7, (("x", True), ("k", True)), "u")]
+    _same(spark, rows, "k string, v bigint, x double", specs, range_rows=9, sketch_k=32)
+
+
+def test_two_passes_without_long_ties(spark):
+    rows = [(f"k{i:05d}", i * 7919 % 100003) for i in range(20000)]
+    df = spark.createDataFrame(rows, "k string, v int").repartition(4)
+    passes = []
+    from salescope.operators import tiles
+
+    plain = tiles._counted
+    tiles._counted = lambda *a: passes.append(len(a[1])) or plain(*a)
+    try:
+        with_ntiles(df, [TileSpec(5, (("v", True), ("k", True)), "t")], materialized=True)
+    finally:
+        tiles._counted = plain
+    assert passes == [4]
