@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import write_table
+from .shingles import span_hashes
 
 WINDOW = 4096
 #: Appended to each document.
@@ -42,16 +43,20 @@ DENSE_SHARE = 0.125
 WIDTH, SAMPLE_DOCS, LEAST_SAMPLE, DEPTH = 128, 32_768, 16, 11
 #: BM25 constants.
 K1, B = 1.2, 0.75
-#: Words whose ids a worker remembers.
-CACHE_WORDS = 400_000
-
-_LETTERS = "".join(
-    re.escape(chr(c)) for c in range(0x21, 0x250) if unicodedata.category(chr(c))[0] == "L"
+#: Words whose ids a worker remembers, and longer ones which it does not.
+CACHE_WORDS, CACHE_CHARS = 400_000, 64
+#: Texts are cut into words together in batches of about so many characters.
+BATCH_CHARS = 1 << 18
+
+#: Classes of the characters below U+0250: blank, letter, number, other.
+_BLANK, _LETTER, _NUMBER, _OTHER = range(4)
+_CLASS = np.array(
+    [{"L": _LETTER, "N": _NUMBER}.get(unicodedata.category(chr(c))[0], _BLANK if chr(c).isspace() else _OTHER) for c in range(0x250)],
+    dtype=np.uint8,
 )
-_NUMBERS = "".join(re.escape(chr(c)) for c in range(0x21, 0x250) if unicodedata.category(chr(c))[0] == "N")
-#: The pre-tokenizer's pattern, for characters below U+0250.
-_PLAIN_WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+")
-#: Texts of these characters only are cut by that pattern; U+0130 has a lower
+#: What the pre-tokenizer's pattern cuts off after an apostrophe (fixed values).
+_ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
+#: Texts of these characters only are cut by their classes; U+0130 has a lower
 #: case of two characters, and "<|" may begin a special token.
 _PLAIN_TEXT = re.compile("[\\t\\n\\r\\x20-\\x7e\\u00a1-\\u012f\\u0131-\\u024f]*\\Z")
 
@@ -62,8 +67,81 @@ def _worker_store() -> dict:
     return vars(sys.modules.setdefault("_salescope_worker", types.ModuleType("_salescope_worker")))
 
 
+def cut_words(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the words in lower-case characters below U+0250: runs of
+    letters, single numbers, runs of others; an apostrophe that begins a word is one
+    with the ending that follows it, and what follows that is a word of its own."""
+    kind = _CLASS[units]
+    begins = kind != _BLANK
+    begins[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == _NUMBER)
+    stops = kind != _BLANK
+    stops[:-1] &= (kind[1:] != kind[:-1]) | (kind[:-1] == _NUMBER)
+    quotes = np.flatnonzero(begins & (units == ord("'")))
+    for ending in _ENDINGS:
+        at = quotes[quotes + len(ending) < len(units)]
+        for k, c in enumerate(ending, 1):
+            at = at[units[at + k] == ord(c)]
+        last = at + len(ending)
+        stops[at] = begins[at + 1] = False
+        stops[last] = True
+        after = last[last + 1 < len(units)] + 1
+        begins[after[kind[after] == _LETTER]] = True
+    return np.flatnonzero(begins), np.flatnonzero(stops) + 1
+
+
+class WordIds:
+    """Ids of words by the words' 64-bit hashes: a hash table of numpy arrays whose
+    entries point into one array of ids."""
+
+    SLOTS = 21
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = np.zeros(1 << self.SLOTS, dtype=np.uint64)
+        self.entry = np.zeros(1 << self.SLOTS, dtype=np.int32)
+        self.starts, self.lengths, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Entry of each key, -1 for unknown ones."""
+        out = np.full(len(keys), -1, dtype=np.int64)
+        slot = (keys >> np.uint64(64 - self.SLOTS)).astype(np.int64)
+        rows = np.arange(len(keys))
+        while len(rows):
+            held = self.keys[slot]
+            hit = held == keys[rows]
+            out[rows[hit]] = self.entry[slot[hit]]
+            on = ~hit & (held != 0)
+            rows, slot = rows[on], (slot[on] + 1) & ((1 << self.SLOTS) - 1)
+        return out
+
+    def add(self, keys: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> None:
+        """Distinct unknown ``keys`` with ``ids``, so many each."""
+        entry = np.arange(len(self), len(self) + len(keys))
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.ids = np.concatenate([self.ids, ids])
+        slot = (keys >> np.uint64(64 - self.SLOTS)).astype(np.int64)
+        rows = np.arange(len(keys))
+        while len(rows):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = keys[rows[free]]
+            placed = free & (self.keys[slot] == keys[rows])
+            self.entry[slot[placed]] = entry[rows[placed]]
+            rows, slot = rows[~placed], (slot[~placed] + 1) & ((1 << self.SLOTS) - 1)
+
+
 class WordTokenizer:
-    """Token ids of texts; ids of words are remembered between texts and tasks."""
+    """Token ids of texts; ids of words are remembered between texts and tasks.
+
+    Words are cut, hashed and looked up by arrays over the characters of many texts;
+    only words that are new to the worker reach the tokenizer library, all of a batch
+    as one text. Words of more than CACHE_CHARS are not looked up.
+    """
 
     def __init__(self, path: str):
         store = _worker_store()
@@ -73,37 +151,86 @@ class WordTokenizer:
             from tokenizers import Tokenizer
 
             whole = Tokenizer.from_file(path)
-            # words come cut and in lower case: only their bytes remain to be mapped
+            # words come cut and in lower case, with blanks between: only their bytes remain to be mapped
             spec = json.loads(whole.to_str())
             spec["normalizer"] = None
             steps = spec["pre_tokenizer"]["pretokenizers"]
-            spec["pre_tokenizer"] = next(x for x in steps if x["type"] == "ByteLevel")
-            store[path] = (whole, Tokenizer.from_str(json.dumps(spec)), {})
-        self.tokenizer, self.of_words, self.known = store[path]
+            blank = {"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False}
+            spec["pre_tokenizer"]["pretokenizers"] = [blank, next(x for x in steps if x["type"] == "ByteLevel")]
+            suffix = spec["model"]["end_of_word_suffix"]
+            vocabulary = whole.get_vocab(with_added_tokens=True)
+            ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+            ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+            store[path] = (whole, Tokenizer.from_str(json.dumps(spec)), ends, WordIds())
+        self.tokenizer, self.of_words, self.ends, self.known = store[path]
 
     def plain(self, text: str) -> bool:
         return bool(_PLAIN_TEXT.match(text)) and "<|" not in text and (text.isascii() or unicodedata.is_normalized("NFC", text))
 
+    def _ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids a word, and the ids of all words; each word's last id ends a word."""
+        ids = np.array(self.of_words.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+        last = np.flatnonzero(self.ends[ids])
+        if len(last) != len(words):
+            raise ValueError("the vocabulary does not mark the ends of words")
+        return np.diff(last, prepend=-1), ids
+
+    def _plain_ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain texts back to back, and how many each text has."""
+        joined = "\n".join(texts).lower()  # one character for one, and blanks end words
+        units = np.frombuffer(joined.encode("utf-16-le"), dtype="<u2")
+        if not len(units):
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        begins, stops = cut_words(units)
+        keys = span_hashes(units, begins, stops)
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        lengths = stops - begins
+        entry = np.where(lengths <= CACHE_CHARS, self.known.find(keys), -1)
+        new = np.flatnonzero((entry < 0) & (lengths <= CACHE_CHARS))
+        if len(new):
+            distinct, first = np.unique(keys[new], return_index=True)
+            spans = zip(begins[new[first]].tolist(), stops[new[first]].tolist(), strict=True)
+            self.known.add(distinct, *self._ids_of([joined[b:e] for b, e in spans]))
+            entry[new] = self.known.find(keys[new])
+        starts, counts, pool = self.known.starts, self.known.lengths, self.known.ids
+        long = np.flatnonzero(entry < 0)
+        if len(long):
+            more, ids = self._ids_of([joined[b:e] for b, e in zip(begins[long].tolist(), stops[long].tolist(), strict=True)])
+            entry[long] = len(starts) + np.arange(len(long))
+            starts = np.concatenate([starts, len(pool) + np.cumsum(more) - more])
+            counts, pool = np.concatenate([counts, more]), np.concatenate([pool, ids])
+        each = counts[entry]
+        upto = np.concatenate([[0], np.cumsum(each)])
+        ids = pool[np.repeat(starts[entry] - upto[:-1], each) + np.arange(upto[-1])]
+        text_ends = np.cumsum([len(t) + 1 for t in texts])
+        return ids, np.diff(upto[np.searchsorted(begins, text_ends)], prepend=0)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit, END_ID last."""
-        words = [_PLAIN_WORD.findall(t.lower()) if self.plain(t) else None for t in texts]
-        known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        new = list(set().union(*(ws for ws in words if ws)).difference(known))
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, self.of_words.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                ids = e.ids
-                known[w] = struct.pack(f"<{len(ids)}I", *ids)
         end = struct.pack("<I", END_ID)
-        out = []
-        for text, ws in zip(texts, words, strict=True):
-            if ws is None:
-                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-                out.append(struct.pack(f"<{len(ids)}I", *ids) + end)
+        out: list = [b""] * len(texts)
+        plain, size = [], 0
+
+        def flush():
+            ids, counts = self._plain_ids([texts[k] for k in plain])
+            raw, at = ids.astype("<u4").tobytes(), 0
+            for k, n in zip(plain, (4 * counts).tolist(), strict=True):
+                out[k] = raw[at : at + n] + end
+                at += n
+
+        for k, text in enumerate(texts):
+            if self.plain(text):
+                plain.append(k)
+                size += len(text)
+                if size > BATCH_CHARS:
+                    flush()
+                    plain, size = [], 0
             else:
-                out.append(b"".join(map(known.__getitem__, ws)) + end)
+                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+                out[k] = struct.pack(f"<{len(ids)}I", *ids) + end
+        if plain:
+            flush()
         return out
 
 

@@ -75,6 +75,23 @@ def word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
     return h, counts
 
 
+_UNIT = _mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64) * _U(0xD1342543DE82EF95))
+
+
+def span_hashes(units: np.ndarray, begins: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """64-bit hash, never 0, of each span of 16-bit ``units``: a polynomial over its
+    units, mixed with its length. Long spans of a special build can have equal hashes;
+    callers take those of bounded length."""
+    n = len(units)
+    with np.errstate(over="ignore"):
+        sums = np.empty(n + 1, dtype=np.uint64)
+        sums[0] = 0
+        np.cumsum(_UNIT[units] * _cached("base", _BASE, n), out=sums[1:])
+        h = (sums[stops] - sums[begins]) * _cached("inverse", _INVERSE, n)[begins]
+        h = _mix(h ^ ((stops - begins).astype(np.uint64) * _U(0x2545F4914F6CDD1D)))
+    return np.maximum(h, _U(1))
+
+
 def shingle_hashes(words: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each shingle, shingles per text), repeats included. A text with
     fewer words than ``size`` has its whole sequence as one; without words none."""

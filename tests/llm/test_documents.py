@@ -238,6 +238,30 @@ def test_packing_round_trip(docs_of):
         assert length <= 4096 and (length == 4096 or length & (length - 1) == 0)
 
 
+def test_word_ids_equal_the_library(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "BATCH_CHARS", 1000)
+    monkeypatch.setattr(packing, "CACHE_WORDS", 200)
+    rng = random.Random(1)
+    signs = "abst remv d'l''LL'RE 19²½ .,!?-\"\n\tÀéßøĳŁſ·ªº¼¡ŉǅ "
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(300))) for _ in range(600)]
+    texts += ["", "'", "x'", "'s", "a'", "don't've'd'", "q" * 500, "<" * 70 + "'ll" * 40, "''s 's't", "\n", "İ <|endoftext|> 日本"]
+    own, library = packing.WordTokenizer(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
+    assert sum(map(own.plain, texts)) == len(texts) - 1
+    expected = [np.array([*library.encode(t, add_special_tokens=False).ids, 2], dtype="<u4").tobytes() for t in texts]
+    assert own.encode(texts) == expected
+    assert own.encode(texts[::-1]) == expected[::-1]
+
+
+def test_word_hash_table_keeps_colliding_slots_apart():
+    known = packing.WordIds()
+    keys = np.array([(7 << 43) + k for k in range(1, 40)] + [2**64 - 1 - k for k in range(5)], dtype=np.uint64)
+    known.add(keys, np.ones(len(keys), np.int64), np.arange(len(keys), dtype=np.uint32))
+    assert known.find(keys).tolist() == list(range(len(keys)))
+    assert known.find(np.array([7 << 43, 5], dtype=np.uint64)).tolist() == [-1, -1]
+
+
 def test_neighbours_share_rare_terms():
     idf = np.ones(100)
     units = [np.array([1, 2, 3, 3]), np.array([50, 51]), np.array([3, 3, 9]), np.array([2, 60])]
