@@ -41,6 +41,8 @@ DENSE_SHARE = 0.125
 #: Length of a document's vector, documents that the tree is fitted to, fewest of
 #: them on each side of a branch, and most branches to a leaf.
 WIDTH, SAMPLE_DOCS, LEAST_SAMPLE, DEPTH = 128, 32_768, 16, 11
+#: Documents sampled for the limits of a shard, and of all shards at most.
+LIMIT_SAMPLE, LIMIT_ROWS = 32, 1 << 20
 #: BM25 constants.
 K1, B = 1.2, 0.75
 #: Words whose ids a worker remembers, and longer ones which it does not.
@@ -495,8 +497,7 @@ def pack_shard(
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def place(tokens: DataFrame, idf: np.ndarray, mean: float, n: int) -> DataFrame:
-    """The rows of ``tokens`` with their place, and uid, which tells equal places apart."""
+def fitted_places(tokens: DataFrame, idf: np.ndarray, mean: float, n: int) -> Places:
     places = Places(idf, mean)
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -507,15 +508,61 @@ def place(tokens: DataFrame, idf: np.ndarray, mean: float, n: int) -> DataFrame:
     sample = tokens.select("ids").sample(min(1.0, SAMPLE_DOCS / max(1, n)), seed=6).mapInArrow(project, "v binary").collect()
     if sample:
         places.fit(np.array([np.frombuffer(r["v"], dtype="<f4") for r in sample], dtype=np.float64))
+    return places
+
+
+def in_order(first: np.ndarray, second: np.ndarray, places: np.ndarray, uids: np.ndarray) -> np.ndarray:
+    """How many of the sorted pairs (``first``, ``second``) are at or before each (place, uid)."""
+    low, high = np.searchsorted(first, places, "left"), np.searchsorted(first, places, "right")
+    for a in np.unique(low[low < high]):
+        rows = np.flatnonzero((low == a) & (low < high))
+        low[rows] += np.searchsorted(second[a : high[rows[0]]], uids[rows], "right")
+    return low
+
+
+def shard_limits(sample: np.ndarray, shards: int) -> np.ndarray:
+    """First (place, uid) of each shard but the first, from rows of (place, uid,
+    tokens): each shard gets an equal part of documents and tokens, half and half, so
+    at most twice the mean of either."""
+    if not len(sample):
+        return np.zeros((0, 2), dtype=np.int64)
+    sample = sample[np.lexsort((sample[:, 1], sample[:, 0]))]
+    weight = 1 / len(sample) + sample[:, 2] / max(1, sample[:, 2].sum())
+    at = np.searchsorted(np.cumsum(weight), 2 * np.arange(1, shards) / shards)
+    return sample[np.unique(np.minimum(at, len(sample) - 1)), :2]
+
+
+def dealt(tokens: DataFrame, idf: np.ndarray, mean: float, n: int, shards: int) -> DataFrame:
+    """The rows of ``tokens`` with shard, place, and uid, which tells equal places
+    apart. The limits of shards come from a sample of their own, so that places of all
+    rows are found once, on the way to the shuffle."""
+    places = fitted_places(tokens, idf, mean, n)
+    numbered = tokens.select("doc_id", "ids", F.monotonically_increasing_id().alias("uid"))
+
+    def of(batch: pa.RecordBatch) -> np.ndarray:
+        return places.of(places.vectors([np.frombuffer(raw.as_buffer(), dtype="<u4") for raw in batch.column("ids")]))
+
+    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = np.column_stack([of(batch), batch.column("uid").to_numpy(), [len(raw.as_buffer()) // 4 for raw in batch.column("ids")]])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows.T], names=["place", "uid", "size"])
+
+    share = min(LIMIT_ROWS, LIMIT_SAMPLE * shards) / max(1, n)
+    limits = np.zeros((0, 2), dtype=np.int64)
+    if shards > 1:
+        sample = numbered.select("ids", "uid").sample(min(1.0, share), seed=7).mapInArrow(locate, "place long, uid long, size long")
+        limits = shard_limits(np.column_stack([c.to_numpy() for c in sample.toArrow().columns]).astype(np.int64), shards)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = places.of(places.vectors([np.frombuffer(raw.as_buffer(), dtype="<u4") for raw in batch.column("ids")]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], names=["doc_id", "ids", "uid", "place"])
+            found = of(batch)
+            shard = in_order(limits[:, 0], limits[:, 1], found, batch.column("uid").to_numpy())
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(found, pa.int64()), pa.array(shard, pa.int64())],
+                names=["doc_id", "ids", "uid", "place", "shard"],
+            )
 
-    return tokens.select("doc_id", "ids", F.monotonically_increasing_id().alias("uid")).mapInArrow(
-        find, "doc_id long, ids binary, uid long, place long"
-    )
+    return numbered.mapInArrow(find, "doc_id long, ids binary, uid long, place long, shard long")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) -> DataFrame:
@@ -523,8 +570,8 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) -> DataFram
 
     Every row of ``docs`` (doc_id, text) is packed, repeated rows each; null text
     is empty and has the end id only. Sequences have at most ``window`` ids. The
-    tokens are written once and shuffled once, by ranges of their places; rows of
-    equal place, as copies have, are split by uid. A neighbour in another shard is not
+    tokens are written once and shuffled once, by shards, which are ranges of their
+    places; rows of equal place, as copies have, are split by uid. A neighbour in another shard is not
     found. Document frequencies are one row for each id and task; their table is as
     large as the tokenizer's vocabulary, which bounds what is sent to the tasks.
     """
@@ -558,9 +605,14 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) -> DataFram
             columns = list(zip(*rows, strict=True))
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
-        held, size = [], 0
+        held, size, current = [], 0, None
         for batch in batches:
-            for doc_id, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+            columns = (batch.column(c).to_pylist() for c in ("shard", "doc_id", "ids"))
+            for shard, doc_id, raw in zip(*columns, strict=True):
+                if shard != current and held:
+                    yield flush(held)
+                    held, size = [], 0
+                current = shard
                 held.append((doc_id, np.frombuffer(raw, dtype="<u4")))
                 size += len(raw) // 4
                 if len(held) >= 2 * SHARD_DOCS or size >= SHARD_TOKENS:
@@ -570,5 +622,5 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) -> DataFram
             yield flush(held)
 
     shards = max(1, math.ceil(n / SHARD_DOCS), math.ceil(2 * total / SHARD_TOKENS))
-    near = place(tokens, idf, mean, n).repartitionByRange(shards, "place", "uid").sortWithinPartitions("place", "uid")
-    return near.select("doc_id", "ids").mapInArrow(packed, PIECES)
+    near = dealt(tokens, idf, mean, n, shards).repartition(shards, "shard").sortWithinPartitions("shard", "place", "uid")
+    return near.select("shard", "doc_id", "ids").mapInArrow(packed, PIECES)

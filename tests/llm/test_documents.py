@@ -262,6 +262,21 @@ def test_word_hash_table_keeps_colliding_slots_apart():
     assert known.find(np.array([7 << 43, 5], dtype=np.uint64)).tolist() == [-1, -1]
 
 
+def test_shard_limits_split_equal_places_and_long_documents():
+    rng = np.random.default_rng(3)
+    rows = np.column_stack([rng.integers(0, 50, 4000), rng.permutation(4000), rng.integers(1, 60, 4000)])
+    rows[:1500, 0] = 7  # a hot place
+    rows[1500:1520, 2] = 3000  # a few documents hold a third of the tokens
+    limits = packing.shard_limits(rows, 20)
+    got = packing.in_order(limits[:, 0], limits[:, 1], rows[:, 0], rows[:, 1])
+    pairs = [tuple(x) for x in limits.tolist()]
+    assert pairs == sorted(set(pairs))
+    assert got.tolist() == [sum(q <= (p, u) for q in pairs) for p, u, _ in rows.tolist()]
+    assert np.bincount(got).max() <= 2 * 4000 / 20 + 1
+    assert np.bincount(got, rows[:, 2]).max() <= 2 * rows[:, 2].sum() / 20 + 3000
+    assert len(packing.shard_limits(rows[:0], 20)) == 0
+
+
 def test_neighbours_share_rare_terms():
     idf = np.ones(100)
     units = [np.array([1, 2, 3, 3]), np.array([50, 51]), np.array([3, 3, 9]), np.array([2, 60])]
