@@ -48,14 +48,22 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release_scratch(spark: SparkSession) -> int:
-    """Remove this application's scratch tables; returns how many there were.
+def scratch_tables(spark: SparkSession) -> list[str]:
+    """Paths of this application's scratch tables, in the order in which they were made."""
+    return list(_SCRATCH.get(spark.sparkContext.applicationId, []))
 
-    Call it when no DataFrame that an operator returned is read any more.
+
+def release_scratch(spark: SparkSession, tables: list[str] | None = None) -> int:
+    """Remove this application's scratch tables, or those of ``tables`` only; returns
+    how many there were.
+
+    Call it when no DataFrame that an operator returned from them is read any more.
     """
-    paths = _SCRATCH.pop(spark.sparkContext.applicationId, [])
+    held = _SCRATCH.get(spark.sparkContext.applicationId, [])
+    paths = [p for p in held if tables is None or p in set(tables)]
     for path in paths:
         remove(spark, path)
+        held.remove(path)
     return len(paths)
 
 
@@ -65,6 +73,11 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def row_struct(df: DataFrame):
+    """All columns of a row as one struct with the fields c0, c1, ..."""
+    return F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)))
+
+
 def word_count(text):
     """Number of maximal runs of non-blank characters; 0 for null."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_key, connected_components, write_table
+from .common import by_key, connected_components, row_struct, write_table
 from .shingles import _mix, shingle_sets, signatures
 
 SHINGLE_WORDS = 5
@@ -236,15 +236,15 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
     compared like others, but a row with one is preferred to them; those with the
     same text count as one."""
     stand_in = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("text"), 2)
-    keyed = docs.withColumn("_dedup_id", F.coalesce(F.col("doc_id").cast("long"), stand_in))
-    kept = near_duplicates(keyed.select(F.col("_dedup_id").alias("doc_id"), "text"), **options).where("kept")
-    once = write_table(kept.groupBy(F.col("doc_id").alias("_dedup_id")).agg(F.count("*").alias("_times")), "kept")
-    stay = keyed.join(once, "_dedup_id")
-    if once.where("_times > 1").isEmpty():
-        return stay.select(*docs.columns)
+    # the row as a struct: names of its columns meet none of the helpers'
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), stand_in).alias("id"), row_struct(docs).alias("row"))
+    columns = [F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)]
+    texts = keyed.select(F.col("id").alias("doc_id"), columns[docs.columns.index("text")])
+    kept = near_duplicates(texts, **options).where("kept")
+    once = write_table(kept.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("times")), "kept")
+    stay = keyed.join(once, "id")
+    if once.where("times > 1").isEmpty():
+        return stay.select(*columns)
     # some ids repeat: the first row in column order stays
-    row = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)))
-    first = stay.where("_times > 1").groupBy("_dedup_id").agg(F.min(row).alias("_row"))
-    return stay.where("_times = 1").select(*docs.columns).unionAll(
-        first.select(*(F.col(f"_row.c{i}").alias(c) for i, c in enumerate(docs.columns)))
-    )
+    first = stay.where("times > 1").groupBy("id").agg(F.min("row").alias("row"))
+    return stay.where("times = 1").select(*columns).unionAll(first.select(*columns))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANK_CLASS, BLANKS, word_count, write_table
+from .common import BLANK_CLASS, BLANKS, row_struct, word_count, write_table
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -171,24 +171,27 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
         .groupBy("doc_id", "source", "size")
         .agg(F.ceil(F.sum("taken") / F.count("*")).alias("take"))
     )
-    sized = docs.withColumn("_size", word_count(F.col("text")))
+    # the row as a struct: names of its columns meet none of the helpers'
+    at = {c: F.col(f"d.row.c{i}") for i, c in enumerate(docs.columns)}
+    sized = docs.select(row_struct(docs).alias("row"), word_count(F.col("text")).alias("size"))
     copies = (
         sized.alias("d")
         .join(
             takes.alias("t"),
-            F.col("d.doc_id").eqNullSafe(F.col("t.doc_id"))
-            & F.col("d.source").eqNullSafe(F.col("t.source"))
-            & (F.col("d._size") == F.col("t.size")),
+            at["doc_id"].eqNullSafe(F.col("t.doc_id"))
+            & at["source"].eqNullSafe(F.col("t.source"))
+            & (F.col("d.size") == F.col("t.size")),
         )
-        .select("d.*", F.col("t.take").alias("_take"))
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_take") / F.col("_size")).cast("int"))))
+        .select("d.row", "d.size", "t.take")
+        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("take") / F.col("size")).cast("int"))))
+        .alias("d")
     )
-    words = F.col("_take") - (F.col("_copy") - 1) * F.col("_size")
+    words = F.col("take") - (F.col("copy") - 1) * F.col("size")
     cut = F.array_join(
-        F.slice(F.split(F.btrim(F.col("text"), F.lit(BLANKS)), BLANK_CLASS + "+"), 1, F.least(words, F.col("_size")).cast("int")),
+        F.slice(F.split(F.btrim(at["text"], F.lit(BLANKS)), BLANK_CLASS + "+"), 1, F.least(words, F.col("size")).cast("int")),
         " ",
     )
-    out = copies.withColumn("text", F.when(words >= F.col("_size"), F.col("text")).otherwise(cut))
+    changed = {"text": F.when(words >= F.col("size"), at["text"]).otherwise(cut)}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+        changed["n_chars"] = F.length(changed["text"]).cast("long")
+    return copies.select(*(changed.get(c, at[c]).alias(c) for c in docs.columns))

@@ -361,6 +361,36 @@ def test_empty_tables(spark, docs_of):
         assert df.count() == 0
 
 
+def test_columns_named_like_the_helpers_stay(spark):
+    from pyspark.sql import functions as F
+
+    names = ["id", "row", "times", "take", "size", "copy", "key", "range", "_times", "_size", "_dedup_id", "_take", "_copy", "a.b"]
+    rows = [(1, "a b c d", "s"), (2, "a b c d", "s"), (3, "e f g", None), (3, "e f g", None), (None, "h", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").select(
+        "*", *(F.lit(90 + i).alias(n) for i, n in enumerate(names))
+    )
+    extra = tuple(range(90, 90 + len(names)))
+    kept = minhash.deduplicated(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r[0] or 0, *r[3:]) for r in kept.collect()) == [(0, *extra), (1, *extra), (3, *extra)]
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    got = mixed.collect()
+    assert got and all(tuple(r[3:]) == extra for r in got)
+    assert sum(len(r["text"].split()) for r in got) == sum(r["taken"] for r in mixing.mix_takes(docs).collect())
+
+
+def test_scratch_tables_of_others_stay(spark, docs_of):
+    from salescope.llm import common
+
+    first = common.write_table(docs_of([(1, "a", "s")]), "first")
+    before = common.scratch_tables(spark)
+    common.write_table(docs_of([(2, "b", "s")]), "second")
+    own = [t for t in common.scratch_tables(spark) if t not in before]
+    assert len(own) == 1 and common.release_scratch(spark, own) == 1
+    assert common.scratch_tables(spark) == before and first.count() == 1
+
+
 def test_near_dedup_stage_links_from_four_fifths(spark, docs_of):
     import corpus_pipeline as P
 
