@@ -19,6 +19,7 @@ import types
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .align import byte_level_alphabet
 from .common import write_table
 from .shingles import span_hashes
 
@@ -46,7 +48,7 @@ LIMIT_SAMPLE, LIMIT_ROWS = 32, 1 << 20
 #: BM25 constants.
 K1, B = 1.2, 0.75
 #: Words whose ids a worker remembers, and longer ones which it does not.
-CACHE_WORDS, CACHE_CHARS = 400_000, 64
+CACHE_WORDS, CACHE_CHARS = 1_000_000, 64
 #: Texts are cut into words together in batches of about so many characters.
 BATCH_CHARS = 1 << 18
 
@@ -95,7 +97,7 @@ class WordIds:
     """Ids of words by the words' 64-bit hashes: a hash table of numpy arrays whose
     entries point into one array of ids."""
 
-    SLOTS = 21
+    SLOTS = 22
 
     def __init__(self):
         self.clear()
@@ -103,10 +105,12 @@ class WordIds:
     def clear(self) -> None:
         self.keys = np.zeros(1 << self.SLOTS, dtype=np.uint64)
         self.entry = np.zeros(1 << self.SLOTS, dtype=np.int32)
-        self.starts, self.lengths, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.words = self.used = 0
+        # both grow by doubling
+        self.starts, self.ids = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 18, dtype=np.uint32)
 
     def __len__(self) -> int:
-        return len(self.starts)
+        return self.words
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Entry of each key, -1 for unknown ones."""
@@ -123,10 +127,14 @@ class WordIds:
 
     def add(self, keys: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> None:
         """Distinct unknown ``keys`` with ``ids``, so many each."""
-        entry = np.arange(len(self), len(self) + len(keys))
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.ids = np.concatenate([self.ids, ids])
+        entry = np.arange(self.words, self.words + len(keys))
+        while self.words + len(keys) >= len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.starts[entry + 1] = self.used + np.cumsum(lengths)
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.words, self.used = self.words + len(keys), self.used + len(ids)
         slot = (keys >> np.uint64(64 - self.SLOTS)).astype(np.int64)
         rows = np.arange(len(keys))
         while len(rows):
@@ -141,8 +149,8 @@ class WordTokenizer:
     """Token ids of texts; ids of words are remembered between texts and tasks.
 
     Words are cut, hashed and looked up by arrays over the characters of many texts;
-    only words that are new to the worker reach the tokenizer library, all of a batch
-    as one text. Words of more than CACHE_CHARS are not looked up.
+    only words that are new to the worker reach the tokenizer library's model. Words of
+    more than CACHE_CHARS are not looked up.
     """
 
     def __init__(self, path: str):
@@ -153,29 +161,21 @@ class WordTokenizer:
             from tokenizers import Tokenizer
 
             whole = Tokenizer.from_file(path)
-            # words come cut and in lower case, with blanks between: only their bytes remain to be mapped
-            spec = json.loads(whole.to_str())
-            spec["normalizer"] = None
-            steps = spec["pre_tokenizer"]["pretokenizers"]
-            blank = {"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False}
-            spec["pre_tokenizer"]["pretokenizers"] = [blank, next(x for x in steps if x["type"] == "ByteLevel")]
-            suffix = spec["model"]["end_of_word_suffix"]
-            vocabulary = whole.get_vocab(with_added_tokens=True)
-            ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-            ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
-            store[path] = (whole, Tokenizer.from_str(json.dumps(spec)), ends, WordIds())
-        self.tokenizer, self.of_words, self.ends, self.known = store[path]
+            step = json.loads(whole.to_str())["pre_tokenizer"]["pretokenizers"][-1]
+            if step["type"] != "ByteLevel" or step["add_prefix_space"] or step["use_regex"]:
+                raise ValueError("the vocabulary is not one of words by bytes")
+            store[path] = (whole, {b: c for c, b in byte_level_alphabet().items()}, WordIds())
+        self.tokenizer, self.alphabet, self.known = store[path]
 
     def plain(self, text: str) -> bool:
         return bool(_PLAIN_TEXT.match(text)) and "<|" not in text and (text.isascii() or unicodedata.is_normalized("NFC", text))
 
     def _ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids a word, and the ids of all words; each word's last id ends a word."""
-        ids = np.array(self.of_words.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype=np.uint32)
-        last = np.flatnonzero(self.ends[ids])
-        if len(last) != len(words):
-            raise ValueError("the vocabulary does not mark the ends of words")
-        return np.diff(last, prepend=-1), ids
+        """Ids a word, and the ids of all words, which are cut and in lower case."""
+        of = self.tokenizer.model.tokenize
+        ids = [[t.id for t in of(w if w.isascii() else w.encode().decode("latin-1").translate(self.alphabet))] for w in words]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        return lengths, np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))
 
     def _plain_ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of plain texts back to back, and how many each text has."""
@@ -195,14 +195,14 @@ class WordTokenizer:
             spans = zip(begins[new[first]].tolist(), stops[new[first]].tolist(), strict=True)
             self.known.add(distinct, *self._ids_of([joined[b:e] for b, e in spans]))
             entry[new] = self.known.find(keys[new])
-        starts, counts, pool = self.known.starts, self.known.lengths, self.known.ids
+        known = self.known
+        starts, pool = known.starts[: known.words + 1], known.ids[: known.used]
         long = np.flatnonzero(entry < 0)
         if len(long):
             more, ids = self._ids_of([joined[b:e] for b, e in zip(begins[long].tolist(), stops[long].tolist(), strict=True)])
-            entry[long] = len(starts) + np.arange(len(long))
-            starts = np.concatenate([starts, len(pool) + np.cumsum(more) - more])
-            counts, pool = np.concatenate([counts, more]), np.concatenate([pool, ids])
-        each = counts[entry]
+            entry[long] = known.words + np.arange(len(long))
+            starts, pool = np.concatenate([starts, known.used + np.cumsum(more)]), np.concatenate([pool, ids])
+        each = starts[entry + 1] - starts[entry]
         upto = np.concatenate([[0], np.cumsum(each)])
         ids = pool[np.repeat(starts[entry] - upto[:-1], each) + np.arange(upto[-1])]
         text_ends = np.cumsum([len(t) + 1 for t in texts])
