@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from salescope.schema import ORDER_LINE_SCHEMA, SHIPPING_COST
+from salescope.sources.versions import refresh
 
 # Fixed value: the date pattern.
 DATE_PATTERN = "d-M-yyyy"
@@ -232,8 +233,9 @@ def with_order_year(lines: DataFrame) -> DataFrame:
 
 
 def write_order_lines(lines: DataFrame, path: str) -> None:
-    """IO-8: full refresh of the Parquet store, partitioned by order year so
-    that date-filtered analyses prune whole directories.
+    """IO-8: a plain Parquet table, partitioned by order year so that date-filtered
+    analyses prune whole directories; what ``path`` held is overwritten. A store that
+    is read meanwhile is refreshed by ``store.refresh_order_store``.
 
     Rows are rebalanced by year first: adaptive execution splits a large year and
     joins small ones, so that files have about the advisory partition size
@@ -274,17 +276,25 @@ def ingest_order_csv(
     reject_path: str | None = None,
     multi_line: bool = True,
     encoding: str = "ISO-8859-1",
+    staged: bool = False,
 ) -> IngestResult:
     """Read, check and type order lines; optionally write lines and rejects.
 
     Nothing is cached: lines and rejects are two passes over the CSV, each
-    of which a lost executor repeats for its own files only.
+    of which a lost executor repeats for its own files only. ``staged`` makes the lines
+    a new version of the store at ``out_path``, which readers see once it is complete;
+    without it a plain table is overwritten.
     """
     typed = type_order_lines(read_order_csv(spark, csv_path, multi_line, encoding))
     lines, rejects = split_good_and_rejects(typed)
     if out_path is not None:
-        write_order_lines(lines, out_path)
-        lines = spark.read.parquet(out_path).drop("order_year")
+        folder = out_path
+        if staged:
+            checked = lines
+            folder = refresh(spark, out_path, lambda new: write_order_lines(checked, new))
+        else:
+            write_order_lines(lines, out_path)
+        lines = spark.read.parquet(folder).drop("order_year")
     if reject_path is not None:
         rejects.write.mode("overwrite").parquet(reject_path)
         rejects = spark.read.parquet(reject_path)
