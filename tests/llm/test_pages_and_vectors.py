@@ -141,6 +141,54 @@ def test_lookup_by_url(pages_of, monkeypatch):
     assert warc.lookup(directory, folder, "http://nowhere.org/") == []
 
 
+@pytest.mark.parametrize("characters", [256, 11])
+def test_find_matches_a_scan_of_the_index(pages_of, monkeypatch, characters):
+    """Keys that fill many blocks, agree in their first characters, or are missing."""
+    monkeypatch.setattr(warc, "BLOCK_LINES", 4)
+    monkeypatch.setattr(warc, "KEY_CHARACTERS", characters)
+    rows = [(i, f"http://h{i % 7}.org/{'long' * 90}/{i % 30}", f"<p>{i}") for i in range(120)]
+    rows += [(200 + i, "http://h1.org/hot", f"v{i}") for i in range(60)] + [(300, None, "n"), (301, "", None), (302, "x y\u00e9\n", "t")]
+    pages = pages_of(rows)
+    folder = warc.scratch_path(pages.sparkSession, "warc")
+    directory = warc.write_index(warc.write_archives(warc.captures(pages), folder), folder, 4)
+    assert len(warc.index_files(directory)) >= 4
+    urls = [u for _, u, _ in rows[::3]] + ["http://h1.org/hot", None, "http://h1.org/ho", "http://zz.org/", "x y\u00e9\n"]
+    asked = pages_of([(0, u, None) for u in urls])
+    key = {r["key"] for r in asked.select(warc.url_key(asked["url"]).alias("key")).collect()}
+    want = sorted(tuple(r) for r in warc.index_lines(directory, folder).collect() if r["key"] in key)
+    got = sorted(tuple(r) for r in warc.find(asked, directory, folder).collect())
+    assert got == want and len(got) >= 100
+    read = {r["page_id"]: r for r in warc.read_records(warc.find(asked, directory, folder), folder).collect()}
+    assert all(read[i]["url"] == u and read[i]["payload"] == (h or "").encode() for i, u, h in rows if i in read)
+    assert {300, 301, 302} <= set(read)
+
+
+def test_records_have_the_mandatory_fields():
+    import datetime as dt
+    import urllib.parse
+
+    raw = warc.record_bytes(7, "http://a.com/x y\u00e9\r\nWARC-Type: fake", b"hi", hashlib.sha256(b"hi").hexdigest(), 2, None, "2024-01-02T03:04:05Z")
+    head = raw.split(b"\r\n\r\n")[0].decode("ascii").split("\r\n")
+    fields = dict(x.split(": ", 1) for x in head[1:])
+    assert head[0] == "WARC/1.1" and fields["WARC-Type"] == "response"
+    assert dt.datetime.fromisoformat(fields["WARC-Date"]).tzinfo is not None
+    assert fields["WARC-Record-ID"].startswith("<urn:uuid:")
+    assert urllib.parse.unquote(fields["WARC-Target-URI"]) == "http://a.com/x y\u00e9\r\nWARC-Type: fake"
+    assert warc.parse_record(raw)["url"] == "http://a.com/x y\u00e9\r\nWARC-Type: fake"
+    revisit = warc.record_bytes(8, None, None, "d" * 64, 200, 7, "2024-01-02T03:04:05Z")
+    again = warc.parse_record(revisit)
+    assert (again["url"], again["refers_to"], again["type"], again["payload"]) == (None, 7, "revisit", None)
+    assert warc.record_id(7, "d" * 64).encode() in revisit
+
+
+def test_very_long_payloads_and_urls(pages_of):
+    long = "<p>" + "word " * 400_000
+    rows = [(1, "http://a.com/" + "x" * 100_000, long), (2, "http://a.com/" + "x" * 100_001, long), (3, "http://a.com/", "tiny")]
+    out = {r["page_id"]: r for r in warc.round_trip(pages_of(rows)).collect()}
+    assert [(out[i]["payload_bytes"], out[i]["record_type"], out[i]["refers_to"]) for i in (1, 2, 3)] == [
+        (len(long), "response", None), (len(long), "revisit", 1), (4, "response", None)]
+
+
 # ---- vectors
 VECTORS = "vec_id long, embedding array<float>, label int, links string, part int"
 
