@@ -40,7 +40,9 @@ def cohort_retention(lines: DataFrame, horizon: int = 3) -> DataFrame:
     return per.select(*cols).orderBy("cohort_year")
 
 
-def same_month_yoy(lines: DataFrame, lag: int = 12, trailing: int = 12, calendar: bool = False) -> DataFrame:
+def same_month_yoy(
+    lines: DataFrame, lag: int = 12, trailing: int = 12, calendar: bool = False, base: DataFrame | None = None
+) -> DataFrame:
     """Revenue against the row ``lag`` months back and ahead.
 
     Offsets count rows of the monthly series, not calendar months, as the
@@ -48,7 +50,7 @@ def same_month_yoy(lines: DataFrame, lag: int = 12, trailing: int = 12, calendar
     ``calendar=True`` first adds the months without orders, so the offsets
     are calendar months.
     """
-    m = monthly_base(lines, calendar).select(
+    m = monthly_base(lines, calendar, base).select(
         "yr_mo",
         "yr",
         "mo",

@@ -20,8 +20,19 @@ def attach_total(df: DataFrame, col: str, alias: str) -> DataFrame:
     return df.withColumn(alias, F.sum(col).over(Window.partitionBy()))
 
 
-def monthly_base(lines: DataFrame, calendar: bool = False) -> DataFrame:
-    """One row per year-month: exact DECIMAL sums and distinct orders.
+def month_sums(lines: DataFrame) -> DataFrame:
+    """One row per month of the lines: what :func:`monthly_base` is made of."""
+    return lines.groupBy(F.trunc("Order_Date", "month").alias("_month")).agg(
+        F.sum("Sales").alias("sales"),
+        F.sum("Profit").alias("profit_sum"),
+        F.countDistinct("Order_ID").alias("orders"),
+        count_rows().alias("lines"),
+    )
+
+
+def monthly_base(lines: DataFrame, calendar: bool = False, base: DataFrame | None = None) -> DataFrame:
+    """One row per year-month: exact DECIMAL sums and distinct orders. ``base`` is
+    :func:`month_sums` of the lines where it is at hand; the lines are not read then.
 
     Lines are grouped on the first day of their month (a DATE, cheap to hash
     and compare); the text keys are formatted once per month afterwards.
@@ -33,12 +44,7 @@ def monthly_base(lines: DataFrame, calendar: bool = False) -> DataFrame:
     Each present month emits itself and the empty months up to the next
     present one, so no second pass or join over the months is needed.
     """
-    months = lines.groupBy(F.trunc("Order_Date", "month").alias("_month")).agg(
-        F.sum("Sales").alias("sales"),
-        F.sum("Profit").alias("profit_sum"),
-        F.countDistinct("Order_ID").alias("orders"),
-        count_rows().alias("lines"),
-    )
+    months = month_sums(lines) if base is None else base
     if calendar:
         months = months.withColumn("_next", F.lead("_month").over(Window.orderBy(F.col("_month").asc())))
         nxt = F.col("_next")

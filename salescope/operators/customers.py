@@ -26,12 +26,20 @@ RFM_FALLBACK = "Lost"
 RFM_TILES = 3
 
 
-def customer_value_overview(lines: DataFrame) -> DataFrame:
-    """Size of the customer base and per-customer spend statistics."""
-    per_customer = lines.groupBy(*CUSTOMER_KEYS).agg(
+def customer_sums(lines: DataFrame) -> DataFrame:
+    """One row per (Customer_ID, Customer_Name, Segment): latest order date, distinct
+    orders and exact spend. Four analyses and an export start from it and take it as
+    ``base``; the lines are not read then."""
+    return lines.groupBy(*CUSTOMER_KEYS).agg(
+        F.max("Order_Date").alias("last_order_date"),
         F.countDistinct("Order_ID").alias("order_count"),
         F.sum("Sales").alias("total_spend"),
     )
+
+
+def customer_value_overview(lines: DataFrame, base: DataFrame | None = None) -> DataFrame:
+    """Size of the customer base and per-customer spend statistics."""
+    per_customer = customer_sums(lines) if base is None else base
     return per_customer.agg(
         count_rows().alias("total_customers"),
         round_half_up(mean("order_count"), 2).alias("avg_orders_per_customer"),
@@ -42,22 +50,18 @@ def customer_value_overview(lines: DataFrame) -> DataFrame:
     )
 
 
-def rfm_base(lines: DataFrame, as_of: dt.date | str | None = None) -> DataFrame:
+def rfm_base(lines: DataFrame, as_of: dt.date | str | None = None, base: DataFrame | None = None) -> DataFrame:
     """Per (Customer_ID, Customer_Name, Segment): recency, frequency, spend.
 
     The per-customer aggregate is materialised once (checkpoint in the
-    session's checkpoint folder). ``as_of=None`` measures recency from the
+    session's checkpoint folder), unless a written ``base`` of :func:`customer_sums`
+    is given. ``as_of=None`` measures recency from the
     latest order date in the data, read from the materialised per-customer
     maxima as a one-row aggregate (broadcast), so the lines are not scanned
     a second time for it.
     """
-    base = materialize(
-        lines.groupBy(*CUSTOMER_KEYS).agg(
-            F.max("Order_Date").alias("last_order_date"),
-            F.countDistinct("Order_ID").alias("order_count"),
-            F.round(F.sum("Sales"), 2).alias("total_spend"),
-        )
-    )
+    base = materialize(customer_sums(lines)) if base is None else base
+    base = base.withColumn("total_spend", F.round("total_spend", 2))
     if as_of is None:
         anchor = base.agg(F.max("last_order_date").alias("_as_of"))
         base = base.crossJoin(F.broadcast(anchor))
@@ -74,7 +78,7 @@ def rfm_label(total: F.Column, cuts: Sequence[tuple[str, int]] = RFM_SEGMENTS) -
     return label
 
 
-def _scored(lines: DataFrame, as_of, tiles: int, cuts, **tile_kw) -> DataFrame:
+def _scored(lines: DataFrame, as_of, tiles: int, cuts, base: DataFrame | None = None, **tile_kw) -> DataFrame:
     if cuts is None:
         if tiles != RFM_TILES:
             raise ValueError(f"the default segment limits are made for {RFM_TILES} tiles; pass cuts for {tiles}")
@@ -85,7 +89,7 @@ def _scored(lines: DataFrame, as_of, tiles: int, cuts, **tile_kw) -> DataFrame:
         TileSpec(tiles, (("order_count", True),) + keys, "f_score"),
         TileSpec(tiles, (("total_spend", True),) + keys, "m_score"),
     ]
-    scored = with_ntiles(rfm_base(lines, as_of), specs, materialized=True, **tile_kw)
+    scored = with_ntiles(rfm_base(lines, as_of, base), specs, materialized=True, **tile_kw)
     total = F.col("r_score") + F.col("f_score") + F.col("m_score")
     return scored.withColumn("rfm_total", total).withColumn("rfm_segment", rfm_label(total, cuts))
 
@@ -96,7 +100,7 @@ def rfm_scores(
     """recency/frequency/monetary tiles and segment per customer.
 
     ``cuts``: (label, lowest score sum that earns it); needed with other ``tiles``
-    than 3, whose score sums go from 3 to 9.
+    than 3, whose score sums go from 3 to 9. ``base``: see :func:`customer_sums`.
     """
     scored = _scored(lines, as_of, tiles, cuts, **tile_kw)
     return scored.select(
@@ -145,9 +149,13 @@ def rfm_segment_summary(
     ).orderBy(F.col("avg_lifetime_spend").desc(), "rfm_segment")
 
 
-def revenue_concentration(lines: DataFrame, tiles: int = 5, **tile_kw) -> DataFrame:
-    """Revenue per spend tile of customers (tile ``tiles`` = top spenders)."""
-    spend = lines.groupBy("Customer_ID").agg(F.sum("Sales").alias("total_spend"))
+def revenue_concentration(lines: DataFrame, tiles: int = 5, base: DataFrame | None = None, **tile_kw) -> DataFrame:
+    """Revenue per spend tile of customers (tile ``tiles`` = top spenders).
+    ``base``: see :func:`customer_sums`; its sums are exact, so they add up."""
+    if base is None:
+        spend = lines.groupBy("Customer_ID").agg(F.sum("Sales").alias("total_spend"))
+    else:
+        spend = base.groupBy("Customer_ID").agg(F.sum("total_spend").alias("total_spend"))
     spec = TileSpec(tiles, (("total_spend", True), ("Customer_ID", True)), "spend_quintile")
     tiled = with_ntiles(spend, [spec], **tile_kw)
     per_tile = tiled.groupBy("spend_quintile").agg(

@@ -22,9 +22,9 @@ def export_rfm_segment_summary(lines: DataFrame, as_of=None, **kw) -> DataFrame:
     return rfm_segment_summary(lines, as_of=as_of, share_name="pct_of_base", **kw)
 
 
-def export_monthly_mom_growth(lines: DataFrame, window: int = 3) -> DataFrame:
+def export_monthly_mom_growth(lines: DataFrame, window: int = 3, base: DataFrame | None = None) -> DataFrame:
     """Month-over-month growth plus profit, margin and a trailing mean."""
-    m = monthly_base(lines)
+    m = monthly_base(lines, base=base)
     prev = F.lag("sales").over(Window.orderBy(F.col("yr_mo").asc()))
     return m.select(
         "yr_mo",

@@ -118,9 +118,9 @@ def trailing_mean(col: str, order: str, rows: int) -> F.Column:
     return safe_ratio(F.sum(col).over(w), F.count(col).over(w))
 
 
-def monthly_trend(lines: DataFrame, window: int = 3) -> DataFrame:
+def monthly_trend(lines: DataFrame, window: int = 3, base: DataFrame | None = None) -> DataFrame:
     """A10: one row per year-month with a trailing average of revenue."""
-    m = monthly_base(lines)
+    m = monthly_base(lines, base=base)
     return m.select(
         "yr_mo",
         F.col("yr").alias("year"),

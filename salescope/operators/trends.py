@@ -20,13 +20,13 @@ from salescope.plans.session import materialize
 from salescope.schema import BOUNDED_COLUMNS
 
 
-def mom_growth(lines: DataFrame, calendar: bool = False) -> DataFrame:
+def mom_growth(lines: DataFrame, calendar: bool = False, base: DataFrame | None = None) -> DataFrame:
     """Monthly revenue with previous month and growth %.
 
     ``calendar=True`` compares with the previous calendar month (a month
     without orders counts as revenue 0) instead of the previous row.
     """
-    m = monthly_base(lines, calendar)
+    m = monthly_base(lines, calendar, base)
     prev = F.lag("sales").over(Window.orderBy(F.col("yr_mo").asc()))
     return m.select(
         "yr_mo",
@@ -42,13 +42,15 @@ def mom_growth(lines: DataFrame, calendar: bool = False) -> DataFrame:
 MEASURES = {"revenue": "sales", "profit": "profit_sum", "orders": "orders", "lines": "lines"}
 
 
-def rolling_average(lines: DataFrame, months: int = 3, measures: Sequence[str] = ("revenue", "profit")) -> DataFrame:
+def rolling_average(
+    lines: DataFrame, months: int = 3, measures: Sequence[str] = ("revenue", "profit"), base: DataFrame | None = None
+) -> DataFrame:
     """Monthly revenue and profit with trailing means over ``months`` rows of
     each of ``measures`` (revenue, profit, orders, lines)."""
     unknown = [x for x in measures if x not in MEASURES]
     if unknown:
         raise ValueError(f"unknown measures {unknown}; known are {list(MEASURES)}")
-    m = monthly_base(lines)
+    m = monthly_base(lines, base=base)
     return m.select(
         "yr_mo",
         money("sales").alias("revenue"),
@@ -103,7 +105,7 @@ def revenue_leaderboard(
     ).orderBy(*partition, "revenue_rank_in_region", *[c for c in shown if c not in partition])
 
 
-def running_total(lines: DataFrame, by: str | None = None) -> DataFrame:
+def running_total(lines: DataFrame, by: str | None = None, base: DataFrame | None = None) -> DataFrame:
     """Cumulative revenue and profit by month and share of the grand total.
 
     ``by`` takes any other column instead of months (``Order_Date`` for days,
@@ -126,7 +128,7 @@ def running_total(lines: DataFrame, by: str | None = None) -> DataFrame:
             money("_profit_upto").alias("cumulative_profit"),
             "orders",
         ).orderBy(by)
-    m = attach_total(monthly_base(lines), "sales", "_grand")
+    m = attach_total(monthly_base(lines, base=base), "sales", "_grand")
     upto = Window.orderBy(F.col("yr_mo").asc()).rowsBetween(Window.unboundedPreceding, 0)
     cum = F.sum("sales").over(upto)
     return m.select(

@@ -8,6 +8,9 @@ The library never invents a checkpoint folder on a cluster: it reads
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -67,6 +70,8 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None) -> str | No
 
 #: What materialize wrote or persisted, by application.
 _MATERIALIZED: dict[str, list[str | DataFrame]] = {}
+#: What materialize made inside the innermost scope of this thread.
+_SCOPE: ContextVar[list[str | DataFrame] | None] = ContextVar("salescope_scope", default=None)
 
 
 def remove_path(spark: SparkSession, path: str) -> None:
@@ -79,12 +84,31 @@ def release_materialized(spark: SparkSession) -> int:
     """Remove what :func:`materialize` made in this application; returns how much
     there was. Call it when no result of an analysis is read any more."""
     held = _MATERIALIZED.pop(spark.sparkContext.applicationId, [])
-    for item in held:
+    _free(spark, held)
+    return len(held)
+
+
+def _free(spark: SparkSession, items: list[str | DataFrame]) -> None:
+    for item in items:
         if isinstance(item, str):
             remove_path(spark, item)
         else:
             item.unpersist()
-    return len(held)
+
+
+@contextmanager
+def materialized_scope(spark: SparkSession) -> Iterator[None]:
+    """What :func:`materialize` makes inside is freed at the end, also after an error;
+    what was made before, or by other threads, stays. Results must be written inside."""
+    made: list[str | DataFrame] = []
+    token = _SCOPE.set(made)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+        held = _MATERIALIZED.get(spark.sparkContext.applicationId, [])
+        held[:] = [x for x in held if not any(x is y for y in made)]
+        _free(spark, made)
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -98,11 +122,16 @@ def materialize(df: DataFrame) -> DataFrame:
     recomputes from lineage if blocks are lost.
     """
     folder = checkpoint_dir(df.sparkSession)
-    held = _MATERIALIZED.setdefault(df.sparkSession.sparkContext.applicationId, [])
+    held = [_MATERIALIZED.setdefault(df.sparkSession.sparkContext.applicationId, [])]
+    if (scope := _SCOPE.get()) is not None:
+        held.append(scope)
     if folder:
         path = f"{folder.rstrip('/')}/salescope-{uuid.uuid4().hex}"
-        held.append(path)
+        for names in held:
+            names.append(path)
         df.write.parquet(path)
         return df.sparkSession.read.schema(df.schema).parquet(path)
-    held.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    for names in held:
+        names.append(kept)
     return df

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from salescope.operators import exports
+from salescope.operators.bases import shared_bases
 from salescope.plans.session import remove_path
 
 # Exported file name and label per result set.
@@ -79,7 +80,8 @@ def export_all(
 
     The exports all read the same lines. Where these are no cheap scan, name a
     shared folder as ``lines_dir``: they are written there once, so that the
-    upstream plan (e.g. the star joins) runs once, and removed at the end.
+    upstream plan (e.g. the star joins) runs once, and removed at the end. The monthly
+    and the customer base are written once and removed at the end too.
     """
     if lines_dir is not None:
         copy = f"{lines_dir.rstrip('/')}/lines-{uuid.uuid4().hex}"
@@ -89,11 +91,12 @@ def export_all(
         finally:
             remove_path(spark, copy)
     manifest = []
-    for filename, label, fn in EXPORTS:
-        if names is not None and filename not in names and fn.__name__ not in names:
-            continue
-        path = os.path.join(out_dir, filename)
-        export_csv(fn(lines), path, single_file=True)
-        written = spark.read.option("header", True).csv(path).count()
-        manifest.append((filename, label, written, path))
+    with shared_bases(lines) as bases:
+        for filename, label, fn in EXPORTS:
+            if names is not None and filename not in names and fn.__name__ not in names:
+                continue
+            path = os.path.join(out_dir, filename)
+            export_csv(bases.run(fn), path, single_file=True)
+            written = spark.read.option("header", True).csv(path).count()
+            manifest.append((filename, label, written, path))
     return spark.createDataFrame(manifest, "file string, label string, rows bigint, path string")
