@@ -20,6 +20,8 @@ SHARE = 1.5
 MAX_EPOCHS = 2
 #: Key ranges of about so many documents are sorted together.
 RANGE_ROWS = 4_096
+#: Equal rows are counted and come back in portions of so many.
+PORTION_ROWS = 4_096
 _PREFIX_DIGITS = 7
 
 
@@ -68,7 +70,7 @@ def source_targets(
     )
 
 
-def mix_takes(
+def tie_takes(
     docs: DataFrame,
     weights: tuple = WEIGHTS,
     share: float = SHARE,
@@ -76,14 +78,11 @@ def mix_takes(
     seed: int = 17,
     range_rows: int = RANGE_ROWS,
 ) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text, source): doc_id, source, size,
-    source_size, target and taken, the words the mix takes of it.
+    """doc_id, source, size, source_size, target, taken and rows: how many of the rows
+    of ``docs`` that agree in doc_id, source and size are taken alike.
 
-    taken is a whole number of epochs plus, for documents before the cut in key
-    order, one more; the document at the cut gives the words that are missing.
-    So a source's takes add up to its target, rounded to a whole word. Null
-    text counts 0 words and is taken 0 times; null sources are a source; ties
-    and repeated rows each count as a row, in the order key, doc_id, size.
+    Such rows are counted before the sort, so an id (or a null one) that a third of all
+    rows share is one row of its key range.
     """
     # the text is read once; only ids and sizes go on
     sized = write_table(
@@ -119,7 +118,11 @@ def mix_takes(
             F.floor(F.conv(F.substring("key", 1, _PREFIX_DIGITS), 16, 10).cast("long") * F.col("ranges") / digits),
         )
     )
-    ranges = keyed.groupBy("source", "range").agg(F.sum("size").alias("words"))
+    tied = write_table(
+        keyed.groupBy("source", "range", "key", "doc_id", "size", "source_size", "target").agg(F.count("*").alias("n")), "tied"
+    )
+    together = F.col("size") * F.col("n")
+    ranges = tied.groupBy("source", "range").agg(F.sum(together).alias("words"))
     base = ranges.select(
         "source",
         "range",
@@ -131,7 +134,7 @@ def mix_takes(
         ).alias("base"),
     )
     placed = (
-        keyed.alias("k")
+        tied.alias("k")
         .join(base.alias("b"), same("k", "b") & (F.col("k.range") == F.col("b.range")))
         .select("k.*", "b.base")
     )
@@ -140,21 +143,51 @@ def mix_takes(
     )
     budget = F.floor(F.col("target") + F.lit(0.5)).cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0))
-    left = budget - F.col("epochs") * F.col("source_size") - F.col("prefix")
-    return (
-        placed.withColumn("prefix", F.col("base") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    left = F.greatest(F.lit(0), budget - F.col("epochs") * F.col("source_size") - F.col("prefix"))
+    # of equal rows the first ones are whole, the next gives what is missing
+    whole = F.when(F.col("size") > 0, F.least(F.col("n"), F.floor(F.col("left") / F.col("size")))).otherwise(F.lit(0))
+    portion = lambda rows, more: F.struct(
+        rows.cast("long").alias("rows"), (F.col("epochs") * F.col("size") + more).cast("long").alias("taken")
+    )
+    portions = F.array(
+        portion(F.col("whole"), F.col("size")),
+        portion(F.least(F.lit(1), F.col("n") - F.col("whole")), F.least(F.col("size"), F.col("left") - F.col("whole") * F.col("size"))),
+        portion(F.col("n") - F.col("whole") - 1, F.lit(0)),
+    )
+    return write_table(
+        placed.withColumn("prefix", F.col("base") + F.coalesce(F.sum(together).over(inside), F.lit(0)))
         .withColumn("epochs", epochs.cast("long"))
-        .select(
-            "doc_id",
-            "source",
-            "size",
-            "source_size",
-            "target",
-            (F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), left)))
-            .cast("long")
-            .alias("taken"),
-        )
+        .withColumn("left", left.cast("long"))
+        .withColumn("whole", whole.cast("long"))
+        .withColumn("portion", F.explode(F.filter(portions, lambda p: p["rows"] > 0)))
+        .select("doc_id", "source", "size", "source_size", "target", "portion.taken", "portion.rows"),
+        "takes",
+    )
+
+
+def mix_takes(docs: DataFrame, **options) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text, source): doc_id, source, size,
+    source_size, target and taken, the words the mix takes of it.
+
+    taken is a whole number of epochs plus, for documents before the cut in key
+    order, one more; the document at the cut gives the words that are missing.
+    So a source's takes add up to its target, rounded to a whole word. Null
+    text counts 0 words and is taken 0 times; null sources are a source; ties
+    and repeated rows each count as a row, in the order key, doc_id, size.
+    """
+    takes = tie_takes(docs, **options)
+    columns = [F.col(c) for c in ("doc_id", "source", "size", "source_size", "target", "taken")]
+    few = takes.where(F.col("rows") <= PORTION_ROWS)
+    # many equal rows come back in tasks of their own
+    many = (
+        takes.where(F.col("rows") > PORTION_ROWS)
+        .withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(rows - 1) div {PORTION_ROWS}"))))
+        .withColumn("rows", F.least(F.lit(PORTION_ROWS).cast("long"), F.col("rows") - F.col("part") * PORTION_ROWS))
+        .repartition("doc_id", "source", "part")
+        .drop("part")
     )
+    each = few.unionByName(many)
+    return each.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows")))).select(*columns)
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
@@ -162,14 +195,14 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     document at a source's cut ends after the last word that is taken.
 
     Rows that repeat a doc_id with the same source and size share evenly what
-    is taken of them. Columns are those of ``docs``; n_chars, where there is
+    is taken of them all, rounded up to whole words. Columns are those of ``docs``; n_chars, where there is
     one, follows the text.
     """
     takes = (
-        mix_takes(docs, **options)
-        .where("taken > 0")
+        tie_takes(docs, **options)
         .groupBy("doc_id", "source", "size")
-        .agg(F.ceil(F.sum("taken") / F.count("*")).alias("take"))
+        .agg(F.ceil(F.sum(F.col("taken") * F.col("rows")) / F.sum("rows")).alias("take"))
+        .where("take > 0")
     )
     # the row as a struct: names of its columns meet none of the helpers'
     at = {c: F.col(f"d.row.c{i}") for i, c in enumerate(docs.columns)}

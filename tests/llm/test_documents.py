@@ -199,6 +199,27 @@ def test_mix_matches_brute_force(docs_of, range_rows):
         assert r["target"] == pytest.approx(target[r["source"]]) and r["taken"] <= 2 * r["size"]
 
 
+@pytest.mark.parametrize("portion", [4096, 16])
+def test_mix_with_ids_that_a_third_of_the_rows_share(docs_of, monkeypatch, portion):
+    """Null and repeated ids with equal sizes: counted as one row before the sort, and
+    all of them come back."""
+    monkeypatch.setattr(mixing, "PORTION_ROWS", portion)
+    rows = mix_rows() + [(None, "three words here", "a")] * 300 + [(7, "two words", "b")] * 200 + [(None, None, "a")] * 40
+    docs = docs_of(rows)
+    out = mixing.mix_takes(docs, range_rows=50).collect()
+    want, _ = brute_mix(rows)
+    got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["size"], r["source_size"], r["taken"]) for r in out)
+    assert got == want
+    ties = mixing.tie_takes(docs, range_rows=50)
+    assert ties.where("size = 3 and doc_id is null").count() <= 3
+    assert ties.agg({"rows": "sum"}).first()[0] == len(rows)
+    held = collections.Counter()
+    for r in mixing.mixed_documents(docs).collect():
+        held[r["source"]] += len(WORD.findall(r["text"]))
+    for s, t in brute_mix(rows)[1].items():
+        assert -1 <= held[s] - t <= 302, s
+
+
 def test_mixed_documents_hold_the_words_taken(docs_of):
     rows = mix_rows()
     docs = docs_of(rows)
