@@ -71,6 +71,13 @@ def _worker_store() -> dict:
     return vars(sys.modules.setdefault("_salescope_worker", types.ModuleType("_salescope_worker")))
 
 
+def forget_words() -> None:
+    """Free what a worker has learnt of words; the stages after the ids need none of it,
+    and workers live on from stage to stage."""
+    _worker_store().clear()
+    pa.default_memory_pool().release_unused()
+
+
 def cut_words(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Begins and ends of the words in lower-case characters below U+0250: runs of
     letters, single numbers, runs of others; an apostrophe that begins a word is one
@@ -266,6 +273,7 @@ def document_frequencies(tokens: DataFrame) -> DataFrame:
     into one array of the vocabulary's size, so few rows are shuffled."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_words()
         df = np.zeros(1 << 16, dtype=np.int64)
         first = np.zeros(1 << 16, dtype=np.int64)
         docs = total = 0
