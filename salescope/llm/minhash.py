@@ -240,11 +240,18 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), stand_in).alias("id"), row_struct(docs).alias("row"))
     columns = [F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)]
     texts = keyed.select(F.col("id").alias("doc_id"), columns[docs.columns.index("text")])
-    kept = near_duplicates(texts, **options).where("kept")
-    once = write_table(kept.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("times")), "kept")
-    stay = keyed.join(once, "id")
-    if once.where("times > 1").isEmpty():
+    times = near_duplicates(texts, **options).groupBy(F.col("doc_id").alias("id")).agg(F.count_if("kept").alias("times"))
+    times = write_table(times, "kept")
+    # the rows with their texts meet the fewer ids, those that stay or the others; one
+    # long a row, sent whole only up to a checked number of rows, so texts stay in place
+    one = F.col("times") == 1
+    stays, goes = (times.where(c).select("id") for c in (one, ~one))
+    n_stays, n_goes = times.agg(F.count_if(one), F.count_if(~one)).first()
+    ids, n, how = (goes, n_goes, "left_anti") if n_goes <= n_stays else (stays, n_stays, "left_semi")
+    stay = keyed.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids, "id", how)
+    more = times.where("times > 1")
+    if more.isEmpty():
         return stay.select(*columns)
     # some ids repeat: the first row in column order stays
-    first = stay.where("times > 1").groupBy("id").agg(F.min("row").alias("row"))
-    return stay.where("times = 1").select(*columns).unionAll(first.select(*columns))
+    first = keyed.join(more, "id").groupBy("id").agg(F.min("row").alias("row"))
+    return stay.select(*columns).unionAll(first.select(*columns))

@@ -18,6 +18,8 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 #: No source, and no document, is taken more often.
 MAX_EPOCHS = 2
+#: Seed of the documents' keys.
+SEED = 17
 #: Key ranges of about so many documents are sorted together.
 RANGE_ROWS = 4_096
 #: Equal rows are counted and come back in portions of so many.
@@ -70,16 +72,17 @@ def source_targets(
     )
 
 
-def tie_takes(
+def placed_ties(
     docs: DataFrame,
     weights: tuple = WEIGHTS,
     share: float = SHARE,
     max_epochs: int = MAX_EPOCHS,
-    seed: int = 17,
+    seed: int = SEED,
     range_rows: int = RANGE_ROWS,
 ) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken and rows: how many of the rows
-    of ``docs`` that agree in doc_id, source and size are taken alike.
+    """Per doc_id, source and size: n, the rows of ``docs`` that agree in them, with key,
+    source_size, target, epochs, and left: the words of the last epoch that are left for
+    them and those after them in the order key, doc_id, size.
 
     Such rows are counted before the sort, so an id (or a null one) that a third of all
     rows share is one row of its key range.
@@ -144,6 +147,16 @@ def tie_takes(
     budget = F.floor(F.col("target") + F.lit(0.5)).cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0))
     left = F.greatest(F.lit(0), budget - F.col("epochs") * F.col("source_size") - F.col("prefix"))
+    return (
+        placed.withColumn("prefix", F.col("base") + F.coalesce(F.sum(together).over(inside), F.lit(0)))
+        .withColumn("epochs", epochs.cast("long"))
+        .withColumn("left", left.cast("long"))
+    )
+
+
+def tie_takes(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken and rows: how many of the rows
+    of ``docs`` that agree in doc_id, source and size are taken alike."""
     # of equal rows the first ones are whole, the next gives what is missing
     whole = F.when(F.col("size") > 0, F.least(F.col("n"), F.floor(F.col("left") / F.col("size")))).otherwise(F.lit(0))
     portion = lambda rows, more: F.struct(
@@ -155,9 +168,7 @@ def tie_takes(
         portion(F.col("n") - F.col("whole") - 1, F.lit(0)),
     )
     return write_table(
-        placed.withColumn("prefix", F.col("base") + F.coalesce(F.sum(together).over(inside), F.lit(0)))
-        .withColumn("epochs", epochs.cast("long"))
-        .withColumn("left", left.cast("long"))
+        placed_ties(docs, **options)
         .withColumn("whole", whole.cast("long"))
         .withColumn("portion", F.explode(F.filter(portions, lambda p: p["rows"] > 0)))
         .select("doc_id", "source", "size", "source_size", "target", "portion.taken", "portion.rows"),
@@ -165,6 +176,19 @@ def tie_takes(
     )
 
 
+def source_cuts(docs: DataFrame, **options) -> DataFrame:
+    """source, epochs, and cut: the first key, doc_id and size in this order of which the
+    last epoch does not take all rows, with their number n and the words left for them.
+    The table has one row per source; cut is null where all is taken."""
+    cut = F.struct("key", "doc_id", "size", "n", "left")
+    return write_table(
+        placed_ties(docs, **options)
+        .groupBy("source")
+        .agg(F.max("epochs").alias("epochs"), F.min(F.when(F.col("size") * F.col("n") > F.col("left"), cut)).alias("cut")),
+        "cuts",
+    )
+
+
 def mix_takes(docs: DataFrame, **options) -> DataFrame:
     """Per row of ``docs`` (doc_id, text, source): doc_id, source, size,
     source_size, target and taken, the words the mix takes of it.
@@ -190,32 +214,32 @@ def mix_takes(docs: DataFrame, **options) -> DataFrame:
     return each.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows")))).select(*columns)
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
     """The mix itself: the rows of ``docs`` as often as they are taken; the
     document at a source's cut ends after the last word that is taken.
 
     Rows that repeat a doc_id with the same source and size share evenly what
     is taken of them all, rounded up to whole words. Columns are those of ``docs``; n_chars, where there is
-    one, follows the text.
+    one, follows the text. A row's own key tells on which side of its source's cut it
+    is, so texts are not shuffled to meet their takes.
     """
-    takes = (
-        tie_takes(docs, **options)
-        .groupBy("doc_id", "source", "size")
-        .agg(F.ceil(F.sum(F.col("taken") * F.col("rows")) / F.sum("rows")).alias("take"))
-        .where("take > 0")
-    )
     # the row as a struct: names of its columns meet none of the helpers'
     at = {c: F.col(f"d.row.c{i}") for i, c in enumerate(docs.columns)}
     sized = docs.select(row_struct(docs).alias("row"), word_count(F.col("text")).alias("size"))
+    # structs are compared field by field, nulls first, as the sort has them
+    own = F.struct(random_key(at["doc_id"], seed).alias("key"), at["doc_id"].alias("doc_id"), F.col("d.size").alias("size"))
+    cut = F.struct(*(F.col(f"t.cut.{c}").alias(c) for c in ("key", "doc_id", "size")))
+    whole = F.col("t.epochs") * F.col("d.size")
+    take = (
+        F.when(F.col("t.cut").isNull() | (own < cut), whole + F.col("d.size"))
+        .when(own > cut, whole)
+        .otherwise(whole + F.expr("(t.cut.left + t.cut.n - 1) div t.cut.n"))
+    )
     copies = (
         sized.alias("d")
-        .join(
-            takes.alias("t"),
-            at["doc_id"].eqNullSafe(F.col("t.doc_id"))
-            & at["source"].eqNullSafe(F.col("t.source"))
-            & (F.col("d.size") == F.col("t.size")),
-        )
-        .select("d.row", "d.size", "t.take")
+        .join(source_cuts(docs, seed=seed, **options).alias("t"), at["source"].eqNullSafe(F.col("t.source")))
+        .select("d.row", "d.size", take.alias("take"))
+        .where("take > 0")
         .withColumn("copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("take") / F.col("size")).cast("int"))))
         .alias("d")
     )

@@ -147,6 +147,25 @@ def test_deduplicated_keeps_one_of_each_group(docs_of):
     assert sorted(i for i in ids if i is not None) == sorted(want)
 
 
+@pytest.mark.parametrize("copies", [1, 9])
+def test_deduplicated_leaves_texts_in_place(spark, docs_of, copies):
+    """The rows meet the fewer ids, which are sent whole, so texts are not shuffled; one
+    id stays twice."""
+    rows = [(100 * g + k, f"group {g} of the very same words", "a") for g in range(40) for k in range(copies + 1)]
+    rows += [(9000, "an id with two texts one", "a"), (9000, "an id with two texts other", "b")]
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = minhash.deduplicated(docs_of(rows + [(5, "some text alone here", "a")] * 2))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        ids = sorted(r["doc_id"] for r in out.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert ids == sorted([5, 9000, *(100 * g for g in range(40))])
+    stayed = plan.split("Union")[-1].split("Sort")[0] if "Union" in plan else plan
+    assert "BroadcastHashJoin" in stayed and "Exchange hashpartitioning" not in stayed.split("BroadcastExchange")[0]
+
+
 def test_bayesian_bound():
     assert minhash.least_matches(125, 0.85, 1e-5) <= 125 * 0.85
     assert minhash.least_matches(25, 0.85, 0.5) > minhash.least_matches(25, 0.85, 1e-6)
@@ -232,6 +251,34 @@ def test_mixed_documents_hold_the_words_taken(docs_of):
         assert abs(held[s] - t) <= 2, s
 
 
+def test_mixed_documents_leave_texts_in_place(spark, docs_of):
+    """Texts meet one row per source, however many documents there are; the rows are
+    those that the takes of each document give."""
+    rng = random.Random(8)
+    rows = [(rng.getrandbits(60), " ".join(words(rng.randrange(12), i)), rng.choice(["a", "b", "c", None])) for i in range(6000)]
+    rows += [(None, "three words here", "b")] * 30 + [(77, "two words", "a")] * 20
+    docs = docs_of(rows)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 1 << 14)
+    try:
+        out = mixing.mixed_documents(docs, range_rows=500)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    want, total = collections.Counter(), collections.Counter()
+    for r in mixing.tie_takes(docs, range_rows=500).collect():
+        key = (r["doc_id"], r["source"], r["size"])
+        want[key] += r["taken"] * r["rows"]
+        total[key] += r["rows"]
+    held = collections.Counter()
+    sizes = {(i, t, s): len(WORD.findall(t)) for i, t, s in rows}
+    by_id = {(i, s): n for (i, _, s), n in sizes.items()}
+    for r in out.collect():
+        held[r["doc_id"], r["source"], by_id[r["doc_id"], r["source"]]] += len(WORD.findall(r["text"]))
+    assert held == collections.Counter({k: n for k in want if (n := -(-want[k] // total[k]) * total[k])})
+
+
 # ---- packing
 def test_packing_round_trip(docs_of):
     from tokenizers import Tokenizer
