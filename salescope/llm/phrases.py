@@ -3,10 +3,11 @@
 A task counts phrases in a trie: below a language, a shallow trie of word ids
 whose leaves are hash containers of the words that follow; a container that grows too
 large bursts into one container for each next word. When the trie is full, its largest
-subtrees are spilled whole as sorted runs, cut into chunks. The runs of a prefix
-partition (language and some of the first words) are merged in the order in which the
-shuffle sorts their chunks, so a merging task holds no more than the chunks that
-overlap. Phrases after a first word with many occurrences are dealt over all
+subtrees are spilled whole as runs sorted by the phrases' hashes, cut into chunks. The
+runs of a prefix partition (language and some of the first words) are merged in the
+order in which the shuffle sorts their chunks, so a merging task holds no more than the
+chunks that overlap; only phrases whose hash has enough occurrences are looked at as
+text. Phrases after a first word with many occurrences are dealt over all
 partitions by the whole phrase.
 
 Words are counted first, then pairs of frequent words, then longer phrases all of
@@ -20,6 +21,7 @@ from __future__ import annotations
 import collections
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,9 @@ INSIDE_PERCENT = 80
 UNKNOWN = "und"
 #: Entries of a task's trie, of a container before it bursts, and of a chunk of a run.
 TRIE_ENTRIES, CONTAINER_ENTRIES, CHUNK_ENTRIES = 600_000, 4096, 512
+#: Slots of a task's table of words by their bytes, as a power of two, the most bytes of
+#: a word in it, and words that are looked up in it together.
+SLOT_BITS, SLOT_BYTES, TOGETHER = 19, 15, 1 << 16
 #: Words that a task remembers, and bytes of text that it takes at once.
 VOCABULARY, SLICE_BYTES = 400_000, 1 << 22
 #: Prefix partitions, of a language and first words; first words with at least one in so
@@ -51,27 +56,30 @@ _TABLE = bytes.maketrans(
 )
 _BREAK = 0
 _U = np.uint64
+#: The first 0, 1, ... 8 of eight bytes.
+_FIRST_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], _U)
 
 
 # ---- words of texts
 class Vocabulary(dict):
-    """Ids of words in a task; 0 is the break between pieces, -1 no word."""
+    """Ids of words in a task; 0 is the break between pieces. ``slots`` has ids by a
+    word's bytes and length, which are compared whole; a word may push another out of it."""
 
     def __init__(self):
-        super().__init__({b"\n": _BREAK, b"": -1})
+        super().__init__({b"\n": _BREAK})
         self.words = [b"\n"]
-        self.hashes = [0]
-        self._array = np.zeros(0, _U)
+        self.slots = np.zeros(1 << SLOT_BITS, [("low", "<u8"), ("high", "<u8"), ("id", "<i8")])
+        self._hashes = np.zeros(1, _U)
 
     def hash_array(self) -> np.ndarray:
-        if len(self._array) < len(self.hashes):
-            self._array = np.concatenate([self._array, np.array(self.hashes[len(self._array) :], _U)])
-        return self._array
+        new = self.words[len(self._hashes) :]
+        if new:
+            self._hashes = np.concatenate([self._hashes, np.array([word_hash(w) for w in new], _U)])
+        return self._hashes
 
     def __missing__(self, word: bytes) -> int:
         self[word] = i = len(self.words)
         self.words.append(word)
-        self.hashes.append(word_hash(word))
         return i
 
 
@@ -93,9 +101,35 @@ def slices(text: str, size: int) -> Iterator[bytes]:
 
 
 def word_ids(data: bytes, vocabulary: Vocabulary) -> np.ndarray:
-    tokens = data.replace(b"\n", b" \n ").split(b" ")
-    ids = np.fromiter(map(vocabulary.__getitem__, tokens), np.int64, len(tokens))
-    return ids[ids >= 0]
+    """Ids of the words and breaks of folded text. Only words that are not in the
+    vocabulary's slots, new, long and rare ones, become strings."""
+    raw = np.frombuffer(data + bytes(16), np.uint8)
+    line = raw[: len(data)] == ord("\n")
+    word = (raw[: len(data)] != ord(" ")) & ~line
+    begins, ends = word.copy(), word.copy()
+    begins[1:] &= ~word[:-1]
+    ends[:-1] &= ~word[1:]
+    starts, stops = np.flatnonzero(begins | line), np.flatnonzero(ends | line) + 1
+    lengths = stops - starts
+    eight = np.ndarray(len(data) + 9, "<u8", raw, strides=(1,))  # the eight bytes from each place on
+    out = np.empty(len(starts), np.int64)
+    for at in range(0, len(starts), TOGETHER):
+        b, n = starts[at : at + TOGETHER], lengths[at : at + TOGETHER]
+        low = eight[b] & _FIRST_BYTES[np.minimum(n, 8)]
+        high = eight[b + 8 * (n > 8)] & _FIRST_BYTES[np.clip(n - 8, 0, 7)] | (np.minimum(n, 255).astype(_U) << _U(56))
+        with np.errstate(over="ignore"):
+            slot = (_mixed(low * _U(0x9E3779B97F4A7C15) + high) >> _U(64 - SLOT_BITS)).astype(np.int64)
+        held = vocabulary.slots[slot]
+        ids, short = held["id"].copy(), n <= SLOT_BYTES
+        missing = np.flatnonzero((held["low"] != low) | (held["high"] != high) | ~short)
+        spans = zip(b[missing].tolist(), (b + n)[missing].tolist(), strict=True)
+        ids[missing] = [vocabulary[data[i:j]] for i, j in spans]
+        missing = missing[short[missing]]
+        new = np.empty(len(missing), vocabulary.slots.dtype)
+        new["low"], new["high"], new["id"] = low[missing], high[missing], ids[missing]
+        vocabulary.slots[slot[missing]] = new
+        out[at : at + TOGETHER] = ids
+    return out
 
 
 # ---- the filter of frequent words and pairs
@@ -163,6 +197,17 @@ def frequent_filter(frequent: DataFrame) -> Filter:
 
 
 # ---- the trie
+class Container(dict):
+    """A hash container: counts of tails, which are ids or tuples of them."""
+
+    __slots__ = ()
+
+    def count(self, tails: list) -> None:
+        get = self.get
+        for tail in tails:
+            self[tail] = get(tail, 0) + 1
+
+
 class HatTrie:
     """Counts of phrases: language, id of the first word, then a container of the other
     ids (an id, or a tuple of them); a container of tuples with too many entries bursts
@@ -170,48 +215,56 @@ class HatTrie:
 
     def __init__(self, container: int = CONTAINER_ENTRIES):
         self.container = container
-        self.roots: dict[str, dict[int, collections.Counter | dict]] = {}
+        self.roots: dict[str, dict[int, Container | dict[int, Container]]] = {}
         self.entries = 0
 
     def add(self, lang: str, columns: list[np.ndarray]) -> None:
         """Count occurrences of phrases, given by their first, second, ... ids."""
         root = self.roots.setdefault(lang, {})
-        order = np.lexsort(columns[1::-1])
-        columns = [c[order] for c in columns]
+        both = columns[0] << 32 | columns[1]  # ids are far below 2^31
+        if len(columns) == 2:
+            both = np.sort(both)
+            columns = [both >> 32, both & 0xFFFFFFFF]
+        else:
+            order = np.argsort(both)
+            columns = [c[order] for c in columns]
         tails = _tails(columns[1:])
         for first, lo, hi in _equal_runs(columns[0]):
-            box = root.setdefault(first, collections.Counter())
-            if isinstance(box, collections.Counter):
+            box = root.get(first)
+            if box is None:
+                box = root[first] = Container()
+            if type(box) is Container:
                 before = len(box)
-                box.update(tails[lo:hi])
+                box.count(tails[lo:hi])
                 self.entries += len(box) - before
                 if len(box) > self.container and len(columns) > 2:
                     root[first] = kids = {}
                     for tail, n in box.items():
                         rest = tail[1] if len(tail) == 2 else tail[1:]
-                        kids.setdefault(tail[0], collections.Counter())[rest] = n
+                        kids.setdefault(tail[0], Container())[rest] = n
                 continue
             rests = _tails([c[lo:hi] for c in columns[2:]])
             for second, at, end in _equal_runs(columns[1][lo:hi]):
-                kid = box.setdefault(second, collections.Counter())
+                kid = box.get(second)
+                if kid is None:
+                    kid = box[second] = Container()
                 before = len(kid)
-                kid.update(rests[at:end])
+                kid.count(rests[at:end])
                 self.entries += len(kid) - before
 
     def sizes(self) -> list[tuple[int, str, int]]:
         return [
-            (len(box) if isinstance(box, collections.Counter) else sum(map(len, box.values())), lang, first)
+            (len(box) if type(box) is Container else sum(map(len, box.values())), lang, first)
             for lang, root in self.roots.items()
             for first, box in root.items()
         ]
 
-    def take(self, lang: str, first: int) -> Iterator[tuple[tuple[int, ...], list, list[int]]]:
-        """Remove a subtree: (ids above a container, its tails, their counts)."""
+    def take(self, lang: str, first: int) -> list[tuple[tuple[int, ...], Container]]:
+        """Remove a subtree: (ids above a container, the container)."""
         box = self.roots[lang].pop(first)
-        boxes = [((first,), box)] if isinstance(box, collections.Counter) else [((first, k), kid) for k, kid in box.items()]
-        for head, kid in boxes:
-            self.entries -= len(kid)
-            yield head, list(kid), list(kid.values())
+        boxes = [((first,), box)] if type(box) is Container else [((first, k), kid) for k, kid in box.items()]
+        self.entries -= sum(len(kid) for _, kid in boxes)
+        return boxes
 
 
 def _tails(columns: list[np.ndarray]) -> list:
@@ -224,29 +277,48 @@ def _equal_runs(values: np.ndarray) -> list[tuple[int, int, int]]:
     return list(zip(values[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(values)], strict=True))
 
 
-_RUN = "lang string, part int, low string, keys string, counts array<long>"
+#: A chunk: its lowest hash, 32-bit hashes in order, phrases joined by line feeds, 64-bit counts.
+_RUN = "lang string, part int, low long, hashes binary, keys binary, counts binary"
 
 
 def _spilled(trie: HatTrie, keep: int) -> Iterator[tuple[str, list[np.ndarray], np.ndarray]]:
     """(lang, first, second, ... ids, counts) of the largest subtrees, which leave the
     trie until ``keep`` entries are left; phrases of a language and length together."""
-    heads: dict[tuple, list] = collections.defaultdict(list)
-    for _, lang, first in sorted(trie.sizes(), reverse=True):
+    # by language, length of a head and of a tail: heads, sizes of their containers, tails, counts
+    found: dict[tuple[str, int, int], tuple[list, list, list, list]] = collections.defaultdict(lambda: ([], [], [], []))
+    sizes = trie.sizes()
+    if keep:
+        sizes.sort(reverse=True)
+    for _, lang, first in sizes:
         if trie.entries <= keep:
             break
-        for head, tails, counts in trie.take(lang, first):
-            kinds: dict[int, tuple[list, list]] = {}
-            for tail, n in zip(tails, counts, strict=True) if isinstance(tails[0], tuple) or len(head) > 1 else ():
-                own = kinds.setdefault(1 if isinstance(tail, int) else len(tail), ([], []))
-                own[0].append(tail)
-                own[1].append(n)
-            for width, (own, n) in (kinds or {1: (tails, counts)}).items():
-                heads[lang, len(head), width].append((head, own, n))
-    for (lang, depth, width), found in heads.items():
-        sizes = [len(own) for _, own, _ in found]
-        above = [np.repeat(np.array([head[k] for head, _, _ in found], np.int64), sizes) for k in range(depth)]
-        tails = np.array([t for _, own, _ in found for t in own], np.int64).reshape(-1, width)
-        yield lang, [*above, *tails.T], np.array([n for _, _, own in found for n in own], np.int64)
+        for head, box in trie.take(lang, first):
+            if len(head) == 1 and type(next(iter(box))) is int:  # pairs: no other tails are with them
+                kinds = {1: box}
+            else:
+                kinds = {}
+                for tail, n in box.items():
+                    width = 1 if type(tail) is int else len(tail)
+                    if width not in kinds:
+                        kinds[width] = {}
+                    kinds[width][tail] = n
+            for width, own in kinds.items():
+                heads, held, tails, counts = found[lang, len(head), width]
+                heads.append(head)
+                held.append(len(own))
+                tails.extend(own)
+                counts.extend(own.values())
+    for (lang, depth, width), (heads, held, tails, counts) in found.items():
+        above = np.repeat(np.array(heads, np.int64).reshape(-1, depth), held, axis=0)
+        flat = tails if width == 1 else chain.from_iterable(tails)
+        below = np.fromiter(flat, np.int64, width * len(tails)).reshape(-1, width)
+        yield lang, [*above.T, *below.T], np.array(counts, np.int64)
+
+
+def _packed(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """The bytes of the values from each offset to the next."""
+    at = (offsets * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(values))])
 
 
 def _runs(trie: HatTrie, vocabulary: Vocabulary, hot: set[tuple[str, str]], parts: int, keep: int) -> Iterator[pa.RecordBatch]:
@@ -259,28 +331,71 @@ def _runs(trie: HatTrie, vocabulary: Vocabulary, hot: set[tuple[str, str]], part
         dealt = np.isin(columns[0], spread)
         part[dealt] = phrase_hashes([hashes[c[dealt]] for c in columns], lang)
         part = (part % _U(parts)).astype(np.int32)
-        phrases = pc.binary_join_element_wise(*[words.take(pa.array(c)) for c in columns], " ")
-        order = pc.sort_indices(phrases).to_numpy()
-        order = order[np.argsort(part[order], kind="stable")]
-        phrases = phrases.take(pa.array(order))
-        part, counts = part[order], counts[order]
+        own = (phrase_hashes([hashes[c] for c in columns], lang) >> _U(32)).astype(np.uint32)
+        order = np.argsort((part.astype(_U) << _U(32)) | own)
+        phrases = pc.binary_join_element_wise(*[words.take(pa.array(c[order])) for c in columns], " ")
+        part, own, counts = part[order], own[order], counts[order]
         first = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1])
         place = np.arange(len(part)) - np.repeat(first, np.diff([*first, len(part)]))
         starts = np.flatnonzero(place % CHUNK_ENTRIES == 0)
         for i in range(0, len(starts), 1024):
-            own = starts[i : i + 1024]
-            lo, hi = int(own[0]), int(starts[i + 1024]) if i + 1024 < len(starts) else len(part)
-            offsets = pa.array(np.append(own, hi) - lo, pa.int32())
-            keys = pc.binary_join(pa.ListArray.from_arrays(offsets, phrases.slice(lo, hi - lo)), "\n")
+            at = starts[i : i + 1024]
+            lo, hi = int(at[0]), int(starts[i + 1024]) if i + 1024 < len(starts) else len(part)
+            offsets = np.append(at, hi) - lo
+            keys = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), phrases.slice(lo, hi - lo)), "\n")
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([lang] * len(own), pa.string()), pa.array(part[own]), phrases.take(pa.array(own)), keys,
-                    pa.ListArray.from_arrays(offsets, pa.array(counts[lo:hi])),
+                    pa.array([lang] * len(at), pa.string()), pa.array(part[at]), pa.array(own[at], pa.int64()),
+                    _packed(own[lo:hi], offsets), keys.cast(pa.binary()), _packed(counts[lo:hi], offsets),
                 ],
-                names=["lang", "part", "low", "keys", "counts"],
+                names=["lang", "part", "low", "hashes", "keys", "counts"],
             )
 
 
+class Merge:
+    """Chunks of the runs of one prefix partition. Entries are summed by hash first;
+    phrases of a hash with fewer than ``least`` occurrences are never made strings."""
+
+    def __init__(self, least: int):
+        self.least, self.size = least, 0
+        self.chunks: list[tuple[np.ndarray, np.ndarray, bytes, int]] = []
+
+    def add(self, hashes: bytes, keys: bytes, counts: bytes) -> None:
+        self.chunks.append((np.frombuffer(hashes, "<u4"), np.frombuffer(counts, "<i8"), keys, 0))
+        self.size += len(counts) // 8
+
+    def take(self, below: int) -> Iterator[tuple[str, int]]:
+        """Phrases with enough occurrences, of those with a hash below ``below``, which go."""
+        ready, self.chunks, chunks = [], [], self.chunks
+        for hashes, counts, keys, skip in chunks:
+            n = int(np.searchsorted(hashes, below)) if below < 1 << 32 else len(hashes)
+            if n:
+                ready.append((hashes[:n], counts[:n], keys, skip))
+                self.size -= n
+            if n < len(hashes):
+                self.chunks.append((hashes[n:], counts[n:], keys, skip + n))
+        if not ready:
+            return
+        hashes = np.concatenate([c[0] for c in ready])
+        order = np.argsort(hashes)
+        groups = np.flatnonzero(np.diff(hashes[order].astype(np.int64), prepend=-1))
+        sums = np.add.reduceat(np.concatenate([c[1] for c in ready])[order], groups)
+        enough = np.empty(len(hashes), bool)
+        enough[order] = np.repeat(sums >= self.least, np.diff([*groups, len(hashes)]))
+        found: dict[bytes, int] = {}
+        end = 0
+        for own, counts, keys, skip in ready:
+            at = np.flatnonzero(enough[end : end + len(own)])
+            end += len(own)
+            if len(at):
+                phrases = keys.split(b"\n")
+                for k, n in zip((at + skip).tolist(), counts[at].tolist(), strict=True):
+                    found[phrases[k]] = found.get(phrases[k], 0) + n
+        for phrase, n in found.items():
+            if n >= self.least:
+                yield phrase.decode(), n
+
+
 def _counted(rows: Iterator[tuple[str, str, int]], size: int = 8192) -> Iterator[pa.RecordBatch]:
     held: list[tuple[str, str, int]] = []
 
@@ -409,24 +524,21 @@ def phrase_counts(
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
-            own, pending, limit = None, {}, 0
+            own, held, limit = None, Merge(least), 0
             for batch in batches:
-                for lang, part, low, keys, counts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                for lang, part, low, hashes, keys, counts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                     if (lang, part) != own:
-                        yield from done(own, pending, None)
-                        own, pending, limit = (lang, part), {}, 4 * CHUNK_ENTRIES
-                    elif len(pending) > limit:  # no chunk to come holds a phrase below this one's lowest
-                        yield from done(own, pending, low.encode())
-                        limit = 2 * len(pending) + 4 * CHUNK_ENTRIES
-                    for key, n in zip(keys.encode().split(b"\n"), counts, strict=True):
-                        pending[key] = pending.get(key, 0) + n
-            yield from done(own, pending, None)
-
-        def done(own, pending, below):
-            for key in [k for k in pending if below is None or k < below]:
-                n = pending.pop(key)
-                if n >= least:
-                    yield own[0], key.decode(), n
+                        yield from done(own, held, 1 << 32)
+                        own, limit = (lang, part), 4 * CHUNK_ENTRIES
+                    elif held.size > limit:  # no chunk to come has a hash below this one's lowest
+                        yield from done(own, held, low)
+                        limit = 2 * held.size + 4 * CHUNK_ENTRIES
+                    held.add(hashes, keys, counts)
+            yield from done(own, held, 1 << 32)
+
+        def done(own, held, below):
+            for phrase, n in held.take(below):
+                yield own[0], phrase, n
 
         return _counted(rows())
 

@@ -94,6 +94,50 @@ def test_products_beyond_64_bits(spark):
     assert ph.scored(counts, 30).first()["score"] == 2000000 * 7 // 17
 
 
+def test_word_ids_look_up_few_strings(monkeypatch):
+    """Ids equal those of the split text, also where words share slots; words that are
+    known already are not made strings again."""
+    monkeypatch.setattr(ph, "TOGETHER", 256, raising=False)
+    monkeypatch.setattr(ph, "SLOT_BITS", 8, raising=False)
+    rng = random.Random(4)
+    alphabet = [b"a", b"b", b"\x00", b"\xc3\xa9", b"\x1c"]
+    words = [b"".join(rng.choice(alphabet) for _ in range(n)) for n in (1, 2, 6, 7, 8, 9, 14, 15, 16, 40) for _ in range(4)]
+    words += [b"a", b"a\x00", b"a" * 8, b"a" * 8 + b"\x00", b"a" * 15, b"a" * 16, b"a" * 15 + b"\x00"]
+
+    class Counted(ph.Vocabulary):
+        looked_up = 0
+
+        def __getitem__(self, word):
+            self.looked_up += 1
+            return super().__getitem__(word)
+
+    vocabulary = Counted()
+    for data in (b"", b" ", b"\n", b"a", b"  a\n\nb ", b" ".join(rng.choice(words) + rng.choice([b"", b"\n", b"  "]) for _ in range(5000))):
+        want = [w for w in data.replace(b"\n", b" \n ").split(b" ") if w]
+        assert [vocabulary.words[i] for i in ph.word_ids(data, vocabulary).tolist()] == want
+    assert sorted(set(vocabulary.words)) == sorted(vocabulary.words)
+    monkeypatch.setattr(ph, "SLOT_BITS", 16)
+    vocabulary = Counted()
+    assert len(ph.word_ids(b"some words that come again " * 5000, vocabulary)) == 25000
+    assert vocabulary.looked_up <= 256
+
+
+@pytest.mark.parametrize("steps", [[1 << 32], [0, 3, 5, 5, 1 << 32]])
+def test_merge_sums_phrases_of_equal_hashes(steps):
+    """Different phrases of one hash stay apart; every phrase with enough occurrences is found once."""
+    rng = random.Random(6)
+    merge, want = ph.Merge(10), collections.Counter()
+    for _ in range(30):
+        entries = sorted((k % 8, f"p {k}") for k in rng.choices(range(60), k=20))
+        counts = [rng.randrange(1, 4) for _ in entries]
+        for (_, p), n in zip(entries, counts, strict=True):
+            want[p] += n
+        hashes = np.array([h for h, _ in entries], np.uint32)
+        merge.add(hashes.tobytes(), "\n".join(p for _, p in entries).encode(), np.array(counts, np.int64).tobytes())
+    got = [row for below in steps for row in merge.take(below)]
+    assert sorted(got) == sorted((p, n) for p, n in want.items() if n >= 10) and merge.size == 0
+
+
 def test_trie_bursts_and_spills_whole_subtrees():
     rng = np.random.default_rng(1)
     trie, want = ph.HatTrie(container=4), collections.Counter()
