@@ -121,7 +121,7 @@ def test_no_rows_into_one_task(table):
 def lines(spark, sf_dir, scratch_dir):
     from salescope.sources.star import order_lines
 
-    path = f"{scratch_dir}/lines"
+    path = f"{scratch_dir}/range-lines"
     order_lines(spark, sf_dir).write.parquet(path)
     return spark.read.parquet(path)
 
